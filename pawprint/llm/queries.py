@@ -30,3 +30,21 @@ def op3_exact_dedup(spark, sf_dir):
     from .exact_dedup import exact_groups
 
     return exact_groups(documents(spark, sf_dir), keep="largest")
+
+
+@_query("op9_token_counts")
+def op9_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    from .token_counts import token_counts
+
+    return token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
+@_query("op10_token_tables")
+def op10_token_tables(spark, sf_dir):
+    import public_tokenizers
+
+    from .token_tables import token_tables
+
+    return token_tables(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
