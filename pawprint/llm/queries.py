@@ -48,3 +48,12 @@ def op10_token_tables(spark, sf_dir):
     from .token_tables import token_tables
 
     return token_tables(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+@_query("op1_byte_bpe")
+def op1_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    from .bpe import digests, encode_documents
+
+    return digests(encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
