@@ -57,3 +57,11 @@ def op1_byte_bpe(spark, sf_dir):
     from .bpe import digests, encode_documents
 
     return digests(encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
+@_query("op4_warc")
+def op4_warc(spark, sf_dir):
+    from .warc import archive_round_trip
+
+    read = archive_round_trip(documents(spark, sf_dir, "pages"), revisit_bytes=0)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

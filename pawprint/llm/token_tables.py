@@ -279,7 +279,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
                         files, base = fs.FileSystem.from_uri(path)
                         files.create_dir(base)
                         name, first = f"shard-{d + (1 << 63):020d}-{uuid.uuid4().hex[:8]}.sst", d
-                        out = files.open_output_stream(f"{base}/{name}")
+                        out = files.open_output_stream(f"{base}/{name}", compression=None)
                         shard = ShardWriter(out)
                     ids = np.frombuffer(ids + end, "<u4")
                     shard.add(key_of(d), pack(ids), len(ids))
