@@ -65,3 +65,34 @@ def op4_warc(spark, sf_dir):
 
     read = archive_round_trip(documents(spark, sf_dir, "pages"), revisit_bytes=0)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_query(
+    "op8_decontaminate",
+    r"""
+    with item_words as (
+      select coalesce(cast(item_id as varchar), '') as item_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+      from benchmark),
+    windows as (
+      select distinct item_id, w[i : i + 9] as words, len(w[i : i + 9]) as size
+      from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from item_words where len(w) > 0)),
+    d as (
+      select doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+      from documents),
+    grams as (
+      select doc_id, i, size, w[i : i + size - 1] as words
+      from (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as i from d, (select distinct size from windows) s where len(w) >= size)),
+    m as (select doc_id, i, size, item_id from grams join windows using (words, size)),
+    h as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + size)) as p from m) group by doc_id),
+    t as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id, ',' order by item_id) as items from m group by doc_id)
+    select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+      sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+    from d left join h using (doc_id) left join t using (doc_id)
+    """,
+)
+def op8_decontaminate(spark, sf_dir):
+    from .decontaminate import contamination
+
+    return contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"), n=10)
