@@ -96,3 +96,17 @@ def op8_decontaminate(spark, sf_dir):
     from .decontaminate import contamination
 
     return contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"), n=10)
+
+
+@_query("op2_quality")
+def op2_quality(spark, sf_dir):
+    from .quality import quality_scores
+
+    return quality_scores(documents(spark, sf_dir), documents(spark, sf_dir, "labels"), cut=0.3, folds=5, held=0)
+
+
+@_query("op7_toxicity")
+def op7_toxicity(spark, sf_dir):
+    from .toxicity import toxicity_scores
+
+    return toxicity_scores(documents(spark, sf_dir), documents(spark, sf_dir, "labels"), cut=0.7, folds=3, held=1)
