@@ -31,8 +31,8 @@ from .common import written
 BUCKETS = 1 << 16
 #: The longest word, in characters, that may be among the broadcast ones.
 HEAD_CHARS = 64
-#: Documents that a task puts together at a time.
-SLICE = 500
+#: Documents in an Arrow batch: texts are long, and Spark's own bound is for short rows.
+BATCH_ROWS = 1000
 _HEADS: dict[str, tuple] = {}
 
 
@@ -47,6 +47,11 @@ def _literal(value, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), kind)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value evaluated once: a lambda's body has no common subexpressions."""
+    return F.transform(F.array(value), body)[0]
+
+
 class ByteBpe:
     """Encodes and decodes by the ranks of a vocabulary; pattern splits texts into words."""
 
@@ -57,11 +62,12 @@ class ByteBpe:
             for i in range(1, len(piece)):
                 a, b = ranks.get(piece[:i]), ranks.get(piece[i:])
                 if a is not None and b is not None:
-                    at = (a * 40503 + b * 9973) % BUCKETS
+                    at = (a * 31 + b) % BUCKETS
                     keys[at].append(a << 20 | b)
                     ids[at].append(rank)
-        self.keys, self.ids = _literal(keys, "array<array<bigint>>"), _literal(ids, "array<array<int>>")
-        self.byte_ids = _literal([ranks.get(bytes([b])) for b in range(256)], "array<int>")
+        one = [bytes([b]) for b in range(256)]
+        table = {"keys": keys, "ids": ids, "bytes": [ranks.get(b) for b in one], "pairs": [ranks.get(a + b) for a in one for b in one]}
+        self.table = _literal(table, "keys array<array<bigint>>, ids array<array<bigint>>, bytes array<bigint>, pairs array<bigint>")
         pieces: list = [None] * (max(ranks.values(), default=-1) + 1)
         for piece, rank in ranks.items():
             pieces[rank] = piece.hex()
@@ -76,36 +82,39 @@ class ByteBpe:
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
-    def _rank(self, a: Column, b: Column) -> Column:
-        """The id of the joined piece, null if there is none."""
-        a, b = a.cast("bigint"), b.cast("bigint")
-        at = F.pmod(a * 40503 + b * 9973, F.lit(BUCKETS)).cast("int")
-        place = F.array_position(F.get(self.keys, at), F.shiftleft(a, 20) + b)
-        return F.get(F.get(self.ids, at), place.cast("int") - 1)
-
     def fold(self, word: Column) -> Column:
         """The ids of one word (not the whole-word shortcut) as array<int>."""
-        latin = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-        start = F.transform(F.regexp_extract_all(latin, F.lit("(?s)."), F.lit(0)), lambda c: F.get(self.byte_ids, F.ascii(c)))
-        pairs = lambda ids: F.zip_with(F.slice(ids, 1, F.greatest(F.size(ids) - 1, F.lit(0))), F.slice(ids, 2, F.greatest(F.size(ids) - 1, F.lit(0))), self._rank)
-
-        def merge(acc: Column, _: Column) -> Column:
-            ids, ranks = acc["ids"], acc["ranks"]
-            n = F.size(ids)
-            low = F.array_min(ranks)
-            p = F.array_position(ranks, low).cast("int")  # the pair of places p and p + 1
-            new = F.array(low)
-            left = F.when(p > 1, F.array(self._rank(F.get(ids, p - 2), low))).otherwise(F.slice(ranks, 1, 0))
-            right = F.when(p + 2 <= n, F.array(self._rank(low, F.get(ids, p + 1)))).otherwise(F.slice(ranks, 1, 0))
-            done = F.struct(
-                F.concat(F.slice(ids, 1, p - 1), new, F.slice(ids, p + 2, F.greatest(n - p - 1, F.lit(0)))).alias("ids"),
-                F.concat(F.slice(ranks, 1, F.greatest(p - 2, F.lit(0))), left, right, F.slice(ranks, p + 2, F.greatest(n - p - 2, F.lit(0)))).alias("ranks"),
+
+        def rank(table: Column, a: Column, b: Column) -> Column:
+            """The id of the joined piece, null if there is none."""
+            at = (a * 31 + b).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+            return F.get(F.get(table["ids"], at), F.array_position(F.get(table["keys"], at), F.shiftleft(a, 20) + b).cast("int") - 1)
+
+        def merged(table: Column, acc: Column, at: Column) -> Column:
+            ids, ranks, low, p, n = acc["ids"], acc["ranks"], at["low"], at["p"], at["n"]  # the pair of places p and p + 1
+            none = F.slice(ranks, 1, 0)
+            left = F.when(p > 1, F.array(rank(table, F.get(ids, p - 2), low))).otherwise(none)
+            right = F.when(p + 2 <= n, F.array(rank(table, low, F.get(ids, p + 1)))).otherwise(none)
+            return F.struct(
+                F.concat(F.slice(ids, 1, p - 1), F.array(low), F.slice(ids, p + 2, n)).alias("ids"),
+                F.concat(F.slice(ranks, 1, F.greatest(p - 2, F.lit(0))), left, right, F.slice(ranks, p + 2, n)).alias("ranks"),
             )
-            return F.when(low.isNull(), acc).otherwise(done)
 
-        zero = F.transform(F.array(start), lambda ids: F.struct(ids.alias("ids"), pairs(ids).alias("ranks")))[0]
-        steps = F.sequence(F.lit(1), F.greatest(F.octet_length(word), F.lit(1)))
-        return F.aggregate(steps, zero, merge, lambda acc: acc["ids"])
+        def step(table: Column, acc: Column) -> Column:
+            def at(low: Column) -> Column:
+                place = F.struct(low.alias("low"), F.array_position(acc["ranks"], low).cast("int").alias("p"), F.size(acc["ids"]).alias("n"))
+                return F.when(low.isNull(), acc).otherwise(_let(place, lambda place: merged(table, acc, place)))
+
+            return _let(F.array_min(acc["ranks"]), at)
+
+        def whole(table: Column) -> Column:
+            latin = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
+            bytes_of = F.transform(F.regexp_extract_all(latin, F.lit("(?s)."), F.lit(0)), F.ascii)
+            paired = lambda codes: F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes)), lambda a, b: F.get(table["pairs"], a * 256 + b))
+            zero = _let(bytes_of, lambda codes: F.struct(F.transform(codes, lambda c: F.get(table["bytes"], c)).alias("ids"), paired(codes).alias("ranks")))
+            return F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), zero, lambda acc, _: step(table, acc), lambda acc: acc["ids"]).cast("array<int>")
+
+        return F.when(F.octet_length(word) > 0, _let(self.table, whole))
 
     def head(self, docs: DataFrame, text_col: str) -> pa.Table:
         """The frequent words that are no piece themselves, and their ids: at most head_words rows."""
@@ -126,9 +135,10 @@ class ByteBpe:
         known = counts.filter(F.floor(F.log2("n") * 4) >= F.lit(least)).select("word", self.fold(F.col("word")).alias("ids"))
         return known.toArrow()
 
-    def encode(self, docs: DataFrame, text_col: str = "text") -> Column:
-        """A column of docs: the ids of its text, array<int>. Counts the words of docs when it is called."""
+    def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """doc_id, ids (array<int>) for each row of docs. Counts the words of docs when it is called."""
         sc = docs.sparkSession.sparkContext
+        docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         table = self.head(docs, text_col)
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema) as w:
@@ -153,46 +163,37 @@ class ByteBpe:
         @F.arrow_udf("array<string>")
         def rest(words: pa.Array) -> pa.Array:
             """The distinct words of each document that have to be folded."""
-            at, out = known()[0], []
-            for lo in range(0, len(words), SLICE):
-                part = words.slice(lo, SLICE)
-                coded = part.flatten().dictionary_encode()
-                names = coded.dictionary
-                new = np.fromiter((w not in at for w in names.to_pylist()), bool, len(names))
-                codes = np.asarray(coded.indices, np.int64)
-                doc = np.repeat(np.arange(len(part)), np.asarray(part.value_lengths(), np.int64))
-                pick = new[codes] if len(codes) else np.zeros(0, bool)
-                pairs = np.unique(doc[pick] * max(1, len(names)) + codes[pick])
-                ends = np.searchsorted(pairs, np.arange(len(part) + 1) * max(1, len(names)))
-                out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names.take(pa.array(pairs % max(1, len(names))))))
-            return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.string()))
-
-        @F.arrow_udf("array<int>")
+            at, coded = known()[0], words.flatten().dictionary_encode()
+            names, codes = coded.dictionary, np.asarray(coded.indices, np.int64)
+            new = np.fromiter((w not in at for w in names.to_pylist()), bool, len(names))
+            pick = new[codes] if len(codes) else np.zeros(0, bool)
+            doc = np.repeat(np.arange(len(words)), np.asarray(words.value_lengths(), np.int64))[pick]
+            pairs = np.unique(doc * max(1, len(names)) + codes[pick])
+            ends = np.searchsorted(pairs, np.arange(len(words) + 1) * max(1, len(names)))
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names.take(pa.array(pairs % max(1, len(names)))))
+
         def together(words: pa.Array, new: pa.Array, folded: pa.Array) -> pa.Array:
             at, values, sizes = known()
-            out = []
-            for lo in range(0, len(words), SLICE):
-                part = words.slice(lo, SLICE)
-                lists = folded.slice(lo, SLICE).flatten()
-                here = {w: len(sizes) + i for i, w in enumerate(new.slice(lo, SLICE).flatten().to_pylist())}
-                coded = part.flatten().dictionary_encode()
-                own = np.asarray(lists.flatten(), np.int32), np.asarray(lists.value_lengths(), np.int64)
-                names = coded.dictionary.to_pylist()
-                place = np.fromiter((at[w] if w in at else here[w] for w in names), np.int64, len(names))
-                all_sizes, old = np.concatenate([sizes, own[1]]), len(values)
-                starts = np.concatenate([[0], np.cumsum(all_sizes)[:-1]]) if len(all_sizes) else all_sizes
-                word = place[np.asarray(coded.indices, np.int64)]
-                n = all_sizes[word]
-                ends = np.concatenate([[0], np.cumsum(n)])
-                where = np.repeat(starts[word] - ends[:-1], n) + np.arange(ends[-1])
-                ids = np.where(where < old, values[np.minimum(where, max(0, old - 1))], own[0][np.maximum(where - old, 0)] if len(own[0]) else 0) if old else own[0][where]
-                bounds = np.concatenate([[0], np.cumsum(np.asarray(part.value_lengths(), np.int64))])
-                out.append(pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), pa.array(ids, pa.int32())))
-            return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
-
-        words = self.words(F.col(text_col))
-        new = rest(words)
-        return together(words, new, F.transform(new, self.fold))
+            lists, coded = folded.flatten(), words.flatten().dictionary_encode()
+            here = {w: len(sizes) + i for i, w in enumerate(new.flatten().to_pylist())}
+            names = coded.dictionary.to_pylist()
+            place = np.fromiter((at[w] if w in at else here[w] for w in names), np.int64, len(names))
+            values = np.concatenate([values, np.asarray(lists.flatten(), np.int32)])
+            sizes = np.concatenate([sizes, np.asarray(lists.value_lengths(), np.int64)])
+            word = place[np.asarray(coded.indices, np.int64)]
+            n = sizes[word]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            where = np.repeat((np.cumsum(sizes) - sizes)[word] - ends[:-1], n) + np.arange(ends[-1])
+            bounds = np.concatenate([[0], np.cumsum(np.asarray(words.value_lengths(), np.int64))])
+            return pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), pa.array(values[where], pa.int32()))
+
+        def joined(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), together(*b.columns[1:])], ["doc_id", "ids"])
+
+        rows = docs.select(F.col(id_col).alias("doc_id"), self.words(F.col(text_col)).alias("words"))
+        rows = rows.withColumn("new", rest("words")).select("doc_id", "words", "new", F.transform("new", self.fold).alias("folded"))
+        return rows.mapInArrow(joined, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
     def decode(self, ids: Column) -> Column:
         """The bytes of array<int> ids, binary."""
@@ -202,9 +203,7 @@ class ByteBpe:
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", head_words: int = 1 << 19) -> DataFrame:
     """doc_id, ids (array<int>), decoded (binary, from these ids)."""
     bpe = ByteBpe(read_ranks(ranks_path), pattern, head_words)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    ids = rows.select("doc_id", bpe.encode(rows).alias("ids"))
-    return ids.withColumn("decoded", bpe.decode(F.col("ids")))
+    return bpe.encode(docs, id_col, text_col).withColumn("decoded", bpe.decode(F.col("ids")))
 
 
 def digests(encoded: DataFrame) -> DataFrame:
