@@ -110,3 +110,10 @@ def op7_toxicity(spark, sf_dir):
     from .toxicity import toxicity_scores
 
     return toxicity_scores(documents(spark, sf_dir), documents(spark, sf_dir, "labels"), cut=0.7, folds=3, held=1)
+
+
+@_query("op5_near_dedup")
+def op5_near_dedup(spark, sf_dir):
+    from .near_dedup import near_groups
+
+    return near_groups(documents(spark, sf_dir), percent=85)
