@@ -117,3 +117,12 @@ def op5_near_dedup(spark, sf_dir):
     from .near_dedup import near_groups
 
     return near_groups(documents(spark, sf_dir), percent=85)
+
+
+@_query("op6_line_dedup")
+def op6_line_dedup(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .line_dedup import dedup_lines
+
+    return dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_equal", "n_near", F.sha2("text", 256).alias("text_sha256"))
