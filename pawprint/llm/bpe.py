@@ -33,7 +33,7 @@ BUCKETS = 1 << 16
 HEAD_CHARS = 64
 #: Documents in an Arrow batch: texts are long, and Spark's own bound is for short rows.
 BATCH_ROWS = 1000
-_HEADS: dict[str, tuple] = {}
+_HEADS: dict[str, dict[str, int]] = {}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -55,7 +55,7 @@ def _let(value: Column, body) -> Column:
 class ByteBpe:
     """Encodes and decodes by the ranks of a vocabulary; pattern splits texts into words."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, head_words: int = 1 << 19):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, head_words: int = 1 << 18):
         self.ranks, self.pattern, self.head_words = ranks, f"(?U){pattern}", head_words
         keys, ids = [[] for _ in range(BUCKETS)], [[] for _ in range(BUCKETS)]
         for piece, rank in ranks.items():
@@ -133,74 +133,77 @@ class ByteBpe:
                 break
             least = r["step"]
         known = counts.filter(F.floor(F.log2("n") * 4) >= F.lit(least)).select("word", self.fold(F.col("word")).alias("ids"))
-        return known.toArrow()
+        return known.toArrow()  # bounded: head_words words of HEAD_CHARS
 
     def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """doc_id, ids (array<int>) for each row of docs. Counts the words of docs when it is called."""
         sc = docs.sparkSession.sparkContext
         docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         table = self.head(docs, text_col)
+        lists = table.column("ids").combine_chunks()
+        by_text = self.by_text
+        ids = np.concatenate([np.asarray(lists.flatten(), np.int32), np.fromiter(by_text.values(), np.int32, len(by_text))])
+        sizes = np.concatenate([np.asarray(lists.value_lengths(), np.int64), np.ones(len(by_text), np.int64)])
+        # the words go to the workers that look them up, the ids to those that put documents together
+        known = pa.concat_arrays([table.column("word").combine_chunks().cast(pa.string()), pa.array(list(by_text), pa.string())])
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema) as w:
-            w.write_table(table)
-        head = sc.broadcast((sink.getvalue().to_pybytes(), self.by_text))
+        with pa.ipc.new_stream(sink, pa.schema([("word", pa.string())])) as w:
+            w.write_table(pa.table({"word": known}))
+        del table, lists, known
+        words, values, name = sc.broadcast(sink.getvalue().to_pybytes()), sc.broadcast((ids, sizes)), uuid.uuid4().hex
 
-        name = uuid.uuid4().hex
-
-        def known():
+        def places() -> dict[str, int]:
             if name not in _HEADS:
                 _HEADS.clear()
-                raw, by_text = head.value
-                t = pa.ipc.open_stream(raw).read_all().combine_chunks()
-                words, lists = t.column("word").to_pylist(), t.column("ids").combine_chunks()
-                values = np.concatenate([np.asarray(lists.flatten(), np.int32), np.fromiter(by_text.values(), np.int32, len(by_text))])
-                sizes = np.concatenate([np.asarray(lists.value_lengths(), np.int64), np.ones(len(by_text), np.int64)])
-                at = {w: i for i, w in enumerate(words)}
-                at.update((w, len(words) + i) for i, w in enumerate(by_text))
-                _HEADS[name] = at, values, sizes
+                _HEADS[name] = {w: i for i, w in enumerate(pa.ipc.open_stream(words.value).read_all().column("word").to_pylist())}
             return _HEADS[name]
 
-        @F.arrow_udf("array<string>")
-        def rest(words: pa.Array) -> pa.Array:
-            """The distinct words of each document that have to be folded."""
-            at, coded = known()[0], words.flatten().dictionary_encode()
-            names, codes = coded.dictionary, np.asarray(coded.indices, np.int64)
-            new = np.fromiter((w not in at for w in names.to_pylist()), bool, len(names))
-            pick = new[codes] if len(codes) else np.zeros(0, bool)
-            doc = np.repeat(np.arange(len(words)), np.asarray(words.value_lengths(), np.int64))[pick]
-            pairs = np.unique(doc * max(1, len(names)) + codes[pick])
-            ends = np.searchsorted(pairs, np.arange(len(words) + 1) * max(1, len(names)))
-            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names.take(pa.array(pairs % max(1, len(names)))))
-
-        def together(words: pa.Array, new: pa.Array, folded: pa.Array) -> pa.Array:
-            at, values, sizes = known()
-            lists, coded = folded.flatten(), words.flatten().dictionary_encode()
-            here = {w: len(sizes) + i for i, w in enumerate(new.flatten().to_pylist())}
-            names = coded.dictionary.to_pylist()
-            place = np.fromiter((at[w] if w in at else here[w] for w in names), np.int64, len(names))
-            values = np.concatenate([values, np.asarray(lists.flatten(), np.int32)])
-            sizes = np.concatenate([sizes, np.asarray(lists.value_lengths(), np.int64)])
-            word = place[np.asarray(coded.indices, np.int64)]
-            n = sizes[word]
-            ends = np.concatenate([[0], np.cumsum(n)])
-            where = np.repeat((np.cumsum(sizes) - sizes)[word] - ends[:-1], n) + np.arange(ends[-1])
-            bounds = np.concatenate([[0], np.cumsum(np.asarray(words.value_lengths(), np.int64))])
-            return pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), pa.array(values[where], pa.int32()))
+        def coded(batches):
+            """doc_id, codes (of each word: the place of a known one, or -1 - the place among new), new (distinct words to fold)."""
+            at = places()
+            for b in batches:
+                lists = b.column(1)
+                units = lists.flatten().dictionary_encode()
+                names, codes = units.dictionary, np.asarray(units.indices, np.int64)
+                found = np.fromiter((at.get(w, -1) for w in names.to_pylist()), np.int64, len(names))
+                out = found[codes] if len(codes) else codes
+                unknown = np.flatnonzero(out < 0)
+                n = np.asarray(lists.value_lengths(), np.int64)
+                pairs, where = np.unique(np.repeat(np.arange(len(n)), n)[unknown] * max(1, len(names)) + codes[unknown], return_inverse=True)
+                ends = np.searchsorted(pairs, np.arange(len(n) + 1) * max(1, len(names)))
+                out[unknown] = -1 - (where - ends[pairs[where] // max(1, len(names))])
+                bounds = np.concatenate([[0], np.cumsum(n)])
+                new = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names.take(pa.array(pairs % max(1, len(names)))))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(out, pa.int32())), new], ["doc_id", "codes", "new"])
 
         def joined(batches):
+            ids, sizes = values.value
             for b in batches:
-                yield pa.RecordBatch.from_arrays([b.column(0), together(*b.columns[1:])], ["doc_id", "ids"])
+                folded, lists = b.column(2), b.column(1)
+                own = folded.flatten()
+                all_ids = np.concatenate([ids, np.asarray(own.flatten(), np.int32)])
+                all_sizes = np.concatenate([sizes, np.asarray(own.value_lengths(), np.int64)])
+                n, new = np.asarray(lists.value_lengths(), np.int64), np.asarray(folded.value_lengths(), np.int64)
+                code = np.asarray(lists.flatten(), np.int64)
+                word = np.where(code >= 0, code, len(sizes) + np.repeat(np.cumsum(new) - new, n) - 1 - code)
+                size = all_sizes[word]
+                ends = np.concatenate([[0], np.cumsum(size)])
+                where = np.repeat((np.cumsum(all_sizes) - all_sizes)[word] - ends[:-1], size) + np.arange(ends[-1])
+                bounds = np.concatenate([[0], np.cumsum(n)])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), pa.array(all_ids[where], pa.int32()))], ["doc_id", "ids"])
 
         rows = docs.select(F.col(id_col).alias("doc_id"), self.words(F.col(text_col)).alias("words"))
-        rows = rows.withColumn("new", rest("words")).select("doc_id", "words", "new", F.transform("new", self.fold).alias("folded"))
-        return rows.mapInArrow(joined, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+        kind = rows.schema["doc_id"].dataType.simpleString()
+        rows = rows.mapInArrow(coded, f"doc_id {kind}, codes array<int>, new array<string>")
+        rows = rows.select("doc_id", "codes", F.transform("new", self.fold).alias("folded"))
+        return rows.mapInArrow(joined, f"doc_id {kind}, ids array<int>")
 
     def decode(self, ids: Column) -> Column:
         """The bytes of array<int> ids, binary."""
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""))
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", head_words: int = 1 << 19) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", head_words: int = 1 << 18) -> DataFrame:
     """doc_id, ids (array<int>), decoded (binary, from these ids)."""
     bpe = ByteBpe(read_ranks(ranks_path), pattern, head_words)
     return bpe.encode(docs, id_col, text_col).withColumn("decoded", bpe.decode(F.col("ids")))
