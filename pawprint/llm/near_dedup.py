@@ -8,7 +8,7 @@
 3. The rest of a hub's group, exactly: a pair of members that are not yet connected is compared by its signatures if
    the group is small. In a large group each member is reduced to its difference from the hub. Two linked sets differ
    in few elements, so their differences must agree in all but these, and share an element among the first few of
-   them in order of rarity. Only such pairs are compared.
+   them in one order, rare elements first. Only such pairs are compared.
 4. Components by alternating large and small stars, on tables.
 
 A pair of similarity s shares no bucket with probability (1 - s ** ROWS) ** BANDS: 7e-9 at 0.85.
@@ -38,6 +38,8 @@ MARGIN = 0.18
 #: Members of a hub's group that are compared in pairs of signatures.
 SMALL = 24
 SLICE_SHINGLES = 1 << 16
+#: Members of a large group whose differences are looked at for the order of elements.
+LOOK = 24
 P = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(20240101).integers(1, 1 << 32, (2, PERMUTATIONS), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
@@ -202,13 +204,20 @@ class NearDuplicates:
         own = members.join(sets.select("node", F.col("set").alias("s")), "node").join(sets.select(F.col("node").alias("hub"), F.col("set").alias("h")), "hub")
         delta = own.select("hub", "node", F.size("s").alias("n"), F.size("h").alias("nh"), F.concat(F.array_except("s", "h"), F.array_except("h", "s")).alias("delta"))
         delta = delta.withColumn("d", F.size("delta")).withColumn("k", most(F.col("n") + F.floor(F.col("n") * 100 / self.percent))).withColumn("linked", F.col("d") <= most(F.col("n") + F.col("nh")))
-        each = written(delta.select("hub", "node", "n", "d", "k", "linked", "nh", F.explode("delta").alias("e")), "differences")
-        rarity = each.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("freq"))
-        order = Window.partitionBy("hub", "node").orderBy("freq", "e")
-        ranked = each.join(rarity, ["hub", "e"]).withColumn("pos", F.row_number().over(order) - 1)
+        delta = written(delta, "differences")
+        # any order of elements is right, as long as it is one; elements that several of a few members have are put last
+        look = Window.partitionBy("hub").orderBy(F.xxhash64("node"))
+        few = delta.select("hub", "node").withColumn("i", F.row_number().over(look)).filter(F.col("i") <= LOOK).select("hub", "node")
+        seen = few.join(delta.select("hub", "node", "delta"), ["hub", "node"]).select("hub", F.explode("delta").alias("e")).groupBy("hub", "e").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+        common = seen.groupBy("hub").agg(F.collect_list("e").alias("common"))  # at most LOOK differences in a row
+        rare = F.array_sort(F.array_except("delta", "common"))
+        ordered = F.concat(rare, F.array_sort(F.array_intersect("delta", "common")))
         least = most(F.ceil(F.col("n") * self.percent / 100) + F.col("nh")) + 1  # a member that isn't linked to the hub differs from it in at least so many
         first = F.when(F.col("linked"), F.floor((F.col("d") - least + F.col("k")) / 2) + 1).otherwise(F.floor(F.col("k") / 2) + 1)
-        ranked = written(ranked.withColumn("first", first).filter((F.col("pos") < F.col("first")) | (~F.col("linked") & (F.col("pos") <= F.col("k")))), "prefixes")
+        ranked = delta.join(common, "hub", "left").withColumn("common", F.coalesce("common", F.array().cast("array<bigint>"))).withColumn("first", first)
+        take = F.greatest(F.col("first"), F.when(~F.col("linked"), F.col("k") + 1).otherwise(0)).cast("int")
+        ranked = ranked.filter(take > 0).select("hub", "node", "n", "d", "k", "linked", "first", F.posexplode(F.slice(ordered, F.lit(1), take)).alias("pos", "e"))
+        ranked = written(ranked, "prefixes")
         index = ranked.filter(F.col("pos") < F.col("first")).select("hub", "e", F.col("node").alias("a"), F.col("n").alias("na"), F.col("d").alias("da"), F.col("pos").alias("pa"))
         probe = ranked.filter(~F.col("linked") & (F.col("pos") <= F.col("k"))).select("hub", "e", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"), F.col("pos").alias("pb"))
         overlap = F.ceil((F.col("da") + F.col("db") - most(F.col("na") + F.col("nb"))) / 2)
