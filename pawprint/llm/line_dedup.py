@@ -30,9 +30,9 @@ def words_of(line: Column) -> Column:
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, rid, no (from 0), line, words, of lines with words."""
+    """doc_id, rid, no (from 0), line, of lines with words."""
     lines = docs.select(*ROW, F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    return lines.withColumn("words", words_of(F.col("line"))).filter(F.size("words") > 0)
+    return lines.filter(F.col("line").rlike("[^ \\t]"))
 
 
 def one_edit(a: Column, b: Column) -> Column:
@@ -52,7 +52,7 @@ class LineDedup:
 
     def lines(self) -> DataFrame:
         """h1, h2 (hashes of a distinct line's text), first (its earliest occurrence), n (words), keys of its halves."""
-        rows = line_rows(self.docs)
+        rows = line_rows(self.docs).withColumn("words", words_of(F.col("line")))
         n = F.size("words")
         halves = []
         for c in (n, n - 1):  # the shorter line's words, if this is the shorter or the longer one of a pair
@@ -69,7 +69,7 @@ class LineDedup:
         some = written(halves.join(shared, "key").select("h1", "h2").distinct().join(lines.select("h1", "h2", "first"), ["h1", "h2"]), "near-lines")
         places = some.select("h1", "h2", F.col("first.doc_id").alias("of_id"), F.col("first.rid").alias("of_rid"), F.col("first.no").alias("of_no"), "first")
         there = (F.col("rid") == F.col("of_rid")) & F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("no") == F.col("of_no"))
-        texts = line_rows(self.docs).join(bounded_broadcast(places, places.count(), 80), there).select("h1", "h2", "first", "words").dropDuplicates(["h1", "h2"])
+        texts = line_rows(self.docs).join(bounded_broadcast(places, places.count(), 80), there).select("h1", "h2", "first", words_of(F.col("line")).alias("words")).dropDuplicates(["h1", "h2"])
         texts = written(texts, "near-line-words")
         n = F.size("words")
         left_out = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.concat(F.slice("words", F.lit(1), i - 1), F.slice("words", i + 1, n))).alias("v")))
