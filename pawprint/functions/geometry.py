@@ -45,6 +45,13 @@ def _constant_edges(poly) -> list[dict]:
     return [{"a": a, "b": b} for a, b in zip(at, at[1:] + at[:1], strict=True)]
 
 
+def _orientation(poly) -> int:
+    """1 or -1 if the points make a convex polygon, by its sense, else 0."""
+    around = [*poly, *poly[:2]]
+    turns = [(bx - ax) * (cy - by) - (by - ay) * (cx - bx) for (ax, ay), (bx, by), (cx, cy) in zip(around, around[1:], around[2:], strict=False)]
+    return 1 if all(t > 0 for t in turns) and len(poly) < 5 else -1 if all(t < 0 for t in turns) and len(poly) < 5 else 0
+
+
 def on_border(x: Column, y: Column, poly) -> Column:
     if isinstance(poly, Column):
         return F.exists(edges(poly), lambda e: _on(x, y, e))
@@ -58,11 +65,18 @@ def _odd_crossings(x: Column, y: Column, poly) -> Column:
 
 
 def strictly_inside(x: Column, y: Column, poly) -> Column:
-    """Null for a missing position; the border is outside. poly: a column, or a list of points (faster)."""
+    """Null for a missing position; the border is outside. poly: a column, or a list of points (faster).
+
+    A convex triangle or quadrangle of points is one comparison for each edge.
+    """
+    if not isinstance(poly, Column) and (sense := _orientation(poly)):
+        return reduce(lambda p, q: p & q, [_turn(x, y, e) * float(sense) >= NEAR for e in _constant_edges(poly)])
     return F.when(x.isNotNull() & y.isNotNull(), _odd_crossings(x, y, poly) & ~on_border(x, y, poly))
 
 
 def inside_or_border(x: Column, y: Column, poly) -> Column:
+    if not isinstance(poly, Column) and (sense := _orientation(poly)):
+        return reduce(lambda p, q: p & q, [_turn(x, y, e) * float(sense) > -NEAR for e in _constant_edges(poly)])
     return F.when(x.isNotNull() & y.isNotNull(), _odd_crossings(x, y, poly) | on_border(x, y, poly))
 
 
