@@ -202,7 +202,7 @@ class NearDuplicates:
         q = 100 - self.percent
         most = lambda size: F.floor(size * q / (100 + self.percent))  # noqa: E731  two linked sets of that size together differ in no more elements
         own = members.join(sets.select("node", F.col("set").alias("s")), "node").join(sets.select(F.col("node").alias("hub"), F.col("set").alias("h")), "hub")
-        delta = own.select("hub", "node", F.size("s").alias("n"), F.size("h").alias("nh"), F.concat(F.array_except("s", "h"), F.array_except("h", "s")).alias("delta"))
+        delta = own.select("hub", "node", F.size("s").alias("n"), F.size("h").alias("nh"), F.size(F.array_except("s", "h")).alias("more"), F.concat(F.array_except("s", "h"), F.array_except("h", "s")).alias("delta"))
         delta = delta.withColumn("d", F.size("delta")).withColumn("k", most(F.col("n") + F.floor(F.col("n") * 100 / self.percent))).withColumn("linked", F.col("d") <= most(F.col("n") + F.col("nh")))
         delta = written(delta, "differences")
         # any order of elements is right, as long as it is one; elements that several of a few members have are put last
@@ -210,7 +210,9 @@ class NearDuplicates:
         few = delta.select("hub", "node").withColumn("i", F.row_number().over(look)).filter(F.col("i") <= LOOK).select("hub", "node")
         seen = few.join(delta.select("hub", "node", "delta"), ["hub", "node"]).select("hub", F.explode("delta").alias("e")).groupBy("hub", "e").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
         common = seen.groupBy("hub").agg(F.collect_list("e").alias("common"))  # at most LOOK differences in a row
-        rare = F.array_sort(F.array_except("delta", "common"))
+        # of the others, those that the hub hasn't come first: what members lack of the hub is shared more often
+        added, lacked = F.slice("delta", F.lit(1), F.col("more")), F.slice("delta", F.col("more") + 1, F.col("d"))
+        rare = F.concat(F.array_sort(F.array_except(added, F.col("common"))), F.array_sort(F.array_except(lacked, F.col("common"))))
         ordered = F.concat(rare, F.array_sort(F.array_intersect("delta", "common")))
         least = most(F.ceil(F.col("n") * self.percent / 100) + F.col("nh")) + 1  # a member that isn't linked to the hub differs from it in at least so many
         first = F.when(F.col("linked"), F.floor((F.col("d") - least + F.col("k")) / 2) + 1).otherwise(F.floor(F.col("k") / 2) + 1)
