@@ -563,10 +563,19 @@ fr as (select f.file, f.frame, iv.type, row_number() over (partition by f.file,
 
 @query("interval_labels", f"with {INTERVAL_SQL} select file, cast(frame as int) as frame, coalesce(type, 'None') as label from fr where rn = 1")
 def interval_labels(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").filter(F.col("o_orderkey") % 7 == 0)
+    """On every seventh order, as its SQL is; interval_labels_all has the whole table."""
+    return lab.interval_labels(frames(spark, sf_dir).select("file", "frame"), _intervals(spark, sf_dir).filter(F.col("ord") % 7 == 0), FPS)
+
+
+def _intervals(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     start = (F.col("o_orderkey") % 20).cast("double")
-    iv = o.select((F.col("o_custkey") % 150).cast("string").alias("file"), F.col("o_orderkey").alias("ord"), start.alias("from"), (start + F.col("o_custkey") % 4).alias("to"), F.col("o_orderpriority").alias("type"))
-    return lab.interval_labels(frames(spark, sf_dir).select("file", "frame"), iv, FPS)
+    return o.select((F.col("o_custkey") % 150).cast("string").alias("file"), F.col("o_orderkey").alias("ord"), start.alias("from"), (start + F.col("o_custkey") % 4).alias("to"), F.col("o_orderpriority").alias("type"))
+
+
+@query("interval_labels_all")
+def interval_labels_all(spark, sf_dir):
+    return lab.interval_labels(frames(spark, sf_dir).select("file", "frame"), _intervals(spark, sf_dir), FPS)
 
 
 @query("smooth_labels", f"""with {F_SQL}, fs as (select file, label, min(frame) as seen from f group by file, label), w as (select a.file, a.frame, b.label, count(*) as n from f a join f b on a.file = b.file and b.frame between a.frame - 2 and a.frame + 2 group by a.file, a.frame, b.label),
@@ -647,12 +656,21 @@ def setops_frames(spark, sf_dir):
 
 @query("explicit_bins", f"with {F_SQL}, b as (select cast(c_custkey % 150 as varchar) as file, c_mktsegment as bin, c_custkey % 30 as lo, c_custkey % 30 + 9 as hi from customer where c_custkey < 150) select f.file, bin, count(*) as n, count(x) as valid from f join b on f.file = b.file and frame between lo and hi group by f.file, bin")
 def explicit_bins(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey < 150")
+    """On the first 149 customers, as its SQL is; explicit_bins_all has the whole table."""
+    return _binned(spark, sf_dir, spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey < 150"))
+
+
+def _binned(spark, sf_dir, c):
     lo = F.col("c_custkey") % 30
     bins = c.select((F.col("c_custkey") % 150).cast("string").alias("file"), F.col("c_mktsegment").alias("bin"), lo.cast("int").alias("from_frame"), (lo + 9).cast("int").alias("to_frame"))
     return rs.explicit_bins(frames(spark, sf_dir), bins).groupBy("file", "bin").agg(F.count(F.lit(1)).alias("n"), F.count("x").alias("valid"))
 
 
+@query("explicit_bins_all")
+def explicit_bins_all(spark, sf_dir):
+    return _binned(spark, sf_dir, spark.read.parquet(f"{sf_dir}/customer.parquet"))
+
+
 @query("rollup_batch", f"with {F_SQL} select batch, count(distinct file) as tracks, count(*) as frames, {R('avg(x)', 5)} as mean_x from f group by rollup(batch)")
 def rollup_batch(spark, sf_dir):
     return frames(spark, sf_dir).rollup("batch").agg(F.count_distinct("file").alias("tracks"), F.count(F.lit(1)).alias("frames"), r(F.avg("x"), 5).alias("mean_x"))
