@@ -725,7 +725,7 @@ def _motifs(spark, sf_dir, method="kmeans"):
     from pawprint.plans import motifs
     from pawprint.schema import MotifConfig
 
-    cfg = MotifConfig(clusters=(2, 4))
+    cfg = MotifConfig()
     w = _windows(spark, sf_dir)
     z, cols = motifs.scaled(w.select("file", "window_id", *FEATURES), FEATURES)
     scores, _, _ = motifs.principal_components(z, cols, cfg)
