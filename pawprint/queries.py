@@ -770,7 +770,7 @@ def autoencoder_motifs(spark, sf_dir):
     from pawprint.plans import motifs
 
     z, cols = motifs.scaled(_windows(spark, sf_dir).select("file", "window_id", *FEATURES), FEATURES)
-    return motifs.autoencoder(z, cols, epochs=20).select("file", "window_id", "ae1", "ae2", "reconstruction_mse")
+    return motifs.autoencoder(z, cols).select("file", "window_id", "ae1", "ae2", "reconstruction_mse")
 
 
 @query("motif_summary", f"with {WIN_SQL}, mo as (select file, window_id, case when ms < 20 then 1 when ms < 30 then 2 else 3 end as motif from wf), n as (select file, motif, count(*) as n from mo group by file, motif), q as (select *, row_number() over (partition by file order by n desc, motif) as rn from n) select file, sum(n)::bigint as windows, max(motif) filter (rn = 1) as dominant_motif, {R('log2(sum(n)) - sum(n * log2(n)) / sum(n)', 5)} as motif_entropy from q group by file")
