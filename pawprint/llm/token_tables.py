@@ -53,6 +53,8 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cut, self.memo = Tokenizer.from_str(json), cut, {"": b""}
+        # matched in the text as it is, before the normaliser
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -64,7 +66,7 @@ class TextEncoder:
         if len(self.memo) > MEMO_ENTRIES:
             self.memo = {"": b""}
         memo = self.memo
-        parts = [_lowered(t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        parts = [_lowered(t, self.added).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         new = {w for p in parts for w in p if w not in memo}
         # an ASCII word before a full stop or comma is a word of its own
         ended = {w for w in new if w[-1] in ".," and w.isascii() and w[:-1].isalpha()}
@@ -75,13 +77,14 @@ class TextEncoder:
         return [b"".join([memo[w] for w in p]) for p in parts]
 
 
-def _lowered(text: str) -> str:
-    """Lower-cased ahead of the tokenizer, which makes the memo smaller, where both surely agree: up to U+00FF."""
+def _lowered(text: str, added: list[str]) -> str:
+    """Lower-cased ahead of the tokenizer, which makes the memo smaller, where both surely agree: up to U+00FF, and no added token in any case."""
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
         return text
-    return text.lower()
+    low = text.lower()
+    return text if any(t in low for t in added) else low
 
 
 def encoder(json: str, cut: bool) -> TextEncoder:

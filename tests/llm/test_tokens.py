@@ -41,6 +41,16 @@ def test_memo_is_exact(texts):
         assert not can_cut(f.read())
 
 
+def test_special_tokens_in_any_case():
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        json = f.read()
+    odd = ["<|ENDOFTEXT|>", "<|EndOfText|>", "<|endoftext|>", "A Word<|ENDOFTEXT|>B", "<|StartOfText|> Caf\u00c9. <|endoftext|>", "\u65e5 <|ENDOFTEXT|>", "<|ENDOFTEXT|"]
+    enc = TextEncoder(json, True)
+    want = [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in odd]
+    assert [list(np.frombuffer(x, "<u4")) for x in enc.encode(odd)] == want
+    assert want[0] == want[1] == [27, 347, 40786, 4160, 91, 285] and want[2] == [49407]
+
+
 def test_count_query(spark, small, texts):
     import sentencepiece
 
