@@ -2,7 +2,8 @@
 
 A line goes if an earlier line - in order of document and line number, over all documents - is equal, or, for lines
 of at least min_words words, differs from it by one inserted, deleted or replaced word. Earlier lines count whether
-they stay themselves or not, so that the result doesn't depend on any order of work.
+they stay themselves or not, so that the result doesn't depend on any order of work. With short_partners, the earlier
+line may have one word less than min_words; without, it has min_words at least. Shorter lines go by equality alone.
 
 Every distinct line of min_words and more that shares its first or its last half with another one (two lines with
 one edit between them always do) emits the hash of each variant with one word left out, and of the whole line.
@@ -45,10 +46,11 @@ def one_edit(a: Column, b: Column) -> Column:
 
 
 class LineDedup:
-    def __init__(self, docs: DataFrame, min_words: int = 8, id_col: str = "doc_id", text_col: str = "text"):
+    def __init__(self, docs: DataFrame, min_words: int = 8, id_col: str = "doc_id", text_col: str = "text", short_partners: bool = False):
         text = F.coalesce(F.col(text_col), F.lit(""))
         self.docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("rid"), text.alias("text"))
         self.min_words = min_words
+        self.partner_words = min_words - short_partners
 
     def lines(self) -> DataFrame:
         """h1, h2 (hashes of a distinct line's text), first (its earliest occurrence), n (words), keys of its halves."""
@@ -58,7 +60,7 @@ class LineDedup:
         for c in (n, n - 1):  # the shorter line's words, if this is the shorter or the longer one of a pair
             p = F.floor(c / 2).cast("int")
             halves += [F.xxhash64(c, F.lit("first"), F.slice("words", F.lit(1), p)), F.xxhash64(c, F.lit("last"), F.slice("words", n - (c - p) + 1, c - p))]
-        keys = F.when(n >= self.min_words, F.array(*halves)).otherwise(F.array().cast("array<bigint>"))
+        keys = F.when(n >= self.min_words, F.array(*halves)).when(n >= self.partner_words, F.array(*halves[:2])).otherwise(F.array().cast("array<bigint>"))
         rows = rows.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"), F.struct(*ROW, "no").alias("at"), keys.alias("keys"))
         return rows.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.first("keys").alias("keys"))
 
@@ -73,13 +75,13 @@ class LineDedup:
         texts = written(texts, "near-line-words")
         n = F.size("words")
         left_out = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.concat(F.slice("words", F.lit(1), i - 1), F.slice("words", i + 1, n))).alias("v")))
-        variants = texts.select("h1", "h2", "first", F.explode(left_out).alias("x")).select("h1", "h2", "first", "x.pos", "x.v")
+        variants = texts.filter(n >= self.min_words).select("h1", "h2", "first", F.explode(left_out).alias("x")).select("h1", "h2", "first", "x.pos", "x.v")
         variants = written(variants, "variants")
-        whole = texts.select("h1", "h2", "first", F.xxhash64("words").alias("v"))
+        whole = texts.select("h1", "h2", "first", F.xxhash64("words").alias("v"), (n >= self.min_words).alias("asks"))
         earliest = lambda rows, *keys: rows.groupBy(*keys).agg(F.min("first").alias("earlier"), F.count(F.lit(1)).alias("m"))
         replaced = variants.join(earliest(variants, "v", "pos").filter("m > 1"), ["v", "pos"]).select("h1", "h2", "first", "earlier")
         longer = variants.join(whole.select("v", F.col("first").alias("earlier")), "v").select("h1", "h2", "first", "earlier")
-        shorter = whole.join(earliest(variants, "v"), "v").select("h1", "h2", "first", "earlier")
+        shorter = whole.filter("asks").join(earliest(variants, "v"), "v").select("h1", "h2", "first", "earlier")
         found = replaced.unionByName(longer).unionByName(shorter).filter(F.col("earlier") < F.col("first"))
         found = found.groupBy("h1", "h2").agg(F.min("earlier").alias("earlier"))
         mine = found.join(texts.select("h1", "h2", "words"), ["h1", "h2"])
@@ -109,5 +111,5 @@ class LineDedup:
         )
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return LineDedup(docs, min_words, id_col, text_col).clean()
+def dedup_lines(docs: DataFrame, min_words: int = 8, id_col: str = "doc_id", text_col: str = "text", short_partners: bool = False) -> DataFrame:
+    return LineDedup(docs, min_words, id_col, text_col, short_partners).clean()

@@ -125,4 +125,4 @@ def op6_line_dedup(spark, sf_dir):
 
     from .line_dedup import dedup_lines
 
-    return dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_equal", "n_near", F.sha2("text", 256).alias("text_sha256"))
+    return dedup_lines(documents(spark, sf_dir), short_partners=True).select("doc_id", "n_lines", "n_equal", "n_near", F.sha2("text", 256).alias("text_sha256"))

@@ -78,3 +78,30 @@ def test_one_edit(spark):
     pairs = [([pool.choice("ab") for _ in range(pool.randint(1, 5))], [pool.choice("ab") for _ in range(pool.randint(1, 5))]) for _ in range(300)]
     df = spark.createDataFrame(pairs, "a array<string>, b array<string>")
     assert all(r.near == apart(r.a, r.b) for r in df.withColumn("near", one_edit(F.col("a"), F.col("b"))).collect())
+
+
+def test_earlier_lines_of_one_word_less(spark):
+    """Against all earlier distinct lines."""
+    pool = random.Random(7)
+    base = [[pool.choice("abcd") for _ in range(7)] for _ in range(6)]
+    lines = []
+    for _ in range(150):
+        w = list(pool.choice(base))
+        for _ in range(pool.randint(0, 3)):
+            w.insert(pool.randrange(len(w) + 1), pool.choice("abcdx"))
+        lines.append(" ".join(w[pool.randint(0, 1) :]))
+    rows = [(i, "\n".join(lines[i * 3 : i * 3 + 3])) for i in range(50)]
+    seen, want = [], []
+    for d, t in rows:
+        equal = near = 0
+        for line in t.split("\n"):
+            w = line.split(" ")
+            if w in seen:
+                equal += 1
+            else:
+                near += len(w) >= 8 and any(apart(w, o) for o in seen)
+                seen.append(w)
+        want.append((d, equal, near))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.n_equal, r.n_near) for r in dedup_lines(docs, short_partners=True).collect()) == want
+    assert sum(r.n_near for r in dedup_lines(docs).collect()) < sum(w[2] for w in want)
