@@ -88,7 +88,7 @@ def band_keys(low: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5) -> DataFrame:
-    """doc_id, n_shingles, fp (16 bytes of the set's hash), sig, bands; the last three null for texts without words."""
+    """doc_id, n_shingles, fp (16 bytes of the set's hash), sig, bands, text_hash; fp, sig and bands null for texts without words."""
 
     def run(batches):
         for b in batches:
@@ -105,13 +105,14 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     low = minima([sets[i] for i in some])
                     for i, s, k in zip(some, packed(low), band_keys(low), strict=True):
                         fp[i], sig[i], bands[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), s, k
-                arrays = [b.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "fp", "sig", "bands"])
+                arrays = [b.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64())), b.column(2).slice(lo, hi - lo)]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "fp", "sig", "bands", "text_hash"])
                 lo = hi
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, fp binary, sig array<bigint>, bands array<bigint>")
+    return rows.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, fp binary, sig array<bigint>, bands array<bigint>, text_hash bigint")
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -250,23 +251,27 @@ class NearDuplicates:
         return written(links.unionByName(self.confirmed(more, sets)), "links")
 
     def groups(self) -> DataFrame:
-        """One row per document: doc_id, n_shingles, component_id, kept."""
+        """One row per document: doc_id, n_shingles, component_id, kept, text_hash."""
         roots = components(self.links())
         named = self.nodes.select("node", "fp", "min_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         names = named.groupBy("root").agg(F.min("min_id").alias("component_id"))
         of_fp = named.join(names, "root").select(F.col("fp").alias("node_fp"), "component_id")
-        found = self.rows.select("doc_id", "n_shingles", "fp").join(of_fp, F.col("fp") == F.col("node_fp"), "left")
+        found = self.rows.select("doc_id", "n_shingles", "fp", "text_hash").join(of_fp, F.col("fp") == F.col("node_fp"), "left")
         component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-        return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+        return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "text_hash")
 
 
 def near_groups(docs: DataFrame, percent: int = 85, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id of the group), kept."""
-    return NearDuplicates(docs, percent, n, id_col, text_col).groups()
+    return NearDuplicates(docs, percent, n, id_col, text_col).groups().drop("text_hash")
 
 
 def drop_near_copies(docs: DataFrame, percent: int = 80, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the document of smallest identifier of each group, all columns kept. Null identifiers stay."""
-    groups = near_groups(docs, percent, n, id_col, text_col)
-    gone = written(groups.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
-    return docs.join(bounded_broadcast(gone, gone.count(), 16), docs[id_col] == F.col("__gone"), "left_anti")
+    """docs with the document of smallest identifier of each group, all columns kept. Null identifiers stay.
+
+    Rows go by identifier and text, since an identifier may be repeated with texts of several groups.
+    """
+    groups = NearDuplicates(docs, percent, n, id_col, text_col).groups()
+    gone = written(groups.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__text")).distinct(), "near-copies")
+    same = (docs[id_col] == F.col("__gone")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("__text"))
+    return docs.join(bounded_broadcast(gone, gone.count(), 24), same, "left_anti")

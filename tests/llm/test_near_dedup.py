@@ -86,3 +86,11 @@ def test_nulls_and_empty(spark):
     docs = spark.createDataFrame([(None, "a b c"), (2, "a b c"), (2, "d e f"), (None, "z")], "doc_id bigint, text string")
     assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in near_groups(docs).collect()) == [("2", "2", True), ("2", "2", True), ("None", "2", False), ("None", "None", False)]
     assert near_groups(docs.limit(0)).count() == 0 and drop_near_copies(docs.limit(0)).count() == 0
+
+
+def test_identifier_repeated_over_two_groups(spark):
+    pool = random.Random(6)
+    a, b = ([f"w{pool.randrange(10**6)}" for _ in range(60)] for _ in range(2))
+    rows = [(5, " ".join(a)), (7, " ".join([*a[:-1], "end"])), (2, " ".join(b)), (5, " ".join([*b[:-1], "end"]))]
+    left = drop_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string"), 80).collect()
+    assert sorted(map(tuple, left)) == sorted([rows[0], rows[2]])
