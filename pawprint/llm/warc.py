@@ -1,6 +1,6 @@
 """WARC archives as seekable Zstandard bundles.
 
-A bundle holds one WARC record in each independent Zstandard frame, and ends in a seek table: a skippable frame
+A bundle holds WARC records in independent Zstandard frames, as many in each as come to FRAME_BYTES, and ends in a seek table: a skippable frame
 with compressed and whole size of each frame and the seekable format's footer, so that any seekable-format reader
 can use it. Before the seek table stands a skippable frame that maps record identifiers to frame numbers and the
 record's offset in its frame. A reader needs the bundle's end to find and decompress any one record.
@@ -9,7 +9,7 @@ Of pages with equal payloads - found by SHA-256 of the payload, for payloads of
 with the smallest identifier is written as response, the others as revisit records that refer to it.
 
 Defined cases: null html counts as an empty payload and null url as an empty one; rows that repeat an identifier
-are all written, and one of them is the response; null identifiers come last and refer to the group's response; an
+are all written, and of those with one payload one is the response; null identifiers come last and refer to the group's response; an
 empty table writes no bundle; other columns are not read.
 """
 
@@ -35,6 +35,8 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 RECORD_MAP = 0x184D2A50
 MAP_ENTRY = struct.Struct("<qBII")  # identifier, whether it has one, frame number, offset in the frame
 BUNDLE_BYTES = 64 << 20
+#: A frame is closed when its records come to as much; a longer record has one of its own.
+FRAME_BYTES = 256 << 10
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -94,22 +96,32 @@ def parse_record(raw: bytes) -> dict:
 
 
 class BundleWriter:
-    """Writes records as frames; memory holds one record and the tables."""
+    """Writes records into frames; memory holds one frame or record and the tables."""
 
     def __init__(self, out):
         import zstandard
 
-        self.out, self.frames, self.map, self.size = out, [], [], 0
+        self.out, self.frames, self.map, self.size, self.open = out, [], [], 0, bytearray()
         self.zstd = zstandard.ZstdCompressor(level=3)
 
     def add(self, page_id: int | None, record: bytes) -> None:
-        data = self.zstd.compress(record)
-        self.out.write(data)
-        self.map.append((page_id, len(self.frames), 0))
-        self.frames.append((len(data), len(record)))
-        self.size += len(data)
+        if self.open and len(self.open) + len(record) > FRAME_BYTES:
+            self.flush()
+        self.map.append((page_id, len(self.frames), len(self.open)))
+        self.open += record
+        if len(self.open) >= FRAME_BYTES:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.open:
+            data = self.zstd.compress(bytes(self.open))
+            self.out.write(data)
+            self.frames.append((len(data), len(self.open)))
+            self.size += len(data)
+            self.open = bytearray()
 
     def close(self) -> None:
+        self.flush()
         table = b"".join(MAP_ENTRY.pack(i or 0, i is not None, frame, at) for i, frame, at in self.map)
         table += struct.pack("<I", len(self.map))
         self.out.write(struct.pack("<II", RECORD_MAP, len(table)) + table)
@@ -138,19 +150,27 @@ class Bundle:
         table = f.read(sizes[-1][0])[8:-4]
         self.map = [(i if known else None, frame, start) for i, known, frame, start in MAP_ENTRY.iter_unpack(table)]
 
-    def record(self, frame: int, start: int) -> bytes:
+    def frame(self, i: int) -> bytes:
         import zstandard
 
-        at, packed, _ = self.places[frame]
+        at, packed, _ = self.places[i]
         self.f.seek(at)
-        return zstandard.ZstdDecompressor().decompress(self.f.read(packed))[start:]
+        return zstandard.ZstdDecompressor().decompress(self.f.read(packed))
+
+    def end(self, n: int) -> int:
+        """Where the n-th record ends in its frame."""
+        frame = self.map[n][1]
+        return self.map[n + 1][2] if n + 1 < len(self.map) and self.map[n + 1][1] == frame else self.places[frame][2]
 
     def records(self):
-        for _, frame, start in self.map:
-            yield parse_record(self.record(frame, start))
+        last, data = None, b""
+        for n, (_, frame, start) in enumerate(self.map):
+            if frame != last:
+                last, data = frame, self.frame(frame)
+            yield parse_record(data[start : self.end(n)])
 
     def get(self, page_id: int) -> dict | None:
-        return next((parse_record(self.record(frame, at)) for i, frame, at in self.map if i == page_id), None)
+        return next((parse_record(self.frame(frame)[at : self.end(n)]) for n, (i, frame, at) in enumerate(self.map) if i == page_id), None)
 
 
 def mark_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str, revisit_bytes: int) -> DataFrame:
@@ -182,23 +202,26 @@ def write_bundles(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
         seen = set()
         for b in batches:
             for page, url, payload, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                revisit = first is not None and (page != first or page in seen)
-                if page == first and first is not None:
-                    seen.add(page)
+                payload = payload.encode()
+                # an identifier may come with several payloads: each has a response
+                mine = (page, hashlib.sha256(payload).digest()) if page == first and first is not None else None
+                revisit = first is not None and (mine is None or mine in seen)
+                if mine:
+                    seen.add(mine)
                 if out is None:
                     name = f"bundle-{uuid.uuid4().hex}.warc.zst"
                     out = files.open_output_stream(f"{base}/{name}", compression=None)
                     bundle = BundleWriter(out)
-                bundle.add(page, build_record(page, url, payload.encode(), first, revisit))
+                bundle.add(page, build_record(page, url, payload, first, revisit))
                 if bundle.size >= BUNDLE_BYTES:
                     bundle.close()
                     out.close()
-                    done.append((f"{path}/{name}", len(bundle.frames)))
+                    done.append((f"{path}/{name}", len(bundle.map)))
                     out = None
         if out is not None:
             bundle.close()
             out.close()
-            done.append((f"{path}/{name}", len(bundle.frames)))
+            done.append((f"{path}/{name}", len(bundle.map)))
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done]), pa.array([d[1] for d in done], pa.int64())], ["path", "records"])
 

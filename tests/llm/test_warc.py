@@ -5,7 +5,7 @@ import zstandard
 
 from pawprint.llm.common import scratch
 from pawprint.llm.queries import QUERIES
-from pawprint.llm.warc import get_record, read_bundles, write_bundles
+from pawprint.llm.warc import FRAME_BYTES, Bundle, get_record, read_bundles, write_bundles
 
 
 def brute(rows, least=0):
@@ -42,3 +42,23 @@ def test_edges(spark):
     got = read_bundles(write_bundles(twice, scratch(spark, "warc-test"))).collect()
     assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in got) == [("5", "response", None), ("5", "revisit", 5), ("None", "revisit", 5)]
     assert read_bundles(write_bundles(pages.limit(0), scratch(spark, "warc-test"))).count() == 0
+
+
+def test_frames_hold_several_records(spark):
+    rows = [(i, "u", f"page {i} " + "x" * (FRAME_BYTES * 2 if i == 50 else i * 40)) for i in range(300)]
+    bundles = write_bundles(spark.createDataFrame(rows, "page_id bigint, url string, html string"), scratch(spark, "warc-test")).collect()
+    assert sum(b.records for b in bundles) == 300
+    for b in bundles:
+        path = b.path.removeprefix("file://")
+        with open(path, "rb") as f:
+            bundle = Bundle(f, f.seek(0, 2))
+            assert len(bundle.places) < len(bundle.map) and any(at for _, _, at in bundle.map)
+            assert all(whole <= FRAME_BYTES or sum(m[1] == i for m in bundle.map) == 1 for i, (_, _, whole) in enumerate(bundle.places))
+            assert all(bundle.get(i)["payload"] == rows[i][2].encode() for i, _, _ in bundle.map)
+
+
+def test_identifier_with_two_shared_payloads(spark):
+    rows = [(5, "u", "a"), (5, "u", "b"), (6, "u", "a"), (7, "u", "b"), (5, "u", "b")]
+    got = read_bundles(write_bundles(spark.createDataFrame(rows, "page_id bigint, url string, html string"), scratch(spark, "warc-test")), with_payload=True).collect()
+    assert sorted(r.payload for r in got if r.record_type == "response") == [b"a", b"b"]
+    assert sorted((r.page_id, r.refers_to) for r in got if r.record_type == "revisit") == [(5, 5), (6, 5), (7, 5)]
