@@ -42,7 +42,9 @@ def events(m: DataFrame, cfg: SocIntConfig) -> DataFrame:
     """Adds the 17 base events as nullable booleans."""
     w = track("file")
     c, body = F.col, F.col("d_body1_body2")
-    contact = lambda d, a: (c(d) <= cfg.contact) & (c(a) <= cfg.facing_deg)
+    # rounded, since an angle at the limit may come out to either side of it
+    facing = lambda a: F.round(c(a), 9) <= cfg.facing_deg
+    contact = lambda d, a: (c(d) <= cfg.contact) & facing(a)
     ago, ahead = F.lag(body, cfg.lag).over(w), F.lead(body, cfg.lag).over(w)
     s1, s2 = c("speed1") > cfg.move, c("speed2") > cfg.move
     out = {
@@ -56,7 +58,7 @@ def events(m: DataFrame, cfg: SocIntConfig) -> DataFrame:
         "side_by_side_antiparallel": (c("d_nose1_tail2") <= cfg.side) & (body <= cfg.side) & (c("d_nose2_tail1") <= cfg.side) & (c("heading_diff") >= cfg.anti_deg),
         "close_proximity": body <= cfg.close,
         "medium_proximity": (body > cfg.close) & (body <= cfg.medium),
-        "mutually_facing": (c("ang_1_nose2") <= cfg.facing_deg) & (c("ang_2_nose1") <= cfg.facing_deg) & (body <= cfg.medium),
+        "mutually_facing": facing("ang_1_nose2") & facing("ang_2_nose1") & (body <= cfg.medium),
         "a1_following_a2": (body <= cfg.follow) & (F.lag("speed2", cfg.lag).over(w) > cfg.move) & s1,
         "a2_following_a1": (body <= cfg.follow) & (F.lag("speed1", cfg.lag).over(w) > cfg.move) & s2,
         "a1_avoidance_from_a2": (body <= cfg.avoid_start) & (ahead - body >= cfg.avoid_delta) & s1,

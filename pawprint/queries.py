@@ -462,12 +462,21 @@ A2N = angle_sql("nx2-bx2", "ny2-by2", "nx1-nx2", "ny1-ny2")
 
 @query("directed_contact", f"with {D_SQL}, e as (select file, d_nn <= 8 and {A1N} <= 90 + 0 as a, d_nn <= 8 and {A2N} <= 90 + 0 as b, d_bb <= 12 as c, d_bb > 12 and d_bb <= 25 as m from d1 where coalesce(abs({A1N} - 90) > 1e-6, true) and coalesce(abs({A2N} - 90) > 1e-6, true)) select file, count(*) filter (a) as a1_face, count(*) filter (b) as a2_face, count(*) filter (a and b) as mutual, count(*) filter (c) as close, count(*) filter (m) as medium from e group by file")
 def directed_contact(spark, sf_dir):
-    # right angles are left out on both sides: engines round them to either side of the limit
+    """Without frames of right angles, as its SQL is (engines round them to either side of the limit); directed_contact_all has all frames."""
     e = _dyads(spark, sf_dir).filter(F.coalesce(F.abs(F.col("ang_1_nose2") - 90) > 1e-6, F.lit(True)) & F.coalesce(F.abs(F.col("ang_2_nose1") - 90) > 1e-6, F.lit(True)))
+    return _contacts(e)
+
+
+def _contacts(e):
     a, b = F.col("a1_nose_to_nose2"), F.col("a2_nose_to_nose1")
     return e.groupBy("file").agg(F.count_if(a).alias("a1_face"), F.count_if(b).alias("a2_face"), F.count_if(a & b).alias("mutual"), F.count_if("close_proximity").alias("close"), F.count_if("medium_proximity").alias("medium"))
 
 
+@query("directed_contact_all")
+def directed_contact_all(spark, sf_dir):
+    return _contacts(_dyads(spark, sf_dir))
+
+
 LAG_SQL = D_SQL + ", l as (select *, lag(d_bb, 2) over w as ago, lead(d_bb, 2) over w as ahead, lag(s1, 2) over w as s1p, lag(s2, 2) over w as s2p from d1 window w as (partition by file order by frame))"
 
 

@@ -1,7 +1,9 @@
 """Queries that take their whole tables, against brute force."""
 
+import math
 from collections import Counter, defaultdict
 
+from pawprint import queries
 from pawprint.queries import QUERIES, frames
 
 SMALL = "/root/testdata/sf0.001"
@@ -36,3 +38,18 @@ def test_explicit_bins_use_every_customer(spark, tmp_path):
                 valid[f.file, kind] += f.x is not None
     got = {(r.file, r.bin): (r.n, r.valid) for r in QUERIES["explicit_bins_all"](spark, str(tmp_path)).collect()}
     assert got == {k: (n[k], valid[k]) for k in n} and sum(n.values()) > sum(r.n for r in QUERIES["explicit_bins"](spark, str(tmp_path)).collect())
+
+
+def test_directed_contact_counts_right_angles(spark, monkeypatch):
+    """Animal 1 at many headings, its nose turned by just 90 degrees from animal 2's; animal 2 faces it."""
+    names = [f"{p}_{c}" for p in ("body1", "nose1", "tail1", "body2", "nose2", "tail2") for c in "xy"]
+    rows = []
+    for i in range(200):
+        a = i * 0.7
+        u, v = math.cos(a), math.sin(a)
+        n2 = (3 + u - 5 * v, 4 + v + 5 * u)
+        rows.append(("f", i, 3.0, 4.0, 3 + u, 4 + v, 2.0, 4.0, n2[0] - v, n2[1] + u, *n2, 9.0, 9.0))
+    d = spark.createDataFrame(rows, ["file", "frame", *names])
+    monkeypatch.setattr(queries, "dyads_from_events", lambda *_: d)
+    assert tuple(QUERIES["directed_contact_all"](spark, "").first()) == ("f", 200, 200, 200, 200, 0)
+    assert QUERIES["directed_contact"](spark, "").count() == 0
