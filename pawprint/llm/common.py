@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Sides of a join under this many bytes may be broadcast; the callers compute the bound first.
@@ -13,9 +16,11 @@ BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a new local one (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Without it a new local one, with a local master only (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pawprint-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -26,13 +31,42 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/pawprint-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+_TEMPORARY: list[list[str]] = []
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage and survives lost executors. Inside temporary() it goes at the end unless keep is set."""
     path = scratch(df.sparkSession, name)
+    if _TEMPORARY and not keep:
+        _TEMPORARY[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary(spark: SparkSession):
+    """Deletes at its end the tables that were written inside; what goes out of it has to be written with keep."""
+    _TEMPORARY.append([])
+    try:
+        yield
+    finally:
+        for path in map(spark._jvm.org.apache.hadoop.fs.Path, _TEMPORARY.pop()):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def without(docs: DataFrame, gone: DataFrame, keys: list[Column], row_bytes: int) -> DataFrame:
+    """docs without the rows whose keys (expressions over docs) equal a row of gone, a written table. Extra columns of docs may have any name."""
+    taken, names = {c.lower() for c in docs.columns}, []
+    for i in range(len(keys)):
+        name = f"gone_{i}"
+        while name in taken:
+            name += "_"
+        names.append(name)
+    gone = gone.toDF(*names)
+    same = reduce(lambda a, b: a & b, (key == gone[name] for key, name in zip(keys, names, strict=True)))
+    return docs.join(bounded_broadcast(gone, gone.count(), row_bytes), same, "left_anti")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

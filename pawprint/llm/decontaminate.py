@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bounded_broadcast, written
+from .common import ascii_lower, bounded_broadcast, temporary, without, written
 
 #: Fixed value: a word is a run of ASCII digits, ASCII lower-case letters (after lower-casing) and other characters.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -138,8 +138,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, **cols: st
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that hold a window of the benchmark, all columns kept."""
-    index = PositionalIndex(docs, benchmark, n, id_col=id_col, text_col=text_col)
-    hit = written(index.phrases().select("rid").distinct(), "contaminated")
-    rid = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
-    gone = hit.select(F.col("rid").alias("__gone"))
-    return docs.join(bounded_broadcast(gone, hit.count(), 16), rid == F.col("__gone"), "left_anti")
+    with temporary(docs.sparkSession):
+        index = PositionalIndex(docs, benchmark, n, id_col=id_col, text_col=text_col)
+        hit = written(index.phrases().select("rid").distinct(), "contaminated", keep=True)
+    return without(docs, hit, [F.xxhash64(docs[id_col], F.coalesce(docs[text_col], F.lit("")))], 16)

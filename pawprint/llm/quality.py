@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import without, written
 
 STATISTICS = ["words", "word_length", "upper", "exclaims", "symbols", "bars", "digits", "stops", "lines", "repeats", "distinct", "same_lines", "brackets"]
 # Byte classes of the statistics.
@@ -147,8 +147,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.3, folds:
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, cut: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that the classifier rejects, all columns kept. Rows with one identifier go only if all of them are rejected."""
-    from .common import bounded_broadcast
-
     scores = quality_scores(docs, labels, cut, id_col=id_col, text_col=text_col)
-    gone = written(scores.groupBy("doc_id").agg(F.max("predicted").alias("p")).filter("p = 0 and doc_id is not null").select(F.col("doc_id").alias("__gone")), "rejected")
-    return docs.join(bounded_broadcast(gone, gone.count(), 32), docs[id_col] == F.col("__gone"), "left_anti")
+    gone = scores.groupBy("doc_id").agg(F.max("predicted").alias("p")).filter("p = 0 and doc_id is not null").select("doc_id")
+    return without(docs, written(gone, "rejected"), [docs[id_col]], 32)
