@@ -7,12 +7,12 @@ Shards are written by Spark tasks in ascending key order, one for each sort rang
 A block holds entries (shared key bytes, own key bytes, value bytes as varints; key rest; value), with a restart
 point - an entry with its whole key - every RESTART entries, the offsets of these, and is compressed. The sparse
 index has the last key of each block with its place; a lookup asks the Bloom filter, then bisects the index, then
-the restart points. Keys are 8 bytes that sort as the signed identifiers do. A value is a byte for the width of
+the restart points. Keys are 8 bytes that sort as the signed identifiers do (none for a null). A value is a byte for the width of
 an id (2 or 4 bytes) and the ids, little-endian.
 
 Defined cases: null text counts as empty (only the end id is written); rows that repeat an identifier are all
-written, in order of their text; a null identifier is an error, since it can be no key; an empty table gives no
-shard and an empty result; other columns are not read.
+written, in order of their text, and may span shards; null identifiers have the empty key, which sorts before
+all others; an empty table gives no shard and an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ from .common import scratch, shuffle_partitions, written
 MAGIC = b"PAWSST01"
 FOOTER = struct.Struct("<QQQQQQ8s")  # bloom at, bloom bytes, index at, index bytes, entries, ids, magic
 BLOCK_BYTES = 64 << 10
+#: Characters of a text that part the rows of one identifier.
+HEAD_CHARS = 16
 RESTART = 16
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 MEMO_ENTRIES = 400_000
@@ -55,10 +57,30 @@ class TextEncoder:
         self.tokenizer, self.cut, self.memo = Tokenizer.from_str(json), cut, {"": b""}
         # matched in the text as it is, before the normaliser
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # ids that end a word, if the model marks them: words can then be encoded side by side in one text
+        vocab, self.ends = self.tokenizer.get_vocab(), None
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if suffix:
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for piece, i in vocab.items() if piece.endswith(suffix)]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _side_by_side(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, each of which is one word to the pre-tokeniser and ends in one id that says so."""
+        out = []
+        for lo in range(0, len(words), 500):
+            (found,) = self.tokenizer.encode_batch_fast([" ".join(words[lo : lo + 500])], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            if len(ends) != len(words[lo : lo + 500]) or ends[-1] != len(raw):
+                out += self._ids(words[lo : lo + 500])
+            else:
+                out += map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends))
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if not self.cut:
@@ -67,14 +89,19 @@ class TextEncoder:
             self.memo = {"": b""}
         memo = self.memo
         parts = [_lowered(t, self.added).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = {w for p in parts for w in p if w not in memo}
+        new = set().union(*parts).difference(memo)
         # an ASCII word before a full stop or comma is a word of its own
-        ended = {w for w in new if w[-1] in ".," and w.isascii() and w[:-1].isalpha()}
-        new = (new - ended) | {x for w in ended for x in (w[:-1], w[-1]) if x not in memo}
+        ended = [w for w in new if w[-1] in ".," and w.isascii() and w[:-1].isalpha()]
+        new.difference_update(ended)
+        new.update(x for w in ended for x in (w[:-1], w[-1]) if x not in memo)
+        # up to U+012F a letter is one to all tables, and lower case has as many letters
+        plain = [w for w in new if w.isalpha() and (w.isascii() or max(w) < "\u0130")] if self.ends is not None else []
+        memo.update(zip(plain, self._side_by_side(plain), strict=True))
+        new.difference_update(plain)
         order = list(new)
         memo.update(zip(order, self._ids(order), strict=True))
         memo.update((w, memo[w[:-1]] + memo[w[-1]]) for w in ended)
-        return [b"".join([memo[w] for w in p]) for p in parts]
+        return [b"".join(map(memo.__getitem__, p)) for p in parts]
 
 
 def _lowered(text: str, added: list[str]) -> str:
@@ -106,12 +133,12 @@ def can_cut(json: str) -> bool:
     return bool(dropped and known and not any(c.isspace() for t in spec["added_tokens"] for c in t["content"]))
 
 
-def key_of(doc_id: int) -> bytes:
-    return struct.pack(">Q", doc_id + (1 << 63))
+def key_of(doc_id: int | None) -> bytes:
+    return b"" if doc_id is None else struct.pack(">Q", doc_id + (1 << 63))
 
 
-def id_of(key: bytes) -> int:
-    return struct.unpack(">Q", key)[0] - (1 << 63)
+def id_of(key: bytes) -> int | None:
+    return struct.unpack(">Q", key)[0] - (1 << 63) if key else None
 
 
 def _varint(n: int) -> bytes:
@@ -134,9 +161,13 @@ def _read_varint(buf, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def _bloom_places(key: bytes, bits: int) -> list[int]:
-    h = int.from_bytes(hashlib.blake2b(key, digest_size=16).digest(), "little")
-    a, b = h & (1 << 64) - 1, h >> 64 | 1
+def _key_hash(key: bytes) -> bytes:
+    return hashlib.blake2b(key, digest_size=16).digest()
+
+
+def _bloom_places(key_hash: bytes, bits: int) -> list[int]:
+    a, b = struct.unpack("<QQ", key_hash)
+    b |= 1
     return [(a + i * b) % bits for i in range(BLOOM_HASHES)]
 
 
@@ -146,15 +177,15 @@ class ShardWriter:
     def __init__(self, out):
         import zstandard
 
-        self.out, self.at, self.index, self.keys, self.ids = out, 0, [], [], 0
+        self.out, self.at, self.index, self.hashes, self.entries, self.ids, self.last = out, 0, [], bytearray(), 0, 0, b""
         self.zstd = zstandard.ZstdCompressor(level=1)
         self._start()
 
     def _start(self):
-        self.block, self.restarts, self.n, self.last = bytearray(), [], 0, b""
+        self.block, self.restarts, self.n = bytearray(), [], 0
 
     def add(self, key: bytes, value: bytes, n_ids: int) -> None:
-        if self.keys and key < self.keys[-1]:
+        if key < self.last:
             raise ValueError("keys have to come in ascending order")
         shared = 0
         if self.n % RESTART:
@@ -162,8 +193,9 @@ class ShardWriter:
         else:
             self.restarts.append(len(self.block))
         self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
-        self.n, self.last, self.ids = self.n + 1, key, self.ids + n_ids
-        self.keys.append(key)
+        if not self.entries or key != self.last:
+            self.hashes += _key_hash(key)
+        self.n, self.last, self.entries, self.ids = self.n + 1, key, self.entries + 1, self.ids + n_ids
         if len(self.block) >= BLOCK_BYTES:
             self.flush()
 
@@ -179,13 +211,13 @@ class ShardWriter:
 
     def close(self) -> None:
         self.flush()
-        bits = max(64, -(-len(self.keys) * BLOOM_BITS // 8) * 8)
+        bits = max(64, -(-len(self.hashes) // 16 * BLOOM_BITS // 8) * 8)
         bloom = np.zeros(bits, bool)
-        for k in self.keys:
-            bloom[_bloom_places(k, bits)] = True
+        for i in range(0, len(self.hashes), 16):
+            bloom[_bloom_places(bytes(self.hashes[i : i + 16]), bits)] = True
         bloom = np.packbits(bloom, bitorder="little").tobytes()
         index = b"".join(struct.pack("<H", len(k)) + k + struct.pack("<QQ", at, n) for k, at, n in self.index)
-        self.out.write(bloom + index + FOOTER.pack(self.at, len(bloom), self.at + len(bloom), len(index), len(self.keys), self.ids, MAGIC))
+        self.out.write(bloom + index + FOOTER.pack(self.at, len(bloom), self.at + len(bloom), len(index), self.entries, self.ids, MAGIC))
 
 
 class Shard:
@@ -235,10 +267,10 @@ class Shard:
         for i in range(len(self.index)):
             yield from self._entries(self._block(i)[0])
 
-    def get(self, doc_id: int) -> np.ndarray | None:
+    def get(self, doc_id: int | None) -> np.ndarray | None:
         """The ids of the first document with this identifier."""
         key = key_of(doc_id)
-        if not all(self.bloom[_bloom_places(key, len(self.bloom))]):
+        if not all(self.bloom[_bloom_places(_key_hash(key), len(self.bloom))]):
             return None
         i = bisect.bisect_left(self.index, key, key=lambda x: x[0])
         if i == len(self.index):
@@ -261,7 +293,7 @@ def unpack(value: bytes) -> np.ndarray:
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes the texts and writes them as shards under path. Returns a written table, a row for each shard: path, first_id, entries, n_ids.
+    """Encodes the texts and writes them as shards under path. Returns a written table, a row for each shard: path, first_id, first_head, entries, n_ids.
 
     A task writes under a name of its own, and only what successful tasks return is listed: leftovers of failed
     or repeated tasks are never read.
@@ -270,18 +302,18 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
         json = f.read()
     spark = docs.sparkSession
     tokenizer, cut, end = spark.sparkContext.broadcast(json), can_cut(json), np.array([end_id], "<u4").tobytes()
-    kept = {"path": pa.string(), "first_id": pa.int64(), "entries": pa.int64(), "n_ids": pa.int64()}
+    kept = {"path": pa.string(), "first_id": pa.int64(), "first_head": pa.string(), "entries": pa.int64(), "n_ids": pa.int64()}
 
     def run(batches):
         enc, out = encoder(tokenizer.value, cut), None
         for b in batches:
-            doc_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            doc_ids, texts, heads = (c.to_pylist() for c in b.columns)
             for lo in range(0, len(texts), 500):
-                for d, ids in zip(doc_ids[lo : lo + 500], enc.encode(texts[lo : lo + 500]), strict=True):
+                for d, head, ids in zip(doc_ids[lo : lo + 500], heads[lo : lo + 500], enc.encode(texts[lo : lo + 500]), strict=True):
                     if out is None:
                         files, base = fs.FileSystem.from_uri(path)
                         files.create_dir(base)
-                        name, first = f"shard-{d + (1 << 63):020d}-{uuid.uuid4().hex[:8]}.sst", d
+                        name, first = f"shard-{key_of(d).hex() or 'null'}-{uuid.uuid4().hex[:8]}.sst", (d, head)
                         out = files.open_output_stream(f"{base}/{name}", compression=None)
                         shard = ShardWriter(out)
                     ids = np.frombuffer(ids + end, "<u4")
@@ -289,19 +321,20 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
         if out is not None:
             shard.close()
             out.close()
-            row = [f"{path}/{name}", first, len(shard.keys), shard.ids]
+            row = [f"{path}/{name}", *first, shard.entries, shard.ids]
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kept.values(), strict=True)], list(kept))
 
-    rows = docs.select(F.when(F.col(id_col).isNull(), F.raise_error("a null identifier can be no key")).otherwise(F.col(id_col)).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ranged = rows.repartitionByRange(2 * shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ranged.mapInArrow(run, "path string, first_id bigint, entries bigint, n_ids bigint"), "shards")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("head", F.substring("text", 1, HEAD_CHARS))  # an identifier of many rows is dealt to several ranges
+    ranged = rows.repartitionByRange(2 * shuffle_partitions(spark), "doc_id", "head").sortWithinPartitions("doc_id", "text")
+    return written(ranged.mapInArrow(run, "path string, first_id bigint, first_head string, entries bigint, n_ids bigint"), "shards")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, one row for each entry of the listed shards."""
     spark = manifest.sparkSession
     shards, start = [], 0
-    for r in sorted(manifest.collect(), key=lambda r: r["first_id"]):  # a row for each shard, as many as write partitions
+    for r in sorted(manifest.collect(), key=lambda r: (key_of(r["first_id"]), r["first_head"])):  # a row for each shard, as many as write partitions
         shards.append((r["path"], start))
         start += r["n_ids"]
     kept = {"doc_id": pa.int64(), "start": pa.int64(), "n_tokens": pa.int64(), "ids_crc32": pa.int64()}

@@ -91,5 +91,23 @@ def test_table_edges(spark):
     empty = docs.filter("doc_id = 0")
     assert token_tables(empty, P.path("word_bpe_49k.json")).count() == 0
     assert token_counts(empty, P.path("piece_bpe_32k.model")).count() == 0
-    with pytest.raises(Exception, match="null identifier"):
-        token_tables(spark.createDataFrame([(None, "a")], "doc_id bigint, text string"), P.path("word_bpe_49k.json")).count()
+
+
+def test_table_null_and_hot_identifiers(spark):
+    """A null identifier comes first; rows of one identifier are dealt to several shards and keep the order of their text."""
+    rows = [(None, "a b"), (1, "z")] + [(4, f"{i:03d} word") for i in range(300)] + [(None, "c")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    manifest = write_shards(docs, P.path("word_bpe_49k.json"), scratch(spark, "sst-null"))
+    got = read_shards(manifest).orderBy("start").collect()
+    enc = TextEncoder(open(P.path("word_bpe_49k.json"), encoding="utf-8").read(), False)
+    want = [(d, np.frombuffer(enc.encode([t])[0] + np.array([2], "<u4").tobytes(), "<u4")) for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))]
+    assert [(r.doc_id, r.n_tokens, r.ids_crc32) for r in got] == [(d, len(x), zlib.crc32(x.tobytes())) for d, x in want]
+    assert manifest.filter("first_id = 4 or first_id is null").count() > 2
+
+
+def test_words_side_by_side():
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        enc = TextEncoder(f.read(), True)
+    odd = ["Ünï Ærøskøbing ﬁ İstanbul ĲSSEL straße's a'll don't été ÅNGSTRÖM Å x́ ªº ß ŉ", "a.b. c, d. É. ı.", "русский ТЕКСТ. Σς 日本", "", "x\x85w\x1cq  y", "Zq" * 3000]
+    assert enc.ends is not None
+    assert [list(np.frombuffer(x, "<u4")) for x in enc.encode(odd)] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in odd]
