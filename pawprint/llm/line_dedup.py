@@ -21,9 +21,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, written
+from .common import bounded_broadcast, temporary, written
 
 ROW = ["doc_id", "rid"]
+#: Values that a running xor handles at a time.
+SCAN_BLOCK = 256
+#: Memory of a row of places in a broadcast join, as measured.
+PLACE_BYTES = 240
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value evaluated once: a lambda's body has no common subexpressions."""
+    return F.transform(F.array(value), body)[0]
 
 
 def words_of(line: Column) -> Column:
@@ -45,6 +54,41 @@ def one_edit(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), wrong <= 1).when(F.abs(F.size(a) - F.size(b)) == 1, without == shorter).otherwise(False)
 
 
+def _at(place: Column, word: Column) -> Column:
+    return F.xxhash64(word, place)
+
+
+def sequence_hash(words: str) -> Column:
+    """Hash of an array of words: the hashes of word and place, joined by xor."""
+    return F.aggregate(F.transform(words, lambda w, i: _at(i, w)), F.lit(0).cast("bigint"), lambda h, x: h.bitwiseXOR(x))
+
+
+def xor_before(values: Column) -> Column:
+    """For each place of an array of longs, the xor of all before it; and last, of all. In blocks, so that long arrays are not copied for each place."""
+    none = F.lit(0).cast("bigint")
+    scan = lambda part: F.aggregate(part, F.array(none), lambda done, x: F.concat(done, F.array(F.element_at(done, -1).bitwiseXOR(x))))
+    parts = F.transform(F.sequence(F.lit(0), F.floor(F.size(values) / SCAN_BLOCK).cast("int")), lambda k: scan(F.slice(values, k * SCAN_BLOCK + 1, SCAN_BLOCK)))
+
+    def joined(parts: Column) -> Column:
+        starts = scan(F.transform(parts, lambda p: F.element_at(p, -1)))
+        inside = lambda starts: F.flatten(F.transform(parts, lambda p, k: F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x: x.bitwiseXOR(F.get(starts, k)))))
+        return _let(starts, lambda starts: F.concat(inside(starts), F.array(F.element_at(starts, -1))))
+
+    return _let(parts, joined)
+
+
+def without_each(words: str) -> Column:
+    """sequence_hash of the array without its i-th word, for each i: what stands before, and what stands after, a place earlier."""
+    here, earlier = F.transform(words, lambda w, i: _at(i, w)), F.transform(words, lambda w, i: _at(i - 1, w))
+
+    def hashes(before: Column, other: Column) -> Column:
+        # all, without what stands up to i
+        after = lambda i: F.element_at(other, -1).bitwiseXOR(F.get(other, i + 1))
+        return F.transform(F.slice(before, F.lit(1), F.size(before) - 1), lambda x, i: x.bitwiseXOR(after(i)))
+
+    return _let(xor_before(here), lambda before: _let(xor_before(earlier), lambda other: hashes(before, other)))
+
+
 class LineDedup:
     def __init__(self, docs: DataFrame, min_words: int = 8, id_col: str = "doc_id", text_col: str = "text", short_partners: bool = False):
         text = F.coalesce(F.col(text_col), F.lit(""))
@@ -53,7 +97,7 @@ class LineDedup:
         self.partner_words = min_words - short_partners
 
     def lines(self) -> DataFrame:
-        """h1, h2 (hashes of a distinct line's text), first (its earliest occurrence), n (words), keys of its halves."""
+        """h1, h2 (hashes of a distinct line's text), first (its earliest occurrence), n (occurrences), keys of its halves."""
         rows = line_rows(self.docs).withColumn("words", words_of(F.col("line")))
         n = F.size("words")
         halves = []
@@ -62,7 +106,7 @@ class LineDedup:
             halves += [F.xxhash64(c, F.lit("first"), F.slice("words", F.lit(1), p)), F.xxhash64(c, F.lit("last"), F.slice("words", n - (c - p) + 1, c - p))]
         keys = F.when(n >= self.min_words, F.array(*halves)).when(n >= self.partner_words, F.array(*halves[:2])).otherwise(F.array().cast("array<bigint>"))
         rows = rows.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"), F.struct(*ROW, "no").alias("at"), keys.alias("keys"))
-        return rows.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.first("keys").alias("keys"))
+        return rows.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("n"))
 
     def near(self, lines: DataFrame) -> DataFrame:
         """h1, h2 of lines with an earlier line one edit away."""
@@ -71,13 +115,12 @@ class LineDedup:
         some = written(halves.join(shared, "key").select("h1", "h2").distinct().join(lines.select("h1", "h2", "first"), ["h1", "h2"]), "near-lines")
         places = some.select("h1", "h2", F.col("first.doc_id").alias("of_id"), F.col("first.rid").alias("of_rid"), F.col("first.no").alias("of_no"), "first")
         there = (F.col("rid") == F.col("of_rid")) & F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("no") == F.col("of_no"))
-        texts = line_rows(self.docs).join(bounded_broadcast(places, places.count(), 80), there).select("h1", "h2", "first", words_of(F.col("line")).alias("words")).dropDuplicates(["h1", "h2"])
+        texts = line_rows(self.docs).join(bounded_broadcast(places, places.count(), PLACE_BYTES), there).select("h1", "h2", "first", words_of(F.col("line")).alias("words")).dropDuplicates(["h1", "h2"])
         texts = written(texts, "near-line-words")
         n = F.size("words")
-        left_out = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.concat(F.slice("words", F.lit(1), i - 1), F.slice("words", i + 1, n))).alias("v")))
-        variants = texts.filter(n >= self.min_words).select("h1", "h2", "first", F.explode(left_out).alias("x")).select("h1", "h2", "first", "x.pos", "x.v")
+        variants = texts.filter(n >= self.min_words).select("h1", "h2", "first", F.posexplode(without_each("words")).alias("pos", "v"))
         variants = written(variants, "variants")
-        whole = texts.select("h1", "h2", "first", F.xxhash64("words").alias("v"), (n >= self.min_words).alias("asks"))
+        whole = texts.select("h1", "h2", "first", sequence_hash("words").alias("v"), (n >= self.min_words).alias("asks"))
         earliest = lambda rows, *keys: rows.groupBy(*keys).agg(F.min("first").alias("earlier"), F.count(F.lit(1)).alias("m"))
         replaced = variants.join(earliest(variants, "v", "pos").filter("m > 1"), ["v", "pos"]).select("h1", "h2", "first", "earlier")
         longer = variants.join(whole.select("v", F.col("first").alias("earlier")), "v").select("h1", "h2", "first", "earlier")
@@ -88,17 +131,22 @@ class LineDedup:
         other = texts.select(F.col("first").alias("earlier"), F.col("words").alias("other"))
         return mine.join(other, "earlier").filter(one_edit(F.col("words"), F.col("other"))).select("h1", "h2")
 
-    def clean(self) -> DataFrame:
-        """One row per document: doc_id, n_lines, n_equal and n_near (lines that went), text (the lines that stay)."""
+    def gone(self) -> DataFrame:
+        """of_id, of_rid, equal, near: the numbers of the lines that go, of each document that has any."""
         lines = written(self.lines(), "lines")
         near = self.near(lines).withColumn("near", F.lit(True)).dropDuplicates(["h1", "h2"])
         near = written(near, "near-found")
-        known = lines.select("h1", "h2", "first").join(near, ["h1", "h2"], "left")
+        known = lines.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").filter("n > 1 or near").drop("n")  # all others stay
         rows = line_rows(self.docs).select(*ROW, "no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"))
         seen = rows.join(known, ["h1", "h2"]).withColumn("equal", F.struct(*ROW, "no") != F.col("first")).filter(F.col("equal") | F.col("near"))
         # equal rows of documents repeat their lines: a set, bounded by the document's own lines
-        gone = seen.groupBy(*ROW).agg(F.collect_set(F.when(F.col("equal"), F.col("no"))).alias("equal"), F.collect_set(F.when(~F.col("equal"), F.col("no"))).alias("near"))
-        gone = gone.select(F.col("doc_id").alias("of_id"), F.col("rid").alias("of_rid"), "equal", "near")
+        found = seen.groupBy(*ROW).agg(F.collect_set(F.when(F.col("equal"), F.col("no"))).alias("equal"), F.collect_set(F.when(~F.col("equal"), F.col("no"))).alias("near"))
+        return found.select(F.col("doc_id").alias("of_id"), F.col("rid").alias("of_rid"), "equal", "near")
+
+    def clean(self) -> DataFrame:
+        """One row per document: doc_id, n_lines, n_equal and n_near (lines that went), text (the lines that stay)."""
+        with temporary(self.docs.sparkSession):
+            gone = written(self.gone(), "gone-lines", keep=True)
         joined = self.docs.join(gone, (F.col("rid") == F.col("of_rid")) & F.col("doc_id").eqNullSafe(F.col("of_id")), "left")
         out = F.coalesce(F.concat("equal", "near"), F.array().cast("array<int>"))
         stay = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.col("out"), i))
