@@ -6,9 +6,10 @@
    the bucket's hub (the node of most copies). The similarity estimated from bit counts, corrected for chance
    collisions of the low bits, drops pairs that are surely apart; the others are confirmed on full sets.
 3. The rest of a hub's group, exactly: a pair of members that are not yet connected is compared by its signatures if
-   the group is small. In a large group each member is reduced to its difference from the hub. Two linked sets differ
-   in few elements, so their differences must agree in all but these, and share an element among the first few of
-   them in one order, rare elements first. Only such pairs are compared.
+   the group is small. In a large group, central members take the hub's place: each connects what is like it, and the
+   members that are left get the next centre. Then each member is reduced to its difference from a centre. Two linked
+   sets differ in few elements, so their differences must agree in all but these, and share an element among the
+   first few of them in one order, rare elements first. Only such pairs of different components are compared.
 4. Components by alternating large and small stars, on tables.
 
 A pair of similarity s shares no bucket with probability (1 - s ** ROWS) ** BANDS: 7e-9 at 0.85.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, written
+from .common import bounded_broadcast, temporary, without, written
 
 BANDS, ROWS = 32, 5
 PERMUTATIONS = BANDS * ROWS
@@ -38,8 +39,10 @@ MARGIN = 0.18
 #: Members of a hub's group that are compared in pairs of signatures.
 SMALL = 24
 SLICE_SHINGLES = 1 << 16
-#: Members of a large group whose differences are looked at for the order of elements.
+#: Members of a large group that are looked at for its centre and for the order of elements.
 LOOK = 24
+#: Centres that a large group gets at most, and the part of its members (one in so many) that a centre has to settle for the next.
+ROUNDS, PROGRESS = 6, 16
 P = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(20240101).integers(1, 1 << 32, (2, PERMUTATIONS), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
@@ -132,7 +135,7 @@ def components(edges: DataFrame) -> DataFrame:
     both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     seen = None
-    while True:
+    while True:  # each turn reads only what the last one wrote
         near = both(edges)
         low = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = near.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -198,61 +201,126 @@ class NearDuplicates:
         with_roots = pairs.join(ra, "a", "left").join(rb, "b", "left")
         return with_roots.filter(~F.coalesce("root_a", "a").eqNullSafe(F.coalesce("root_b", "b"))).drop("root_a", "root_b")
 
-    def differing(self, members: DataFrame, sets: DataFrame) -> DataFrame:
-        """Pairs a, b of members (hub, node) of one hub whose differences from it allow a link that isn't by the hub."""
+    def centred(self, star: DataFrame) -> DataFrame:
+        """Large groups around central members: grp, node, round, centre, sig, est, settled.
+
+        Each round takes for a group's centre, of the members that are left, the one whose estimates reach the
+        threshold for most of LOOK members; members whose own estimate reaches it are settled, the others
+        are left to the next round while rounds still settle some. The first centre names the group: groups of hubs
+        that agree on it become one. A row for each member in each round that it is in.
+        """
+        sig = self.nodes.select("node", "sig")
+        enough = F.lit(self.percent / 100)
+        members = star.select(F.col("hub").alias("grp"), "node").unionByName(star.select(F.col("hub").alias("grp"), F.col("hub").alias("node")).distinct())
+        left, rounds = written(members.join(sig, "node").select("grp", "node", "sig"), "members"), []
+        for i in range(1, ROUNDS + 1):
+            look = Window.partitionBy("grp").orderBy(F.xxhash64("node"), "node")
+            seen = left.withColumn("i", F.row_number().over(look)).filter(F.col("i") <= LOOK).groupBy("grp").agg(F.collect_list("sig").alias("seen"))
+            seen = written(seen, "seen")
+            n = seen.count()
+            if n == 0:
+                break
+            ests = F.transform("seen", lambda s: estimate(F.col("sig"), s))
+            total = lambda x: F.aggregate(x, F.lit(0.0), lambda t, v: t + v)
+            scored = left.join(bounded_broadcast(seen, n, 16 * LOOK * (PERMUTATIONS // 16)), "grp").withColumn("ests", ests)
+            score = F.struct(F.size(F.filter("ests", lambda e: e >= enough)), total(F.col("ests")), "node")
+            centres = written(scored.groupBy("grp").agg(F.max(F.struct(score.alias("score"), "node", "sig")).alias("c")).select("grp", F.col("c.node").alias("centre"), F.col("c.sig").alias("centre_sig")), "centres")
+            if i == 1:
+                alike = left.join(bounded_broadcast(centres, n, 200), "grp")
+                left = alike.select(F.col("centre").alias("grp"), "node", "sig", "centre", "centre_sig").dropDuplicates(["grp", "node"])
+            else:
+                left = left.join(bounded_broadcast(centres, n, 200), "grp")
+            left = left.withColumn("est", estimate(F.col("sig"), F.col("centre_sig"))).drop("centre_sig")
+            rounds.append(written(left.withColumn("round", F.lit(i)).withColumn("settled", F.col("est") >= enough), "round"))
+            went = rounds[-1].groupBy("grp").agg(F.count_if("settled").alias("settled"), F.count(F.lit(1)).alias("n"))
+            on = written(went.filter((F.col("settled") * PROGRESS >= F.col("n")) & (F.col("n") - F.col("settled") > SMALL)).select("grp"), "on")
+            left = rounds[-1].filter("not settled").join(bounded_broadcast(on, on.count(), 16), "grp", "left_semi").select("grp", "node", "sig")
+        out = rounds[0]
+        for r in rounds[1:]:
+            out = out.unionByName(r)
+        return out
+
+    def differing(self, centred: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+        """Pairs a, b of one group in different components that may be linked, by their differences from a centre.
+
+        A member settled by a connected centre is looked for only in that centre's round, by those that are left
+        after it; the others (unsettled) are looked for by each other in the first round. A member probes if it isn't
+        connected with the round's centre, or is unsettled.
+        """
         q = 100 - self.percent
         most = lambda size: F.floor(size * q / (100 + self.percent))  # noqa: E731  two linked sets of that size together differ in no more elements
-        own = members.join(sets.select("node", F.col("set").alias("s")), "node").join(sets.select(F.col("node").alias("hub"), F.col("set").alias("h")), "hub")
-        delta = own.select("hub", "node", F.size("s").alias("n"), F.size("h").alias("nh"), F.size(F.array_except("s", "h")).alias("more"), F.concat(F.array_except("s", "h"), F.array_except("h", "s")).alias("delta"))
-        delta = delta.withColumn("d", F.size("delta")).withColumn("k", most(F.col("n") + F.floor(F.col("n") * 100 / self.percent))).withColumn("linked", F.col("d") <= most(F.col("n") + F.col("nh")))
+        root = roots.select("node", "root")
+        rows = centred.select("grp", "round", "node", "centre", "settled").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rows = rows.join(root.select(F.col("node").alias("centre"), F.col("root").alias("root_c")), "centre", "left").withColumn("root_c", F.coalesce("root_c", "centre"))
+        rows = rows.withColumn("home", F.col("settled") & (F.col("root") == F.col("root_c")))
+        loose = rows.groupBy("grp", "node").agg(F.bool_or("home").alias("any_home")).filter("not any_home").select("grp", "node", F.lit(True).alias("loose"))
+        rows = rows.join(loose, ["grp", "node"], "left").withColumn("loose", F.coalesce("loose", F.lit(False)))
+        both = F.col("loose") & (F.col("round") == 1)
+        rows = rows.withColumn("index", F.col("home") | both).withColumn("probe", both | (~F.col("home") & (F.col("root") != F.col("root_c"))))
+        rows = written(rows.filter("index or probe"), "frames")
+        asked = written(rows.groupBy("grp", "round").agg(F.bool_or("probe").alias("any"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("any and lo <> hi").select("grp", "round"), "asked")
+        rows = rows.join(bounded_broadcast(asked, asked.count(), 24), ["grp", "round"], "left_semi")
+        heads = written(rows.select("centre").distinct().join(sets, F.col("centre") == F.col("node")).select("centre", F.col("set").alias("h")), "centre-sets")
+        bound = heads.agg(F.coalesce(F.sum(F.size("h") * 8 + 64), F.lit(0))).first()[0]
+        own = rows.join(sets.select("node", F.col("set").alias("s")), "node").join(bounded_broadcast(heads, bound, 1), "centre")
+        delta = own.select("grp", "round", "node", "root", "home", "index", "probe", F.size("s").alias("n"), F.size("h").alias("nh"), F.array_except("s", "h").alias("more"), F.array_except("h", "s").alias("less"))
+        delta = delta.withColumn("d", F.size("more") + F.size("less")).withColumn("k", most(F.col("n") + F.floor(F.col("n") * 100 / self.percent)))
         delta = written(delta, "differences")
         # any order of elements is right, as long as it is one; elements that several of a few members have are put last
-        look = Window.partitionBy("hub").orderBy(F.xxhash64("node"))
-        few = delta.select("hub", "node").withColumn("i", F.row_number().over(look)).filter(F.col("i") <= LOOK).select("hub", "node")
-        seen = few.join(delta.select("hub", "node", "delta"), ["hub", "node"]).select("hub", F.explode("delta").alias("e")).groupBy("hub", "e").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
-        common = seen.groupBy("hub").agg(F.collect_list("e").alias("common"))  # at most LOOK differences in a row
-        # of the others, those that the hub hasn't come first: what members lack of the hub is shared more often
-        added, lacked = F.slice("delta", F.lit(1), F.col("more")), F.slice("delta", F.col("more") + 1, F.col("d"))
-        rare = F.concat(F.array_sort(F.array_except(added, F.col("common"))), F.array_sort(F.array_except(lacked, F.col("common"))))
-        ordered = F.concat(rare, F.array_sort(F.array_intersect("delta", "common")))
-        least = most(F.ceil(F.col("n") * self.percent / 100) + F.col("nh")) + 1  # a member that isn't linked to the hub differs from it in at least so many
-        first = F.when(F.col("linked"), F.floor((F.col("d") - least + F.col("k")) / 2) + 1).otherwise(F.floor(F.col("k") / 2) + 1)
-        ranked = delta.join(common, "hub", "left").withColumn("common", F.coalesce("common", F.array().cast("array<bigint>"))).withColumn("first", first)
-        take = F.greatest(F.col("first"), F.when(~F.col("linked"), F.col("k") + 1).otherwise(0)).cast("int")
-        ranked = ranked.filter(take > 0).select("hub", "node", "n", "d", "k", "linked", "first", F.posexplode(F.slice(ordered, F.lit(1), take)).alias("pos", "e"))
+        frame = ["grp", "round"]
+        look = Window.partitionBy(*frame).orderBy(F.xxhash64("node"), "node")
+        few = delta.select(*frame, "node", F.concat("more", "less").alias("delta")).withColumn("i", F.row_number().over(look)).filter(F.col("i") <= LOOK)
+        seen = few.select(*frame, F.explode("delta").alias("e")).groupBy(*frame, "e").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+        common = written(seen.groupBy(*frame).agg(F.collect_list("e").alias("common")), "common")  # at most LOOK differences in a row
+        bound = common.agg(F.coalesce(F.sum(F.size("common") * 8 + 64), F.lit(0))).first()[0]
+        # of the others, those that the centre hasn't come first: what members lack of the centre is shared more often
+        rare = F.concat(F.array_sort(F.array_except("more", "common")), F.array_sort(F.array_except("less", "common")))
+        ordered = F.concat(rare, F.array_sort(F.array_intersect(F.concat("more", "less"), "common")))
+        least = most(F.ceil(F.col("n") * self.percent / 100) + F.col("nh")) + 1  # a member that isn't linked to the centre differs from it in at least so many
+        first = F.when(F.col("home"), F.floor((F.col("d") - least + F.col("k")) / 2) + 1).when(F.col("index"), F.floor(F.col("k") / 2) + 1).otherwise(0)
+        ranked = delta.join(bounded_broadcast(common, bound, 1), frame, "left").withColumn("common", F.coalesce("common", F.array().cast("array<bigint>"))).withColumn("first", first)
+        take = F.greatest(F.col("first"), F.when(F.col("probe"), F.col("k") + 1).otherwise(0)).cast("int")
+        ranked = ranked.filter(take > 0).select(*frame, "node", "root", "n", "d", "k", "probe", "first", F.posexplode(F.slice(ordered, F.lit(1), take)).alias("pos", "e"))
         ranked = written(ranked, "prefixes")
-        index = ranked.filter(F.col("pos") < F.col("first")).select("hub", "e", F.col("node").alias("a"), F.col("n").alias("na"), F.col("d").alias("da"), F.col("pos").alias("pa"))
-        probe = ranked.filter(~F.col("linked") & (F.col("pos") <= F.col("k"))).select("hub", "e", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"), F.col("pos").alias("pb"))
+        index = ranked.filter(F.col("pos") < F.col("first")).select(*frame, "e", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("d").alias("da"), F.col("pos").alias("pa"))
+        probe = ranked.filter(F.col("probe") & (F.col("pos") <= F.col("k"))).select(*frame, "e", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("d").alias("db"), F.col("pos").alias("pb"))
         overlap = F.ceil((F.col("da") + F.col("db") - most(F.col("na") + F.col("nb"))) / 2)
-        fits = (F.col("a") != F.col("b")) & (F.col("pa") <= F.col("da") - overlap) & (F.col("pb") <= F.col("db") - overlap)
-        return index.join(probe, ["hub", "e"]).filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        fits = (F.col("ra") != F.col("rb")) & (F.col("pa") <= F.col("da") - overlap) & (F.col("pb") <= F.col("db") - overlap)
+        return index.join(probe, [*frame, "e"]).filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def links(self) -> DataFrame:
         """Confirmed links a, b of nodes that connect what is linked."""
         star = written(self.stars(), "stars")
         sizes = star.groupBy("hub").agg(F.count(F.lit(1)).alias("g"))
-        near = written(self.estimated(star.select(F.col("node").alias("a"), F.col("hub").alias("b"))).filter(F.col("est") >= self.enough).drop("est"), "near")
-        large = written(star.join(sizes.filter(F.col("g") > SMALL), "hub").select("hub", "node"), "large")
-        few = star.join(sizes.filter(F.col("g").between(2, SMALL)), "hub")
+        star = written(star.join(sizes, "hub"), "sized-stars")
+        large, small = star.filter(F.col("g") > SMALL), star.filter(F.col("g") <= SMALL)
+        near = self.estimated(small.select(F.col("node").alias("a"), F.col("hub").alias("b"))).filter(F.col("est") >= self.enough).select("a", "b")
+        centred = None if large.isEmpty() else written(self.centred(large.select("hub", "node")), "centred")
+        if centred is not None:
+            near = near.unionByName(centred.filter((F.col("est") >= self.enough) & (F.col("node") != F.col("centre"))).select(F.col("node").alias("a"), F.col("centre").alias("b")))
+        near = written(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
+        few = small.filter("g > 1")
         sig = self.nodes.select("node", "sig")
         few = written(few.join(sig, "node").select("hub", "node", "sig"), "few")
         one, two = few.select("hub", F.col("node").alias("a"), F.col("sig").alias("sig_a")), few.select("hub", F.col("node").alias("b"), F.col("sig").alias("sig_b"))
         beside = one.join(two, (one["hub"] == two["hub"]) & (F.col("a") < F.col("b")) & (estimate(F.col("sig_a"), F.col("sig_b")) >= self.enough)).select("a", "b").distinct()
         beside = written(beside, "beside")
         ends = lambda p: p.select(F.col("a").alias("node")).unionByName(p.select(F.col("b").alias("node")))
-        nodes = ends(near).unionByName(ends(beside)).unionByName(large.select("node")).unionByName(large.select(F.col("hub").alias("node")))
+        nodes = ends(near).unionByName(ends(beside))
+        if centred is not None:
+            nodes = nodes.unionByName(centred.select("node"))
         sets = written(self.sets(nodes), "sets")
         links = written(self.confirmed(near, sets), "links")
-        roots = components(links)
+        roots = written(components(links), "roots")
         more = self.apart(beside, roots)
-        if not large.isEmpty():
-            wide = self.apart(self.estimated(self.differing(large, sets)).filter(F.col("est") >= self.enough).drop("est"), roots)
-            more = more.unionByName(wide).distinct()
+        if centred is not None:
+            wide = written(self.differing(centred, roots, sets), "wide")
+            more = more.unionByName(self.estimated(wide).filter(F.col("est") >= self.enough).select("a", "b")).distinct()
         return written(links.unionByName(self.confirmed(more, sets)), "links")
 
     def groups(self) -> DataFrame:
         """One row per document: doc_id, n_shingles, component_id, kept, text_hash."""
-        roots = components(self.links())
+        roots = written(components(self.links()), "roots")
         named = self.nodes.select("node", "fp", "min_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         names = named.groupBy("root").agg(F.min("min_id").alias("component_id"))
         of_fp = named.join(names, "root").select(F.col("fp").alias("node_fp"), "component_id")
@@ -263,7 +331,9 @@ class NearDuplicates:
 
 def near_groups(docs: DataFrame, percent: int = 85, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id of the group), kept."""
-    return NearDuplicates(docs, percent, n, id_col, text_col).groups().drop("text_hash")
+    with temporary(docs.sparkSession):
+        found = NearDuplicates(docs, percent, n, id_col, text_col).groups().drop("text_hash")
+        return written(found, "near-groups", keep=True)
 
 
 def drop_near_copies(docs: DataFrame, percent: int = 80, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,7 +341,7 @@ def drop_near_copies(docs: DataFrame, percent: int = 80, n: int = 5, id_col: str
 
     Rows go by identifier and text, since an identifier may be repeated with texts of several groups.
     """
-    groups = NearDuplicates(docs, percent, n, id_col, text_col).groups()
-    gone = written(groups.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__text")).distinct(), "near-copies")
-    same = (docs[id_col] == F.col("__gone")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("__text"))
-    return docs.join(bounded_broadcast(gone, gone.count(), 24), same, "left_anti")
+    with temporary(docs.sparkSession):
+        groups = NearDuplicates(docs, percent, n, id_col, text_col).groups()
+        gone = written(groups.filter("not kept and doc_id is not null").select("doc_id", "text_hash").distinct(), "near-copies", keep=True)
+    return without(docs, gone, [docs[id_col], F.xxhash64(F.coalesce(docs[text_col], F.lit("")))], 24)
