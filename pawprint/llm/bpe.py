@@ -12,27 +12,32 @@ are folded in the row of each document, once for a distinct word. No document is
 
 Defined cases: null text counts as empty; an empty text has no ids; identifiers are passed through, null and
 repeated ones too; an empty table gives an empty result. Words are found by Java's regular expressions with Unicode
-classes. A fold takes time in the square of a word's bytes: fine for words of tens of thousands of bytes.
+classes. A fold takes time in the square of a word's bytes, so words of more than LONG_BYTES are merged in the worker
+that looks words up, with a heap of pairs.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import temporary, written
 
 BUCKETS = 1 << 16
 #: The longest word, in characters, that may be among the broadcast ones.
 HEAD_CHARS = 64
 #: Documents in an Arrow batch: texts are long, and Spark's own bound is for short rows.
 BATCH_ROWS = 1000
+#: Rare words of more bytes are merged with a heap in a worker: a fold takes the square of their bytes.
+LONG_BYTES = 1024
 _HEADS: dict[str, dict[str, int]] = {}
 
 
@@ -47,6 +52,32 @@ def _literal(value, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), kind)
 
 
+def merged_ids(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a long word: merges the pair of lowest rank, the leftmost first, in n log n steps."""
+    n = len(word)
+    ends, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the piece that begins at i: where it ends, and where the one before begins
+    heap, alive = [], [True] * n
+
+    def ask(i: int) -> None:
+        if i >= 0 and (j := ends[i]) < n and (rank := ranks.get(word[i : ends[j]])) is not None:
+            heap.append((rank, i, j, ends[j])) if not done else heapq.heappush(heap, (rank, i, j, ends[j]))
+
+    done = False
+    for i in range(n):
+        ask(i)
+    heapq.heapify(heap)
+    done = True
+    while heap:
+        _, i, j, end = heapq.heappop(heap)
+        if alive[i] and ends[i] == j and alive[j] and ends[j] == end:
+            alive[j], ends[i] = False, end
+            if end < n:
+                before[end] = i
+            ask(before[i])
+            ask(i)
+    return [ranks[word[i : ends[i]]] for i in range(n) if alive[i]]
+
+
 def _let(value: Column, body) -> Column:
     """body(value) with value evaluated once: a lambda's body has no common subexpressions."""
     return F.transform(F.array(value), body)[0]
@@ -62,15 +93,15 @@ class ByteBpe:
             for i in range(1, len(piece)):
                 a, b = ranks.get(piece[:i]), ranks.get(piece[i:])
                 if a is not None and b is not None:
-                    at = (a * 31 + b) % BUCKETS
-                    keys[at].append(a << 20 | b)
+                    at = (a * 31 + b) % BUCKETS  # with the bucket, a tells b
+                    keys[at].append(a)
                     ids[at].append(rank)
         one = [bytes([b]) for b in range(256)]
         table = {"keys": keys, "ids": ids, "bytes": [ranks.get(b) for b in one], "pairs": [ranks.get(a + b) for a in one for b in one]}
-        self.table = _literal(table, "keys array<array<bigint>>, ids array<array<bigint>>, bytes array<bigint>, pairs array<bigint>")
+        self.table = _literal(table, "keys array<array<int>>, ids array<array<int>>, bytes array<int>, pairs array<int>")
         pieces: list = [None] * (max(ranks.values(), default=-1) + 1)
         for piece, rank in ranks.items():
-            pieces[rank] = piece.hex()
+            pieces[rank] = piece.decode("latin-1")  # a character for each byte
         self.pieces = _literal(pieces, "array<string>")
         self.by_text = {}
         for piece, rank in ranks.items():
@@ -87,8 +118,8 @@ class ByteBpe:
 
         def rank(table: Column, a: Column, b: Column) -> Column:
             """The id of the joined piece, null if there is none."""
-            at = (a * 31 + b).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
-            return F.get(F.get(table["ids"], at), F.array_position(F.get(table["keys"], at), F.shiftleft(a, 20) + b).cast("int") - 1)
+            at = (a * 31 + b).bitwiseAND(F.lit(BUCKETS - 1))
+            return F.get(F.get(table["ids"], at), F.array_position(F.get(table["keys"], at), a).cast("int") - 1)
 
         def merged(table: Column, acc: Column, at: Column) -> Column:
             ids, ranks, low, p, n = acc["ids"], acc["ranks"], at["low"], at["p"], at["n"]  # the pair of places p and p + 1
@@ -112,12 +143,12 @@ class ByteBpe:
             bytes_of = F.transform(F.regexp_extract_all(latin, F.lit("(?s)."), F.lit(0)), F.ascii)
             paired = lambda codes: F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes)), lambda a, b: F.get(table["pairs"], a * 256 + b))
             zero = _let(bytes_of, lambda codes: F.struct(F.transform(codes, lambda c: F.get(table["bytes"], c)).alias("ids"), paired(codes).alias("ranks")))
-            return F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), zero, lambda acc, _: step(table, acc), lambda acc: acc["ids"]).cast("array<int>")
+            return F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), zero, lambda acc, _: step(table, acc), lambda acc: acc["ids"])
 
         return F.when(F.octet_length(word) > 0, _let(self.table, whole))
 
     def head(self, docs: DataFrame, text_col: str) -> pa.Table:
-        """The frequent words that are no piece themselves, and their ids: at most head_words rows."""
+        """The frequent words, and their ids: at most head_words rows."""
         counts = (
             docs.select(F.explode(self.words(F.col(text_col))).alias("word"))
             .groupBy("word")
@@ -136,9 +167,22 @@ class ByteBpe:
         return known.toArrow()  # bounded: head_words words of HEAD_CHARS
 
     def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """doc_id, ids (array<int>) for each row of docs. Counts the words of docs when it is called."""
+        """doc_id, ids (array<int>) for each row of docs, as a written table."""
+        spark, batch = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = spark.conf.get(batch)
+        spark.conf.set(batch, str(BATCH_ROWS))
+        shared = []
+        try:
+            with temporary(spark):
+                return written(self._encoded(docs, id_col, text_col, shared), "bpe-ids", keep=True)
+        finally:
+            spark.conf.set(batch, before)
+            for x in shared:
+                x.destroy()
+
+    def _encoded(self, docs: DataFrame, id_col: str, text_col: str, shared: list) -> DataFrame:
+        """The rows of encode(), not yet computed; appends the broadcasts that they need to shared."""
         sc = docs.sparkSession.sparkContext
-        docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         table = self.head(docs, text_col)
         lists = table.column("ids").combine_chunks()
         by_text = self.by_text
@@ -151,6 +195,8 @@ class ByteBpe:
             w.write_table(pa.table({"word": known}))
         del table, lists, known
         words, values, name = sc.broadcast(sink.getvalue().to_pybytes()), sc.broadcast((ids, sizes)), uuid.uuid4().hex
+        ranks = sc.broadcast(self.ranks)
+        shared += [words, values, ranks]
 
         def places() -> dict[str, int]:
             if name not in _HEADS:
@@ -159,7 +205,7 @@ class ByteBpe:
             return _HEADS[name]
 
         def coded(batches):
-            """doc_id, codes (of each word: the place of a known one, or -1 - the place among new), new (distinct words to fold)."""
+            """doc_id, codes (of each word: the place of a known one, or -1 - the place among new and long), new (distinct words to fold), long (ids of long ones)."""
             at = places()
             for b in batches:
                 lists = b.column(1)
@@ -168,13 +214,18 @@ class ByteBpe:
                 found = np.fromiter((at.get(w, -1) for w in names.to_pylist()), np.int64, len(names))
                 out = found[codes] if len(codes) else codes
                 unknown = np.flatnonzero(out < 0)
-                n = np.asarray(lists.value_lengths(), np.int64)
-                pairs, where = np.unique(np.repeat(np.arange(len(n)), n)[unknown] * max(1, len(names)) + codes[unknown], return_inverse=True)
-                ends = np.searchsorted(pairs, np.arange(len(n) + 1) * max(1, len(names)))
-                out[unknown] = -1 - (where - ends[pairs[where] // max(1, len(names))])
+                n, most = np.asarray(lists.value_lengths(), np.int64), max(1, len(names))
+                is_long = np.asarray(pc.binary_length(names), np.int64) > LONG_BYTES
+                # of each document, its short words and then its long ones
+                pairs, where = np.unique((np.repeat(np.arange(len(n)), n)[unknown] * 2 + is_long[codes[unknown]]) * most + codes[unknown], return_inverse=True)
+                doc, word = pairs // (2 * most), pairs % most
+                out[unknown] = -1 - (where - np.searchsorted(doc, np.arange(len(n) + 1))[doc[where]])
+                later = is_long[word]
+                upto = lambda these: pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[these], minlength=len(n)))]), pa.int32())
+                new = pa.ListArray.from_arrays(upto(~later), names.take(pa.array(word[~later])))
+                long = pa.ListArray.from_arrays(upto(later), pa.array([merged_ids(w.encode(), ranks.value) for w in names.take(pa.array(word[later])).to_pylist()], pa.list_(pa.int32())))
                 bounds = np.concatenate([[0], np.cumsum(n)])
-                new = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names.take(pa.array(pairs % max(1, len(names)))))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(out, pa.int32())), new], ["doc_id", "codes", "new"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(out, pa.int32())), new, long], ["doc_id", "codes", "new", "long"])
 
         def joined(batches):
             ids, sizes = values.value
@@ -194,13 +245,13 @@ class ByteBpe:
 
         rows = docs.select(F.col(id_col).alias("doc_id"), self.words(F.col(text_col)).alias("words"))
         kind = rows.schema["doc_id"].dataType.simpleString()
-        rows = rows.mapInArrow(coded, f"doc_id {kind}, codes array<int>, new array<string>")
-        rows = rows.select("doc_id", "codes", F.transform("new", self.fold).alias("folded"))
+        rows = rows.mapInArrow(coded, f"doc_id {kind}, codes array<int>, new array<string>, long array<array<int>>")
+        rows = rows.select("doc_id", "codes", F.concat(F.transform("new", self.fold), "long").alias("folded"))
         return rows.mapInArrow(joined, f"doc_id {kind}, ids array<int>")
 
     def decode(self, ids: Column) -> Column:
-        """The bytes of array<int> ids, binary."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""))
+        """The bytes of array<int> ids, binary: the binary pieces, a character for each byte, side by side."""
+        return F.encode(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""), "ISO-8859-1")
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", head_words: int = 1 << 19) -> DataFrame:

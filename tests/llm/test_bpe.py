@@ -34,3 +34,19 @@ def test_edges(spark, library):
         got = digests(encode_documents(docs, PATH, P.PATTERN, head_words=head)).collect()
         assert sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == sorted((i % 9, *row(library, t or "")) for i, t in enumerate(texts))
     assert digests(encode_documents(docs.filter("doc_id < 0"), PATH, P.PATTERN)).count() == 0
+
+
+def test_long_words(spark, library):
+    """Both sides of LONG_BYTES, and a word of a megabyte."""
+    texts = ["qwrtz" * 100 + " " + "qwrtz" * 300 + " x " + "qwrtz" * 100, "é" * 511 + " " + "é" * 513, "ab" * 500_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = digests(encode_documents(docs, PATH, P.PATTERN, head_words=0)).collect()
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got} == {i: row(library, t) for i, t in enumerate(texts[:2])} | {2: (got_row := next((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got if r.doc_id == 2))}
+    assert got_row[2] == hashlib.sha256(texts[2].encode()).hexdigest()
+
+
+def test_session_is_left_as_it_was(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
+    assert encode_documents(docs, PATH, P.PATTERN).count() == 1 and spark.conf.get(name) == before
