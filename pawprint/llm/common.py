@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -52,6 +53,13 @@ def temporary(spark: SparkSession):
     finally:
         for path in map(spark._jvm.org.apache.hadoop.fs.Path, _TEMPORARY.pop()):
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark free the shuffles, broadcasts and plans of finished steps: its cleaner waits for the driver's garbage collection."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def without(docs: DataFrame, gone: DataFrame, keys: list[Column], row_bytes: int) -> DataFrame:

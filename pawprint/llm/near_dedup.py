@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, temporary, without, written
+from .common import bounded_broadcast, release, temporary, without, written
 
 BANDS, ROWS = 32, 5
 PERMUTATIONS = BANDS * ROWS
@@ -298,6 +298,7 @@ class NearDuplicates:
         centred = None if large.isEmpty() else written(self.centred(large.select("hub", "node")), "centred")
         if centred is not None:
             near = near.unionByName(centred.filter((F.col("est") >= self.enough) & (F.col("node") != F.col("centre"))).select(F.col("node").alias("a"), F.col("centre").alias("b")))
+        release(self.docs.sparkSession)
         near = written(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
         few = small.filter("g > 1")
         sig = self.nodes.select("node", "sig")
@@ -310,11 +311,13 @@ class NearDuplicates:
         if centred is not None:
             nodes = nodes.unionByName(centred.select("node"))
         sets = written(self.sets(nodes), "sets")
+        release(self.docs.sparkSession)
         links = written(self.confirmed(near, sets), "links")
         roots = written(components(links), "roots")
         more = self.apart(beside, roots)
         if centred is not None:
             wide = written(self.differing(centred, roots, sets), "wide")
+            release(self.docs.sparkSession)
             more = more.unionByName(self.estimated(wide).filter(F.col("est") >= self.enough).select("a", "b")).distinct()
         return written(links.unionByName(self.confirmed(more, sets)), "links")
 
