@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,19 +15,23 @@ def interpolate(df: DataFrame, cols: list[str], keys: list[str] | None = None, e
         raise ValueError(f"edges is nearest, median or null, not {edges}")
     keys = keys or ["file"]
     w = Window.partitionBy(*keys).orderBy(order)
-    before, after, whole = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy(*keys)
+    before, after, whole = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys).orderBy(F.desc("__i")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys)
     out = df.withColumn("__i", F.row_number().over(w)).withColumn("__n", F.count(F.lit(1)).over(whole))
     if edges == "median":
         for c in cols:
             ends = F.col("__i").isin(1) | (F.col("__i") == F.col("__n"))
             out = out.withColumn(f"__m_{c}", F.median(c).over(whole)).withColumn(c, F.when(F.col(c).isNull() & ends, F.col(f"__m_{c}")).otherwise(F.col(c))).drop(f"__m_{c}")
-    for c in cols:
-        at = F.when(F.col(c).isNotNull(), F.col("__i"))
-        out = out.withColumn("__pv", F.last(c, True).over(before)).withColumn("__pi", F.last(at, True).over(before))
-        out = out.withColumn("__nv", F.first(c, True).over(after)).withColumn("__ni", F.first(at, True).over(after))
-        blend = F.col("__pv") + (F.col("__nv") - F.col("__pv")) * (F.col("__i") - F.col("__pi")) / (F.col("__ni") - F.col("__pi"))
-        inner = F.col("__pv").isNotNull() & F.col("__nv").isNotNull()
-        fits = F.lit(True) if max_gap is None else F.col("__ni") - F.col("__pi") - 1 <= max_gap
-        end = F.lit(None).cast("double") if edges == "null" else F.coalesce("__pv", "__nv")
-        out = out.withColumn(c, F.when(F.col(c).isNotNull(), F.col(c)).when(inner & fits, blend).when(~inner, end)).drop("__pv", "__pi", "__nv", "__ni")
-    return out.drop("__i", "__n")
+    at = {c: F.when(F.col(c).isNotNull(), F.col("__i")) for c in cols}
+    # the next valid value is the last one in descending order: both ways take time in proportion to the track
+    around = [(f"__{way}{kind}_{c}", F.last(F.col(c) if kind == "v" else at[c], True).over(over)) for way, over in (("p", before), ("n", after)) for kind in "vi" for c in cols]
+    out = out.withColumns(dict(around))
+
+    def filled(c: str) -> Column:
+        pv, pi, nv, ni = (F.col(f"__{x}_{c}") for x in ("pv", "pi", "nv", "ni"))
+        blend = pv + (nv - pv) * (F.col("__i") - pi) / (ni - pi)
+        inner = pv.isNotNull() & nv.isNotNull()
+        fits = F.lit(True) if max_gap is None else ni - pi - 1 <= max_gap
+        end = F.lit(None).cast("double") if edges == "null" else F.coalesce(pv, nv)
+        return F.when(F.col(c).isNotNull(), F.col(c)).when(inner & fits, blend).when(~inner, end)
+
+    return out.withColumns({c: filled(c) for c in cols}).drop("__i", "__n", *[name for name, _ in around])

@@ -29,8 +29,11 @@ def clean(df: DataFrame, likelihood: float = 0.95, max_step: float | None = None
     return df.withColumn("__bad", bad).withColumn("x", F.when(~F.col("__bad"), F.col("x"))).withColumn("y", F.when(~F.col("__bad"), F.col("y"))).drop("__bad")
 
 
-def summary(moved: DataFrame, fps: float, keys: list[str] | None = None, where: Column | None = None) -> DataFrame:
-    """raw_distance, distance_moving, raw_speed, speed_moving, time_moving, total_time, time_stationary, percentage_moving; where: only its rows."""
+def summary(moved: DataFrame, fps: float, keys: list[str] | None = None, where: Column | None = None, more: list[Column] | None = None) -> DataFrame:
+    """raw_distance, distance_moving, raw_speed, speed_moving, time_moving, total_time, time_stationary, percentage_moving; where: only its rows.
+
+    more: further aggregates of all rows.
+    """
     on = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
     speed, moving = F.when(on, F.col("speed")), F.when(on & F.col("is_moving"), F.col("speed"))
     n, m = F.count(F.when(on, 1)), F.count(F.when(on & F.col("is_moving"), 1))
@@ -44,6 +47,7 @@ def summary(moved: DataFrame, fps: float, keys: list[str] | None = None, where:
         (n / F.lit(float(fps))).alias("total_time"),
         (still / F.lit(float(fps))).alias("time_stationary"),
         (F.try_divide(m, n) * 100).alias("percentage_moving"),
+        *(more or []),
     )
 
 
@@ -59,4 +63,6 @@ def zone_report(moved: DataFrame, zones: dict[str, Column], fps: float, integrat
     keys = keys or ["file"]
     flagged = moved.select(*keys, "frame", "speed", "is_moving", F.explode(F.create_map(*[x for n, z in zones.items() for x in (F.lit(n), z)])).alias("zone", "inside"))
     by = [*keys, "zone"]
-    return summary(flagged, fps, by, F.col("inside")).join(transitions(flagged, F.col("inside"), integration, by), by)
+    w = track(*by)
+    flagged = flagged.withColumn("__s", majority(F.col("inside"), integration, w)).withColumn("__c", changed(F.col("__s"), w))
+    return summary(flagged, fps, by, F.col("inside"), [F.count_if("__c").alias("transitions")])

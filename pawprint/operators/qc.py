@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pawprint.operators.bouts import with_runs
@@ -63,3 +63,16 @@ def sensitivity(df: DataFrame, metrics: list[str], flag: str = "qc_flag") -> Dat
         F.stddev_samp("value").alias("sd_all"),
         F.stddev_samp(ok).alias("sd_qc_pass"),
     )
+
+
+def geometry_qc(frames: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, point, coord, n_values, n_valid, missing_fraction, median_value of static points over all frames and instances."""
+    keys = keys or ["file"]
+    pairs = F.array(*[F.struct(F.lit(c).alias("coord"), F.col(c).alias("value")) for c in ("x", "y")])
+    long = frames.select(*keys, "point", F.explode(pairs).alias("s")).select(*keys, "point", "s.*")
+    return long.groupBy(*keys, "point", "coord").agg(F.count(F.lit(1)).alias("n_values"), F.count("value").alias("n_valid"), (1 - F.count("value") / F.count(F.lit(1))).alias("missing_fraction"), F.median("value").alias("median_value"))
+
+
+def body_size(wide: DataFrame, area: Column, length: Column, keys: list[str] | None = None) -> DataFrame:
+    """keys, median_area, median_length: of a body's polygon and of its ends' distance; nulls are left out."""
+    return wide.groupBy(*(keys or ["file"])).agg(F.median(area).alias("median_area"), F.median(length).alias("median_length"))

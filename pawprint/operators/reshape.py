@@ -55,3 +55,32 @@ def explicit_bins(df: DataFrame, bins: DataFrame) -> DataFrame:
     """
     covered = bins.select("file", "bin", F.explode(F.sequence("from_frame", "to_frame")).alias("frame"))
     return df.join(covered, ["file", "frame"])
+
+
+def with_point_info(points: DataFrame, info: DataFrame) -> DataFrame:
+    """points (by point) with the columns of info, null for a point that info lacks."""
+    return points.join(info, "point", "left")
+
+
+def missing_points(points: DataFrame, info: DataFrame) -> DataFrame:
+    """point: what info names and points lack."""
+    return info.select("point").distinct().join(points.select("point").distinct(), "point", "left_anti")
+
+
+def shuffled(df: DataFrame, seed: int, keys: list[str]) -> DataFrame:
+    """The rows in an order by a hash of their keys and the seed: the same one on every run."""
+    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys)
+
+
+def legacy_flat(wide: DataFrame, animals: list[str], points: list[str]) -> DataFrame:
+    """file, row, <point>_x, <point>_y: the animals of a frame one after the other, no frame column. wide has <animal>_<point>_x and _y."""
+    one = [F.struct(F.lit(i).alias("k"), *[F.col(f"{a}_{p}_{c}").alias(f"{p}_{c}") for p in points for c in "xy"]) for i, a in enumerate(animals)]
+    rows = wide.select("file", "frame", F.explode(F.array(*one)).alias("s"))
+    row = (F.dense_rank().over(Window.partitionBy("file").orderBy("frame")) - 1) * len(animals) + F.col("s.k")
+    return rows.select("file", row.alias("row"), *[F.col(f"s.{p}_{c}") for p in points for c in "xy"])
+
+
+def with_geometry(animal: DataFrame, geometry: DataFrame) -> DataFrame:
+    """Geometry columns beside the animal's, by file and frame; a geometry file is that of the animal whose name has animal for geom."""
+    named = geometry.withColumn("file", F.regexp_replace("file", "geom", "animal"))
+    return named.join(animal, ["file", "frame"])

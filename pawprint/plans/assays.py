@@ -76,3 +76,25 @@ def skeleton_features(wide: DataFrame, distances: dict[str, tuple[str, str]], an
     out += [angle_total(*vec(a, b), *vec(c, d)).alias(n) for n, (a, b, c, d) in angles.items()]
     out += [area(*[at(p) for p in ps]).alias(n) for n, ps in areas.items()]
     return wide.select("file", "frame", *out)
+
+
+def epm_report(moved: DataFrame, center: Column, arms: dict[str, Column], fps: float, integration: int, keys: tuple[str, ...] = ("file",)) -> DataFrame:
+    """zone_report() of a plus maze's seven zones. arms: closed_left, closed_right, open_top, open_bottom."""
+    from pawprint.operators.movement import zone_report
+
+    zones = {"center": center, "open": arms["open_top"] | arms["open_bottom"], "closed": arms["closed_left"] | arms["closed_right"], **arms}
+    return zone_report(moved, zones, fps, integration, list(keys))
+
+
+def debounced_contacts(df: DataFrame, flag: Column, around: int = 10, keys: tuple[str, ...] = ("file",)) -> DataFrame:
+    """keys, contacts: changes of the flag at frames with at least around true frames among around before and after; none at a track's ends, where the count isn't complete.
+
+    Changes count in turn: to true at odd frames, to false at even ones (from the first).
+    """
+    w = track(*keys)
+    on = F.coalesce(flag, F.lit(False))
+    near, whole = F.count_if(on).over(w.rowsBetween(-around, around)), F.count(F.lit(1)).over(w.rowsBetween(-around, around))
+    step = on.cast("int") - F.coalesce(F.lag(on.cast("int")).over(w), F.lit(0))
+    wanted = F.when(F.row_number().over(w) % 2 == 1, 1).otherwise(-1)
+    hit = (step == wanted) & (near >= around) & (whole == 2 * around + 1)
+    return df.withColumn("__h", hit).groupBy(*keys).agg(F.count_if("__h").alias("contacts"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pawprint.functions.geometry import angle_deg, circular_diff_deg, distance
 from pawprint.functions.windows import track
-from pawprint.operators.bouts import bout_summary
+from pawprint.operators.bouts import with_runs
 from pawprint.schema import SocIntConfig
 
 
@@ -54,8 +54,8 @@ def events(m: DataFrame, cfg: SocIntConfig) -> DataFrame:
         "a2_nose_to_nose1": contact("d_nose1_nose2", "ang_2_nose1"),
         "a2_nose_to_body1": contact("d_nose2_body1", "ang_2_body1"),
         "a2_nose_to_tail1": contact("d_nose2_tail1", "ang_2_tail1"),
-        "side_by_side_parallel": (c("d_nose1_nose2") <= cfg.side) & (body <= cfg.side) & (c("d_tail1_tail2") <= cfg.side) & (c("heading_diff") <= cfg.parallel_deg),
-        "side_by_side_antiparallel": (c("d_nose1_tail2") <= cfg.side) & (body <= cfg.side) & (c("d_nose2_tail1") <= cfg.side) & (c("heading_diff") >= cfg.anti_deg),
+        "side_by_side_parallel": (c("d_nose1_nose2") <= cfg.side) & (body <= cfg.side) & (c("d_tail1_tail2") <= cfg.side) & (F.round("heading_diff", 9) <= cfg.parallel_deg),
+        "side_by_side_antiparallel": (c("d_nose1_tail2") <= cfg.side) & (body <= cfg.side) & (c("d_nose2_tail1") <= cfg.side) & (F.round("heading_diff", 9) >= cfg.anti_deg),
         "close_proximity": body <= cfg.close,
         "medium_proximity": (body > cfg.close) & (body <= cfg.medium),
         "mutually_facing": facing("ang_1_nose2") & facing("ang_2_nose1") & (body <= cfg.medium),
@@ -69,15 +69,37 @@ def events(m: DataFrame, cfg: SocIntConfig) -> DataFrame:
     return m.withColumns(out)
 
 
+#: The base events.
+BASE_EVENTS = [
+    "a1_nose_to_nose2", "a1_nose_to_body2", "a1_nose_to_tail2", "a2_nose_to_nose1", "a2_nose_to_body1", "a2_nose_to_tail1",
+    "side_by_side_parallel", "side_by_side_antiparallel", "close_proximity", "medium_proximity", "mutually_facing",
+    "a1_following_a2", "a2_following_a1", "a1_avoidance_from_a2", "a2_avoidance_from_a1", "approach_event", "retreat_event",
+]
+
+
+def suppressed(e: DataFrame, names: list[str], min_frames: int) -> DataFrame:
+    """The named events as plain booleans: null is false, and runs of fewer than min_frames are. All in two windows over one order.
+
+    A frame stays if some stretch of min_frames true frames holds it.
+    """
+    w = track("file")
+    ahead, back = w.rowsBetween(0, min_frames - 1), w.rowsBetween(1 - min_frames, 0)
+    e = e.withColumns({n: F.coalesce(F.col(n), F.lit(False)) for n in names})
+    if min_frames <= 1:
+        return e
+    begins = {f"__b_{n}": F.count_if(n).over(ahead) == min_frames for n in names}
+    return e.withColumns(begins).withColumns({n: F.bool_or(f"__b_{n}").over(back) for n in names}).drop(*begins)
+
+
 def combined_events() -> dict[str, Column]:
-    """The 15 events made of base events."""
+    """The 15 events made of base events, which suppressed() has to have made plain before."""
     c = F.col
     face1, face2, body1, body2, tail1, tail2 = c("a1_nose_to_nose2"), c("a2_nose_to_nose1"), c("a1_nose_to_body2"), c("a2_nose_to_body1"), c("a1_nose_to_tail2"), c("a2_nose_to_tail1")
     any1, any2 = face1 | body1 | tail1, face2 | body2 | tail2
     return {
-        "a1_face_investigation": face1, "a2_face_investigation": face2, "any_face_investigation": face1 | face2,
-        "a1_body_investigation": body1, "a2_body_investigation": body2, "any_body_investigation": body1 | body2,
-        "a1_anogenital_investigation": tail1, "a2_anogenital_investigation": tail2, "any_anogenital_investigation": tail1 | tail2,
+        "a1_face_investigation": face1, "a2_face_investigation": face2, "face_investigation": face1 | face2,
+        "a1_body_investigation": body1, "a2_body_investigation": body2, "body_investigation": body1 | body2,
+        "a1_anogenital_investigation": tail1, "a2_anogenital_investigation": tail2, "anogenital_investigation": tail1 | tail2,
         "a1_any_directed_contact": any1, "a2_any_directed_contact": any2,
         "mutual_directed_contact": any1 & any2, "a1_only_directed_contact": any1 & ~any2, "a2_only_directed_contact": any2 & ~any1,
         "any_social_contact": any1 | any2 | c("side_by_side_parallel") | c("side_by_side_antiparallel"),
@@ -91,13 +113,19 @@ def event_summary(e: DataFrame, names: list[str], cfg: SocIntConfig) -> DataFram
     """
     long = e.select("file", "frame", F.explode(F.array(*[F.struct(F.lit(n).alias("event_type"), F.coalesce(F.col(n), F.lit(False)).alias("flag")) for n in names])).alias("s")).select("file", "frame", "s.*")
     keys = ["file", "event_type"]
-    s = bout_summary(long, F.col("flag"), cfg.fps, cfg.min_event_frames / cfg.fps - 1e-9, keys)
-    from pawprint.operators.bouts import bouts
-
-    first = bouts(long, F.col("flag"), cfg.fps, cfg.min_event_frames / cfg.fps - 1e-9, keys).groupBy(*keys).agg((F.min("start") / F.lit(cfg.fps)).alias("latency_s"))
-    n = e.groupBy("file").agg(F.count(F.lit(1)).alias("__n"))
-    out = s.drop("latency_s").join(first, keys, "left").join(n, "file")
-    return out.select(*keys, F.round(F.col("total_s") * cfg.fps).cast("long").alias("event_frames"), F.col("total_s").alias("duration_s"), (F.col("total_s") * cfg.fps / F.col("__n") * 100).alias("percent_time"), F.col("bouts").alias("bout_n"), F.col("mean_s").alias("mean_bout_s"), F.col("max_s").alias("max_bout_s"), "latency_s")
+    runs = with_runs(long, F.col("flag"), keys).groupBy(*keys, "on", "run").agg(F.min("idx").alias("start"), F.count(F.lit(1)).alias("frames"))
+    counts = F.col("on") & (F.col("frames") >= cfg.min_event_frames)
+    frames, fps = F.when(counts, F.col("frames")), F.lit(float(cfg.fps))
+    total = F.coalesce(F.sum(frames), F.lit(0)).cast("long")
+    return runs.groupBy(*keys).agg(
+        total.alias("event_frames"),
+        (total / fps).alias("duration_s"),
+        (total / F.sum("frames") * 100).alias("percent_time"),  # the runs of a track make up all its frames
+        F.count(frames).alias("bout_n"),
+        (F.avg(frames) / fps).alias("mean_bout_s"),
+        (F.max(frames) / fps).alias("max_bout_s"),
+        (F.min(F.when(counts, F.col("start"))) / fps).alias("latency_s"),
+    )
 
 
 def proximity_bins(m: DataFrame, cfg: SocIntConfig) -> DataFrame:
@@ -121,3 +149,46 @@ def directional_bias(s: DataFrame, a: str, b: str) -> DataFrame:
     """file, bias: (a - b) / (a + b) of two events' durations."""
     of = lambda n: F.sum(F.when(F.col("event_type") == n, F.col("duration_s")))
     return s.groupBy("file").agg(of(a).alias("a1_s"), of(b).alias("a2_s")).withColumn("bias", F.try_divide(F.col("a1_s") - F.col("a2_s"), F.col("a1_s") + F.col("a2_s")))
+
+
+#: The durations that a file's summary has, and their events.
+SUMMARY_EVENTS = {
+    "any_social_contact_s": "any_social_contact", "close_proximity_s": "close_proximity", "a1_directed_contact_s": "a1_any_directed_contact", "a2_directed_contact_s": "a2_any_directed_contact",
+    "face_investigation_s": "face_investigation", "body_investigation_s": "body_investigation", "anogenital_investigation_s": "anogenital_investigation", "mutual_directed_contact_s": "mutual_directed_contact",
+    "a1_only_directed_contact_s": "a1_only_directed_contact", "a2_only_directed_contact_s": "a2_only_directed_contact", "approach_event_s": "approach_event", "retreat_event_s": "retreat_event",
+}
+
+
+def file_summary(measures: DataFrame, summary: DataFrame, cfg: SocIntConfig, qc: DataFrame | None = None) -> DataFrame:
+    """A row for each file: durations of events, shares and rates of directed contact, distances, speeds.
+
+    summary is event_summary()'s table. qc has a row for each file and part (frac_missing_original, flag_high_missing,
+    impossible_jump_n, qc_fail) and adds the worst of them.
+    """
+    fps = F.lit(float(cfg.fps))
+    of = summary.groupBy("file").agg(*[F.max(F.when(F.col("event_type") == e, F.col("duration_s"))).alias(n) for n, e in SUMMARY_EVENTS.items()])
+    moved = F.coalesce(F.sum(F.col("speed1") / fps), F.lit(0.0)) + F.coalesce(F.sum(F.col("speed2") / fps), F.lit(0.0))
+    body = F.col("d_body1_body2")
+    out = measures.groupBy("file").agg(
+        F.count(F.lit(1)).alias("n_frames"),
+        (F.count(F.lit(1)) / fps).alias("duration_video_s"),
+        (F.count(body) / fps).alias("duration_analyzed_s"),
+        moved.alias("total_distance_moved"),
+        F.avg(body).alias("mean_body_distance"),
+        F.median(body).alias("median_body_distance"),
+        F.avg("speed1").alias("mean_speed_a1"),
+        F.avg("speed2").alias("mean_speed_a2"),
+    ).join(of, "file", "left")
+    a1, a2 = F.col("a1_directed_contact_s"), F.col("a2_directed_contact_s")
+    out = out.withColumns({
+        "directional_bias_a1_minus_a2": F.try_divide(a1 - a2, a1 + a2),
+        "a1_minus_a2_directed_contact_s": a1 - a2,
+        "a1_over_a2_directed_contact_ratio": F.try_divide(a1, a2),
+        "a1_fraction_of_total_directed_contact": F.try_divide(a1, a1 + a2),
+        "directed_contact_per_distance_moved": F.try_divide(a1 + a2, "total_distance_moved"),
+        "close_proximity_per_distance_moved": F.try_divide("close_proximity_s", "total_distance_moved"),
+    })
+    if qc is None:
+        return out
+    worst = qc.groupBy("file").agg(F.max("frac_missing_original").alias("qc_max_missing_fraction"), F.bool_or("flag_high_missing").alias("qc_any_high_missing"), F.sum("impossible_jump_n").alias("qc_total_impossible_jumps"), F.bool_or("qc_fail").alias("qc_fail"))
+    return out.join(worst, "file", "left")

@@ -66,6 +66,13 @@ d1 as (select *, sqrt((nx1-nx2)*(nx1-nx2)+(ny1-ny2)*(ny1-ny2)) as d_nn, sqrt((bx
   from d0 window w as (partition by file order by frame))"""
 
 
+#: zone_report()'s columns over rows of file, zone, speed, b (inside), is_moving and ch (a change)
+ZONE_COLUMNS_SQL = """round(coalesce(sum(speed) filter (b), 0), 4) + 0.0::double as raw_distance, round(coalesce(sum(speed) filter (b and is_moving), 0), 4) + 0.0::double as distance_moving,
+  round(avg(speed) filter (b) * 2, 4) + 0.0::double as raw_speed, round(avg(speed) filter (b and is_moving) * 2, 4) + 0.0::double as speed_moving,
+  count(*) filter (b and is_moving) / 2.0::double as time_moving, count(*) filter (b) / 2.0::double as total_time, count(*) filter (b and not is_moving) / 2.0::double as time_stationary,
+  round(100 * count(*) filter (b and is_moving) / nullif(count(*) filter (b), 0)::double, 4) + 0.0::double as percentage_moving, count(*) filter (ch) as transitions"""
+
+
 def angle_sql(hx: str, hy: str, tx: str, ty: str) -> str:
     """The angle of two vectors in degrees, null for a vector of no length."""
     dot, size = f"(({hx})*({tx})+({hy})*({ty}))", f"(sqrt(({hx})*({hx})+({hy})*({hy}))*sqrt(({tx})*({tx})+({ty})*({ty})))"
@@ -290,11 +297,72 @@ def oft_movement_summary(spark, sf_dir):
 @query("zone_report", f"""with {M_SQL}, z as (select file, frame, speed, is_moving, 'center' as zone, in_center as b from m union all select file, frame, speed, is_moving, 'corners', in_corners from m),
   s as (select *, avg(case when b then 1 when not b then 0 end) over (partition by file, zone order by frame rows between 2 preceding and 2 following) > 0.5 as sm from z),
   c as (select *, coalesce(sm <> lag(sm) over (partition by file, zone order by frame), false) as ch from s)
-  select file, zone, {R('coalesce(sum(speed) filter (b), 0)', 4)} as raw_distance, count(*) filter (b) / 2.0::double as total_time, {R('100 * count(*) filter (b and is_moving) / nullif(count(*) filter (b), 0)::double', 5)} as percentage_moving, count(*) filter (ch) as transitions from c group by file, zone""")
+  select file, zone, {ZONE_COLUMNS_SQL} from c group by file, zone""")
 def zone_report(spark, sf_dir):
     t = table(spark, sf_dir)
     z = mv.zone_report(t, {"center": F.col("in_center"), "corners": F.col("in_corners")}, FPS, 2)
-    return z.select("file", "zone", r(F.col("raw_distance"), 4).alias("raw_distance"), "total_time", r(F.col("percentage_moving"), 5).alias("percentage_moving"), "transitions")
+    return rounded(z, 4)
+
+
+MAZE = {"closed_left": F.col("x") < 10, "closed_right": F.col("x") > 39, "open_top": F.col("y") < 10, "open_bottom": F.col("y") > 39}
+MAZE_SQL = {"closed_left": "x < 10", "closed_right": "x > 39", "open_top": "y < 10", "open_bottom": "y > 39", "open": "y < 10 or y > 39", "closed": "x < 10 or x > 39", "center": "in_center"}
+
+
+@query("epm_report", f"""with {M_SQL}, z as ({' union all '.join(f"select file, frame, speed, is_moving, '{n}' as zone, {x} as b from m" for n, x in MAZE_SQL.items())}),
+  s as (select *, avg(case when b then 1 when not b then 0 end) over (partition by file, zone order by frame rows between 2 preceding and 2 following) > 0.5 as sm from z),
+  c as (select *, coalesce(sm <> lag(sm) over (partition by file, zone order by frame), false) as ch from s)
+  select file, zone, {ZONE_COLUMNS_SQL} from c group by file, zone""")
+def epm_report(spark, sf_dir):
+    return rounded(assays.epm_report(table(spark, sf_dir), F.col("in_center"), MAZE, FPS, 2), 4)
+
+
+@query("debounced_contacts", f"with {F_SQL}, o as (select file, frame, coalesce(x < 30, false)::int as o, row_number() over w as n, sum(coalesce(x < 30, false)::int) over v as near, count(*) over v as whole from f window w as (partition by file order by frame), v as (partition by file order by frame rows between 3 preceding and 3 following)), c as (select *, o - coalesce(lag(o) over (partition by file order by frame), 0) as step from o) select file, count(*) filter (step = case when n % 2 = 1 then 1 else -1 end and near >= 3 and whole = 7) as contacts from c group by file")
+def debounced_contacts(spark, sf_dir):
+    return assays.debounced_contacts(frames(spark, sf_dir), F.col("x") < 30, 3)
+
+
+@query("body_size", f"with {P_SQL} select file, {R('median(abs((nose_x - body_x) * (tail_y - body_y) - (tail_x - body_x) * (nose_y - body_y)) / 2)')} as median_area, {R('median(sqrt((nose_x - tail_x) * (nose_x - tail_x) + (nose_y - tail_y) * (nose_y - tail_y)))')} as median_length from p group by file")
+def body_size(spark, sf_dir):
+    p = points_from_events(spark, sf_dir)
+    return rounded(qc.body_size(p, g.polygon_area(F.array(*[F.struct(F.col(f"{n}_x").alias("x"), F.col(f"{n}_y").alias("y")) for n in ("body", "nose", "tail")])), g.distance(F.col("nose_x"), F.col("nose_y"), F.col("tail_x"), F.col("tail_y"))))
+
+
+@query("geometry_qc", f"with {P_SQL}, l as (select file, 'body' as point, body_x as x, body_y as y from p union all select file, 'nose', nose_x, nose_y from p), v as (select file, point, 'x' as coord, x as v from l union all select file, point, 'y', y from l) select file, point, coord, count(*) as n_values, count(v) as n_valid, {R('1 - count(v) / count(*)::double')} as missing_fraction, {R('median(v)')} as median_value from v group by file, point, coord")
+def geometry_qc(spark, sf_dir):
+    return rounded(qc.geometry_qc(rs.points_long(points_from_events(spark, sf_dir), ["body", "nose"])))
+
+
+@query("legacy_flat", f"with {D_SQL} select file, cast((dense_rank() over (partition by file order by frame) - 1) * 2 as bigint) as row, {R('nx1')} as nose_x, {R('ny1')} as nose_y from d0 union all select file, cast((dense_rank() over (partition by file order by frame) - 1) * 2 + 1 as bigint), {R('nx2')}, {R('ny2')} from d0")
+def legacy_flat(spark, sf_dir):
+    d = dyads_from_events(spark, sf_dir)
+    wide = d.select("file", "frame", *[F.col(f"nose{i}_{c}").alias(f"a{i}_nose_{c}") for i in (1, 2) for c in "xy"])
+    flat = rs.legacy_flat(wide, ["a1", "a2"], ["nose"])
+    return rounded(flat.withColumn("row", F.col("row").cast("long")))
+
+
+@query("with_geometry", f"with {P_SQL} select 'animal_' || file as file, cast(frame as int) as frame, {R('tail_x')} as corner_x, {R('nose_x')} as nose_x from p")
+def with_geometry(spark, sf_dir):
+    p = points_from_events(spark, sf_dir)
+    geometry = p.select(F.concat(F.lit("geom_"), "file").alias("file"), "frame", F.col("tail_x").alias("corner_x"))
+    return rounded(rs.with_geometry(p.select(F.concat(F.lit("animal_"), "file").alias("file"), "frame", "nose_x"), geometry))
+
+
+@query("missing_points", "select n_name as point from nation where n_nationkey not in (select s_nationkey from supplier)")
+def missing_points(spark, sf_dir):
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    points = read("supplier").join(read("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("point"))
+    return rs.missing_points(points, read("nation").select(F.col("n_name").alias("point")))
+
+
+@query("extract_labels", "select event_id, event_type from events where event_type in ('click', 'view') and user_id in (1, 2, 3)")
+def extract_labels(spark, sf_dir):
+    return lab.extract_labels(spark.read.parquet(f"{sf_dir}/events.parquet"), event_type=["click", "view"], user_id=[1, 2, 3], ts=None).select("event_id", "event_type")
+
+
+@query("motif_cross_tab", "with n as (select event_type as a, user_id % 4 as b, count(*) as n from events group by all) select a, b, n, round(n / sum(n) over (partition by a), 6) + 0.0::double as row_fraction from n")
+def motif_cross_tab(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("a"), (F.col("user_id") % 4).alias("b"))
+    return rounded(lab.cross_tab(e, "a", "b"))
 
 
 @query("oft_bins", f"""with {M_SQL}, b as (select *, floor(time_s / 10) * 10 as bs, coalesce(in_center, false) as c from t), e as (select *, c and not coalesce(lag(c) over (partition by file, bs order by frame), false) as en from b)
@@ -460,11 +528,9 @@ A1N = angle_sql("nx1-bx1", "ny1-by1", "nx2-nx1", "ny2-ny1")
 A2N = angle_sql("nx2-bx2", "ny2-by2", "nx1-nx2", "ny1-ny2")
 
 
-@query("directed_contact", f"with {D_SQL}, e as (select file, d_nn <= 8 and {A1N} <= 90 + 0 as a, d_nn <= 8 and {A2N} <= 90 + 0 as b, d_bb <= 12 as c, d_bb > 12 and d_bb <= 25 as m from d1 where coalesce(abs({A1N} - 90) > 1e-6, true) and coalesce(abs({A2N} - 90) > 1e-6, true)) select file, count(*) filter (a) as a1_face, count(*) filter (b) as a2_face, count(*) filter (a and b) as mutual, count(*) filter (c) as close, count(*) filter (m) as medium from e group by file")
+@query("directed_contact", f"with {D_SQL}, e as (select file, d_nn <= 8 and round({A1N}, 9) <= 90 as a, d_nn <= 8 and round({A2N}, 9) <= 90 as b, d_bb <= 12 as c, d_bb > 12 and d_bb <= 25 as m from d1) select file, count(*) filter (a) as a1_face, count(*) filter (b) as a2_face, count(*) filter (a and b) as mutual, count(*) filter (c) as close, count(*) filter (m) as medium from e group by file")
 def directed_contact(spark, sf_dir):
-    """Without frames of right angles, as its SQL is (engines round them to either side of the limit); directed_contact_all has all frames."""
-    e = _dyads(spark, sf_dir).filter(F.coalesce(F.abs(F.col("ang_1_nose2") - 90) > 1e-6, F.lit(True)) & F.coalesce(F.abs(F.col("ang_2_nose1") - 90) > 1e-6, F.lit(True)))
-    return _contacts(e)
+    return _contacts(_dyads(spark, sf_dir))
 
 
 def _contacts(e):
@@ -472,7 +538,7 @@ def _contacts(e):
     return e.groupBy("file").agg(F.count_if(a).alias("a1_face"), F.count_if(b).alias("a2_face"), F.count_if(a & b).alias("mutual"), F.count_if("close_proximity").alias("close"), F.count_if("medium_proximity").alias("medium"))
 
 
-@query("directed_contact_all")
+@query("directed_contact_all", ORACLES["directed_contact"])
 def directed_contact_all(spark, sf_dir):
     return _contacts(_dyads(spark, sf_dir))
 
@@ -503,13 +569,59 @@ def directional_bias(spark, sf_dir):
     return rounded(social.directional_bias(s, "close_proximity", "medium_proximity"))
 
 
-@query("socint_all_events")
+def _facing_sql(i: int, target: str) -> str:
+    return f"round({angle_sql(f'nx{i}-bx{i}', f'ny{i}-by{i}', f'{target[0]}x{target[1]}-nx{i}', f'{target[0]}y{target[1]}-ny{i}')}, 9) <= 90"
+
+
+def _all_events_sql() -> str:
+    """All 32 events: base events, their runs of one frame left out, combined ones of what stays, bouts of two frames and more."""
+    heading = lambda i: f"case when nx{i} <> bx{i} or ny{i} <> by{i} then (degrees(atan2(ny{i}-by{i}, nx{i}-bx{i})) + 360) % 360 end"
+    base = {
+        "a1_nose_to_nose2": f"d_nn <= 8 and {_facing_sql(1, 'n2')}", "a1_nose_to_body2": f"d_nb <= 8 and {_facing_sql(1, 'b2')}", "a1_nose_to_tail2": f"d_nt <= 8 and {_facing_sql(1, 't2')}",
+        "a2_nose_to_nose1": f"d_nn <= 8 and {_facing_sql(2, 'n1')}", "a2_nose_to_body1": f"d_bn <= 8 and {_facing_sql(2, 'b1')}", "a2_nose_to_tail1": f"d_tn <= 8 and {_facing_sql(2, 't1')}",
+        "side_by_side_parallel": "d_nn <= 25 and d_bb <= 25 and d_tt <= 25 and round(hd, 9) <= 45", "side_by_side_antiparallel": "d_nt <= 25 and d_bb <= 25 and d_tn <= 25 and round(hd, 9) >= 135",
+        "close_proximity": "d_bb <= 12", "medium_proximity": "d_bb > 12 and d_bb <= 25", "mutually_facing": f"{_facing_sql(1, 'n2')} and {_facing_sql(2, 'n1')} and d_bb <= 25",
+        "a1_following_a2": "d_bb <= 30 and s2p > 10 and s1 > 10", "a2_following_a1": "d_bb <= 30 and s1p > 10 and s2 > 10",
+        "a1_avoidance_from_a2": "d_bb <= 30 and ahead - d_bb >= 5 and s1 > 10", "a2_avoidance_from_a1": "d_bb <= 30 and ahead - d_bb >= 5 and s2 > 10",
+        "approach_event": "ago >= 10 and ago - d_bb >= 4 and (s1 > 10 or s2 > 10)", "retreat_event": "d_bb <= 20 and ahead - d_bb >= 4 and (s1 > 10 or s2 > 10)",
+    }
+    f1, b1, t1, f2, b2, t2 = list(base)[:6]
+    any1, any2 = f"({f1} or {b1} or {t1})", f"({f2} or {b2} or {t2})"
+    more = {
+        "a1_face_investigation": f1, "a2_face_investigation": f2, "face_investigation": f"{f1} or {f2}", "a1_body_investigation": b1, "a2_body_investigation": b2, "body_investigation": f"{b1} or {b2}",
+        "a1_anogenital_investigation": t1, "a2_anogenital_investigation": t2, "anogenital_investigation": f"{t1} or {t2}", "a1_any_directed_contact": any1, "a2_any_directed_contact": any2,
+        "mutual_directed_contact": f"{any1} and {any2}", "a1_only_directed_contact": f"{any1} and not {any2}", "a2_only_directed_contact": f"{any2} and not {any1}",
+        "any_social_contact": f"{any1} or {any2} or side_by_side_parallel or side_by_side_antiparallel",
+    }
+    # a run of one frame has a false neighbour, or none, on both sides
+    kept = ", ".join(f"{n} and (coalesce(lag({n}) over w, false) or coalesce(lead({n}) over w, false)) as {n}" for n in base)
+    rows = " union all ".join(f"select file, frame, '{n}' as event_type, {x} as b from sk" for n, x in {**{n: n for n in base}, **more}.items())
+    return f"""{LAG_SQL}, hh as (select *, abs(({heading(1)}) - ({heading(2)})) % 360 as dh from l), hd as (select *, least(dh, 360 - dh) as hd from hh),
+se as (select file, frame, {', '.join(f'coalesce({x}, false) as {n}' for n, x in base.items())} from hd),
+sk as (select file, frame, {kept} from se window w as (partition by file order by frame)), ev as ({rows}),"""
+
+
+EVENT_RUNS_SQL = EV_SQL[EV_SQL.index("ew as"):]
+
+
+@query("socint_all_events", f"with {_all_events_sql()} {EVENT_RUNS_SQL} select file, event_type, event_frames, event_frames / 2.0::double as duration_s, {R('100 * event_frames / total::double', 4)} as percent_time, bout_n, {R('mb', 4)} as mean_bout_s, xb as max_bout_s, lat as latency_s from ez")
 def socint_all_events(spark, sf_dir):
     """All 32 events of a pair, in one pass."""
-    base = ["a1_nose_to_nose2", "a1_nose_to_body2", "a1_nose_to_tail2", "a2_nose_to_nose1", "a2_nose_to_body1", "a2_nose_to_tail1", "side_by_side_parallel", "side_by_side_antiparallel", "close_proximity", "medium_proximity", "mutually_facing", "a1_following_a2", "a2_following_a1", "a1_avoidance_from_a2", "a2_avoidance_from_a1", "approach_event", "retreat_event"]
     more = social.combined_events()
-    e = _dyads(spark, sf_dir).withColumns(more)
-    return social.event_summary(e, [*base, *more], SOC)
+    e = social.suppressed(_dyads(spark, sf_dir), social.BASE_EVENTS, SOC.min_event_frames).withColumns(more)
+    return rounded(social.event_summary(e, [*social.BASE_EVENTS, *more], SOC), 4)
+
+
+SUMMARY_SQL = f"with {_all_events_sql()} {EVENT_RUNS_SQL}, du as (select file, {', '.join(f"max(event_frames / 2.0::double) filter (event_type = '{e}') as {n}" for n, e in social.SUMMARY_EVENTS.items())} from ez group by file), me as (select file, count(*) as n_frames, count(*) / 2.0::double as duration_video_s, count(d_bb) / 2.0::double as duration_analyzed_s, coalesce(sum(s1 / 2), 0) + coalesce(sum(s2 / 2), 0) as total_distance_moved, avg(d_bb) as mean_body_distance, median(d_bb) as median_body_distance, avg(s1) as mean_speed_a1, avg(s2) as mean_speed_a2 from d1 group by file) select file, n_frames, duration_video_s, duration_analyzed_s, {', '.join(f'{R(n, 5)} as {n}' for n in ('total_distance_moved', 'mean_body_distance', 'median_body_distance', 'mean_speed_a1', 'mean_speed_a2'))}, {', '.join(social.SUMMARY_EVENTS)}, {R('(a1_directed_contact_s - a2_directed_contact_s) / nullif(a1_directed_contact_s + a2_directed_contact_s, 0)', 5)} as directional_bias_a1_minus_a2, a1_directed_contact_s - a2_directed_contact_s as a1_minus_a2_directed_contact_s, {R('a1_directed_contact_s / nullif(a2_directed_contact_s, 0)', 5)} as a1_over_a2_directed_contact_ratio, {R('a1_directed_contact_s / nullif(a1_directed_contact_s + a2_directed_contact_s, 0)', 5)} as a1_fraction_of_total_directed_contact, {R('(a1_directed_contact_s + a2_directed_contact_s) / nullif(total_distance_moved, 0)', 5)} as directed_contact_per_distance_moved, {R('close_proximity_s / nullif(total_distance_moved, 0)', 5)} as close_proximity_per_distance_moved from me join du using (file)"
+
+
+@query("dyad_file_summary", SUMMARY_SQL)
+def dyad_file_summary(spark, sf_dir):
+    """27 of the summary's columns; those of quality control come from a table that is passed in."""
+    e = _dyads(spark, sf_dir)
+    more = social.combined_events()
+    s = social.event_summary(social.suppressed(e, social.BASE_EVENTS, SOC.min_event_frames).withColumns(more), [*social.BASE_EVENTS, *more], SOC)
+    return rounded(social.file_summary(e, s, SOC), 5)
 
 
 @query("proximity_bins", f"with {D_SQL}, b as (select * from (values ('0_5', 0.0, 5.0), ('5_10', 5.0, 10.0), ('10_20', 10.0, 20.0), ('20_40', 20.0, 40.0), ('40_inf', 40.0, 1e300)) v(bin, a, z)) select file, bin, count(*) filter (d_bb >= a and d_bb < z) / 2.0::double as time_s, {R('100 * count(*) filter (d_bb >= a and d_bb < z) / nullif(count(d_bb), 0)::double', 4)} as percent from d1, b group by file, bin")
@@ -595,7 +707,7 @@ def smooth_labels(spark, sf_dir):
     return lab.smooth_labels(f, 2, names).select("file", "frame", "smoothed")
 
 
-@query("label_report", f"with {F_SQL}, c as (select file, label, label is distinct from lag(label) over (partition by file order by frame) as s from f) select file, label, count(*) / 2.0::double as time_s, count(*) filter (s) as count from c group by file, label")
+@query("label_report", f"with {F_SQL}, c as (select file, label, lag(label) over w as p, lead(label) over w as q from f window w as (partition by file order by frame)) select file, label, count(*) / 2.0::double as time_s, (count(*) filter (p <> label) + count(*) filter (q <> label)) / 2.0::double as count from c group by file, label")
 def label_report(spark, sf_dir):
     return lab.label_report(frames(spark, sf_dir), FPS)
 

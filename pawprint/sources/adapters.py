@@ -14,10 +14,11 @@ def pose_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A track per user. Errors are dropped detections."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value", "props")
     bad = F.col("event_type") == "error"
-    frame = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    e = e.withColumn("file", F.col("user_id").cast("string"))
+    frame = F.row_number().over(Window.partitionBy("file").orderBy("ts", "event_id")) - 1  # by file, like all that follows
     k = F.get_json_object("props", "$.k").cast("double")
     return e.select(
-        F.col("user_id").cast("string").alias("file"),
+        "file",
         "user_id",
         frame.alias("frame"),
         F.when(~bad, F.col("value") / 10).alias("x"),
@@ -33,9 +34,10 @@ def pose_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pose_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A long track per supplier, for volume."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_linestatus")
-    frame = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber")) - 1
+    li = li.withColumn("file", F.col("l_suppkey").cast("string"))
+    frame = F.row_number().over(Window.partitionBy("file").orderBy("l_shipdate", "l_orderkey", "l_linenumber")) - 1
     bad = F.col("l_returnflag") == "A"
-    return li.select(F.col("l_suppkey").cast("string").alias("file"), frame.alias("frame"), F.when(~bad, F.col("l_quantity") * 0.98).alias("x"), F.when(~bad, F.col("l_discount") * 490).alias("y"), F.when(bad, 0.5).otherwise(1.0).alias("likelihood"), F.col("l_linestatus").alias("label"))
+    return li.select("file", frame.alias("frame"), F.when(~bad, F.col("l_quantity") * 0.98).alias("x"), F.when(~bad, F.col("l_discount") * 490).alias("y"), F.when(bad, 0.5).otherwise(1.0).alias("likelihood"), F.col("l_linestatus").alias("label"))
 
 
 def points_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:

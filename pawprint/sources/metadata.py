@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 
 def read_codes(spark: SparkSession, path: str, columns: tuple[str, str] = ("Code", "ID"), sep: str = r"\s+") -> DataFrame:
-    """Two columns of a text file with a header, parted by a regular expression."""
-    lines = spark.read.text(path).withColumn("p", F.split(F.trim("value"), sep)).filter(F.col("value") != "")
-    rows = lines.select(*[F.get("p", F.lit(i)).alias(c) for i, c in enumerate(columns)])
-    return rows.filter(F.col(columns[0]) != columns[0])
+    """Two columns of a text file with a header, parted by a regular expression; an empty table if there is no such file."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns))
+    # one small file: its lines come in order, the first one is the header
+    lines = spark.read.text(path).coalesce(1).filter(F.trim("value") != "").withColumn("no", F.monotonically_increasing_id()).filter("no > 0")
+    return lines.withColumn("p", F.split(F.trim("value"), sep)).select(*[F.get("p", F.lit(i)).alias(c) for i, c in enumerate(columns)])
 
 
 def read_zone_map(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
