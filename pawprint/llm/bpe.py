@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import temporary, written
+from .common import release, temporary, written
 
 BUCKETS = 1 << 16
 #: The longest word, in characters, that may be among the broadcast ones.
@@ -184,6 +184,7 @@ class ByteBpe:
         """The rows of encode(), not yet computed; appends the broadcasts that they need to shared."""
         sc = docs.sparkSession.sparkContext
         table = self.head(docs, text_col)
+        release(docs.sparkSession)
         lists = table.column("ids").combine_chunks()
         by_text = self.by_text
         ids = np.concatenate([np.asarray(lists.flatten(), np.int32), np.fromiter(by_text.values(), np.int32, len(by_text))])

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bounded_broadcast, temporary, without, written
+from .common import ascii_lower, bounded_broadcast, release, temporary, without, written
 
 #: Fixed value: a word is a run of ASCII digits, ASCII lower-case letters (after lower-casing) and other characters.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -87,6 +87,7 @@ class PositionalIndex:
     def phrases(self) -> DataFrame:
         """Exact matches: rid, doc_id, wid, start (word position from 0), size."""
         found = written(self.candidates(), "candidates")
+        release(self.docs.sparkSession)
         rows = found.count()
         words = self.windows.select("wid", "words").dropDuplicates(["wid"])
         asked = found.join(self._small(words, self.n_windows), "wid")
@@ -99,22 +100,27 @@ class PositionalIndex:
 
     def near(self, within: int) -> DataFrame:
         """Proximity matches: rid, doc_id, wid, pos of the rarest anchor that has every other anchor at most within words away, in any order."""
+        width = max(1, within)
         lists = [self.postings.join(self._small(self.anchors.filter(F.col("rank") == r).select("wid", "term"), self.n_windows), "term").select("wid", *ROW, "pos") for r in range(1, ANCHORS + 1)]
         found = lists[0]
         for rank, other in enumerate(lists[1:], 2):
             has = self.anchors.filter(F.col("rank") == rank).select("wid", F.lit(True).alias("more"))
             flagged = found.join(self._small(has, self.n_windows), "wid", "left")
             # positions are dealt to cells of the width asked for: matches lie in the same or a neighbouring cell
-            cells = other.select(F.col("wid"), "rid", F.col("pos").alias("other"), F.explode(F.array(*[F.floor(F.col("pos") / within) + d for d in (-1, 0, 1)])).alias("cell"))
-            asked = flagged.filter("more").drop("more").withColumn("cell", F.floor(F.col("pos") / within))
-            close = asked.join(cells, ["wid", "rid", "cell"]).filter(F.abs(F.col("pos") - F.col("other")) <= within).select("wid", *ROW, "pos").distinct()
+            cells = other.select(F.col("wid"), "rid", F.col("doc_id").alias("other_id"), F.col("pos").alias("other"), F.explode(F.array(*[F.floor(F.col("pos") / width) + d for d in (-1, 0, 1)])).alias("cell"))
+            asked = flagged.filter("more").drop("more").withColumn("cell", F.floor(F.col("pos") / width))
+            close = asked.join(cells, ["wid", "rid", "cell"]).filter((F.abs(F.col("pos") - F.col("other")) <= within) & F.col("doc_id").eqNullSafe(F.col("other_id"))).select("wid", *ROW, "pos").distinct()
             found = flagged.filter("more is null").drop("more").unionByName(close)
         return found
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, **cols: str) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    index = PositionalIndex(docs, benchmark, n, **cols)
+    with temporary(docs.sparkSession):
+        return written(_contamination(PositionalIndex(docs, benchmark, n, **cols)), "contamination", keep=True)
+
+
+def _contamination(index: PositionalIndex) -> DataFrame:
     matches = written(index.phrases(), "matches")
     before = Window.partitionBy(*ROW).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     spans = matches.groupBy(*ROW, "start").agg(F.max(F.col("start") + F.col("size")).alias("end"))

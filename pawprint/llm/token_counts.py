@@ -100,7 +100,7 @@ class TokenCounter:
             while True:
                 begin = hi - width
                 if begin <= max(lo, cut):  # no place to splice in all of this chunk
-                    hi = min(end, hi + self.chunk)
+                    hi = min(end, hi + max(self.chunk, hi - lo))  # doubled, so that all the encodings together stay linear
                     left = self.begins(text, lo, hi)
                     break
                 to = min(end, begin + max(self.chunk, 2 * width))

@@ -91,8 +91,16 @@ def fit_ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 5, alpha:
     return some.astype(np.int32), weights(some).astype(np.float32), float(bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, folds: int = 3, held: int = 1, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
-    """Fits on at most sample_rows labelled rows outside the held-out fold. The sample's features, not the texts, go to the one task that fits."""
+def least_hashed(features: np.ndarray, most: int) -> np.ndarray:
+    """At most that many of the features, those of smallest mixed hash: a fit on a bounded sample has bounded memory. Scores use all features."""
+    if len(features) <= most:
+        return features
+    order = (features.astype(np.uint64) * MIX[0]) >> np.uint64(20)
+    return np.sort(features[np.argsort(order, kind="stable")[:most]])
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, most_features: int = 20_000, folds: int = 3, held: int = 1, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
+    """Fits on at most sample_rows labelled rows outside the held-out fold, of each at most most_features features. The sample's features, not the texts, go to the one task that fits."""
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).filter((fold(F.col("doc_id"), folds) != held) & F.col("label").isin(0, 1))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id", "label").limit(sample_rows)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -100,7 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, folds:
 
     def extract(batches):
         for b in batches:
-            found = [np.unique(_HASHER.features(t)).astype(np.int32) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            found = [least_hashed(np.unique(_HASHER.features(t)), most_features).astype(np.int32) for t in b.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label").cast(pa.int32()), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "label", "features"])
 
     def fit(batches):
@@ -125,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, folds:
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.7, folds: int = 3, held: int = 1, sample_rows: int = 12_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """doc_id, held_out, score, predicted (score >= cut)."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample_rows, folds, held, id_col, text_col, label_col))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample_rows, folds=folds, held=held, id_col=id_col, text_col=text_col, label_col=label_col))
 
     def run(batches):
         at, values, bias = model.value
