@@ -185,10 +185,16 @@ def locomotion_normalised(s: DataFrame, cols: list[str]) -> DataFrame:
 
 def centre_score(s: DataFrame, by: list[str]) -> DataFrame:
     """Adds center_score: the mean of the known z-scores (centre %, entries, -latency, wall distance) within by."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    parts = []
-    for c, sign in (("center_time_percent", 1.0), ("center_entries", 1.0), ("center_latency_s", -1.0), ("mean_wall_distance_cm", 1.0)):
-        sd = F.stddev_samp(c).over(w)
-        parts.append(F.when(sd > 0, sign * (F.col(c) - F.avg(c).over(w)) / sd))
+    signs = {"center_time_percent": 1.0, "center_entries": 1.0, "center_latency_s": -1.0, "mean_wall_distance_cm": 1.0}
+    columns = s.columns
+    # a row of moments for each group (one in all without groups), joined back
+    keys = {f"__k{i}": F.col(c) for i, c in enumerate(by)} or {"__k0": F.lit(0)}
+    moments = s.groupBy(*[k.alias(n) for n, k in keys.items()]).agg(*[f(c).alias(f"__{n}_{c}") for c in signs for n, f in (("m", F.avg), ("s", F.stddev_samp))])
+    if not by:
+        moments = F.broadcast(moments)
+    same = [k.eqNullSafe(moments[n]) for n, k in keys.items()]
+    s = s.join(moments, same)
+    parts = [F.when(F.col(f"__s_{c}") > 0, sign * (F.col(c) - F.col(f"__m_{c}")) / F.col(f"__s_{c}")) for c, sign in signs.items()]
     known = sum((F.when(p.isNotNull(), 1).otherwise(0) for p in parts), F.lit(0))
-    return s.withColumn("center_score", F.try_divide(sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0)), known))
+    score = F.try_divide(sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0)), known)
+    return s.select(*columns, score.alias("center_score"))

@@ -73,6 +73,9 @@ ZONE_COLUMNS_SQL = """round(coalesce(sum(speed) filter (b), 0), 4) + 0.0::double
   round(100 * count(*) filter (b and is_moving) / nullif(count(*) filter (b), 0)::double, 4) + 0.0::double as percentage_moving, count(*) filter (ch) as transitions"""
 
 
+BIN_COLUMNS_SQL = ZONE_COLUMNS_SQL[: ZONE_COLUMNS_SQL.rindex(", count(*) filter (ch)")]
+
+
 def angle_sql(hx: str, hy: str, tx: str, ty: str) -> str:
     """The angle of two vectors in degrees, null for a vector of no length."""
     dot, size = f"(({hx})*({tx})+({hy})*({ty}))", f"(sqrt(({hx})*({hx})+({hy})*({hy}))*sqrt(({tx})*({tx})+({ty})*({ty})))"
@@ -373,11 +376,11 @@ def oft_bins(spark, sf_dir):
 
 
 @query("bin_analysis", f"""with {F_SQL}, b as (select file, frame, 'bin.' || cast(floor(frame / 20) + 1 as int) as bin, x, y from f), d as (select *, case when row_number() over w = 1 then 0 else sqrt(power(x - lag(x) over w, 2) + power(y - lag(y) over w, 2)) end as s from b window w as (partition by file, bin order by frame))
-  select file, bin, {R('coalesce(sum(s), 0)', 4)} as raw_distance, count(*) / 2.0::double as total_time from d group by file, bin""")
+  select file, bin, {BIN_COLUMNS_SQL} from (select file, bin, s as speed, avg(case when s > 5 then 1 when s <= 5 then 0 end) over (partition by file, bin order by frame rows between 2 preceding and 2 following) > 0.5 as is_moving, true as b from d) group by file, bin""")
 def bin_analysis(spark, sf_dir):
     keys = ["file", "bin"]
     s = mv.summary(mv.movement(rs.equal_bins(frames(spark, sf_dir), 20), FPS, 10.0, 2, keys), FPS, keys)
-    return s.select("file", "bin", r(F.col("raw_distance"), 4).alias("raw_distance"), "total_time")
+    return rounded(s, 4)
 
 
 EPOCH_SQL = M_SQL + """, e0 as (select *, max(time_s) over (partition by file) as mx from t), e1 as (select *, case when time_s < least(10, mx / 2) then 'first_epoch' when time_s >= mx - least(10, mx / 2) then 'last_epoch' end as epoch, coalesce(in_center, false) as c from e0),
@@ -726,6 +729,12 @@ def classification_eval(spark, sf_dir):
     return rounded(lab.evaluate(f, "label", "guess"))
 
 
+@query("classification_overall", ORACLES["classification_eval"].replace("group by file, label)", "group by label)").replace("select file, label, sum(ok)", "select label, sum(ok)"))
+def classification_overall(spark, sf_dir):
+    f = frames(spark, sf_dir).withColumn("guess", F.coalesce(F.lag("label").over(win.track()), F.col("label")))
+    return rounded(lab.overall(lab.evaluate(f, "label", "guess")))
+
+
 @query("label_correlation", f"with {F_SQL}, s as (select file, count(*) filter (label = 'click') / 2.0::double as c, count(*) filter (label = 'view') / 2.0::double as v, count(*) filter (label = 'error') / 2.0::double as e from f group by file) select {R('corr(c, v)', 5)} as click_view, {R('corr(c, e)', 5)} as click_error, {R('corr(v, e)', 5)} as view_error from s")
 def label_correlation(spark, sf_dir):
     s = frames(spark, sf_dir).groupBy("file").pivot("label", ["click", "view", "error"]).count().fillna(0)
