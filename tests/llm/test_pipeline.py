@@ -42,3 +42,29 @@ def test_stages_keep_columns(spark, small):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, small).columns == docs.columns
     assert leaks("x", [(1, "x")], 10)[4]
+
+
+def test_drops_keep_any_column_names(spark):
+    """Names that a drop's own join might use, in any case, and a null key."""
+    from pyspark.sql import functions as F
+
+    from pawprint.llm.common import without, written
+
+    docs = spark.createDataFrame([(1, "a", 7, 8), (2, "b", 7, 8), (None, "c", 7, 8), (2, None, 7, 8)], "doc_id bigint, text string, gone_0 int, `GONE_1` int")
+    gone = written(docs.filter("doc_id = 2 and text is not null").select("doc_id", "text"), "gone")
+    left = without(docs, gone, [docs["doc_id"], docs["text"]], 16)
+    assert left.columns == docs.columns
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([(1, "a", 7, 8), (None, "c", 7, 8), (2, None, 7, 8)], key=str)
+    assert without(docs, gone.limit(0), [docs["doc_id"], docs["text"]], 16).filter(F.col("gone_0") == 7).count() == 4
+
+
+def test_temporary_tables_go_at_the_end(spark):
+    import os
+
+    from pawprint.llm.common import temporary, written
+
+    with temporary(spark):
+        inner, kept = written(spark.range(3).toDF("x"), "inner"), written(spark.range(4).toDF("x"), "kept", keep=True)
+        paths = [os.path.dirname(df.inputFiles()[0].removeprefix("file://")) for df in (inner, kept)]
+        assert inner.count() == 3 and all(map(os.path.isdir, paths))
+    assert [os.path.isdir(p) for p in paths] == [False, True] and kept.count() == 4
