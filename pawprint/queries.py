@@ -307,7 +307,6 @@ def zone_report(spark, sf_dir):
     return rounded(z, 4)
 
 
-MAZE = {"closed_left": F.col("x") < 10, "closed_right": F.col("x") > 39, "open_top": F.col("y") < 10, "open_bottom": F.col("y") > 39}
 MAZE_SQL = {"closed_left": "x < 10", "closed_right": "x > 39", "open_top": "y < 10", "open_bottom": "y > 39", "open": "y < 10 or y > 39", "closed": "x < 10 or x > 39", "center": "in_center"}
 
 
@@ -316,7 +315,8 @@ MAZE_SQL = {"closed_left": "x < 10", "closed_right": "x > 39", "open_top": "y <
   c as (select *, coalesce(sm <> lag(sm) over (partition by file, zone order by frame), false) as ch from s)
   select file, zone, {ZONE_COLUMNS_SQL} from c group by file, zone""")
 def epm_report(spark, sf_dir):
-    return rounded(assays.epm_report(table(spark, sf_dir), F.col("in_center"), MAZE, FPS, 2), 4)
+    arms = {n: F.expr(MAZE_SQL[n]) for n in ("closed_left", "closed_right", "open_top", "open_bottom")}
+    return rounded(assays.epm_report(table(spark, sf_dir), F.col("in_center"), arms, FPS, 2), 4)
 
 
 @query("debounced_contacts", f"with {F_SQL}, o as (select file, frame, coalesce(x < 30, false)::int as o, row_number() over w as n, sum(coalesce(x < 30, false)::int) over v as near, count(*) over v as whole from f window w as (partition by file order by frame), v as (partition by file order by frame rows between 3 preceding and 3 following)), c as (select *, o - coalesce(lag(o) over (partition by file order by frame), 0) as step from o) select file, count(*) filter (step = case when n % 2 = 1 then 1 else -1 end and near >= 3 and whole = 7) as contacts from c group by file")
