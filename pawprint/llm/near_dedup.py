@@ -147,6 +147,7 @@ def components(edges: DataFrame) -> DataFrame:
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         seen = now
+        release(edges.sparkSession)
 
 
 class NearDuplicates:
@@ -235,6 +236,7 @@ class NearDuplicates:
             went = rounds[-1].groupBy("grp").agg(F.count_if("settled").alias("settled"), F.count(F.lit(1)).alias("n"))
             on = written(went.filter((F.col("settled") * PROGRESS >= F.col("n")) & (F.col("n") - F.col("settled") > SMALL)).select("grp"), "on")
             left = rounds[-1].filter("not settled").join(bounded_broadcast(on, on.count(), 16), "grp", "left_semi").select("grp", "node", "sig")
+            release(left.sparkSession)
         out = rounds[0]
         for r in rounds[1:]:
             out = out.unionByName(r)
@@ -266,6 +268,7 @@ class NearDuplicates:
         delta = own.select("grp", "round", "node", "root", "home", "index", "probe", F.size("s").alias("n"), F.size("h").alias("nh"), F.array_except("s", "h").alias("more"), F.array_except("h", "s").alias("less"))
         delta = delta.withColumn("d", F.size("more") + F.size("less")).withColumn("k", most(F.col("n") + F.floor(F.col("n") * 100 / self.percent)))
         delta = written(delta, "differences")
+        release(delta.sparkSession)
         # any order of elements is right, as long as it is one; elements that several of a few members have are put last
         frame = ["grp", "round"]
         look = Window.partitionBy(*frame).orderBy(F.xxhash64("node"), "node")
@@ -282,6 +285,7 @@ class NearDuplicates:
         take = F.greatest(F.col("first"), F.when(F.col("probe"), F.col("k") + 1).otherwise(0)).cast("int")
         ranked = ranked.filter(take > 0).select(*frame, "node", "root", "n", "d", "k", "probe", "first", F.posexplode(F.slice(ordered, F.lit(1), take)).alias("pos", "e"))
         ranked = written(ranked, "prefixes")
+        release(ranked.sparkSession)
         index = ranked.filter(F.col("pos") < F.col("first")).select(*frame, "e", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("d").alias("da"), F.col("pos").alias("pa"))
         probe = ranked.filter(F.col("probe") & (F.col("pos") <= F.col("k"))).select(*frame, "e", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("d").alias("db"), F.col("pos").alias("pb"))
         overlap = F.ceil((F.col("da") + F.col("db") - most(F.col("na") + F.col("nb"))) / 2)
