@@ -84,3 +84,18 @@ def with_geometry(animal: DataFrame, geometry: DataFrame) -> DataFrame:
     """Geometry columns beside the animal's, by file and frame; a geometry file is that of the animal whose name has animal for geom."""
     named = geometry.withColumn("file", F.regexp_replace("file", "geom", "animal"))
     return named.join(animal, ["file", "frame"])
+
+
+def pivoted(df: DataFrame, keys: list[str], of: str, names: dict, values: list[str], empty=None) -> DataFrame:
+    """One row per keys with <value>_<name> for each value of the column of (names: its values and what they are called), by one aggregate.
+
+    Combinations without a row are empty; of several rows the largest value is taken.
+    """
+    cells = [(F.max(F.when(F.col(of) == F.lit(k), F.col(v))), f"{v}_{name}") for k, name in names.items() for v in values]
+    return df.groupBy(*keys).agg(*[(c if empty is None else F.coalesce(c, F.lit(empty))).alias(n) for c, n in cells])
+
+
+def suffixed_join(left: DataFrame, right: DataFrame, keys: list[str], suffix: str = ".enh") -> DataFrame:
+    """Left join on keys; columns of right whose names left has too (in any case) get the suffix."""
+    taken = {c.lower() for c in left.columns} - {k.lower() for k in keys}
+    return left.join(right.withColumnsRenamed({c: c + suffix for c in right.columns if c.lower() in taken}), keys, "left")

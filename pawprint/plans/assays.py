@@ -17,6 +17,23 @@ def proximity(d: Column, near: float, far: float) -> Column:
     return (d > near) & (d <= far)
 
 
+def object_contact(d: Column, body: Column, angle: Column, near: float, inside: Column | None = None, least_deg: float = 70.0, body_least: float = 1.0) -> Column:
+    """The nose within near of the object, or inside its outline where one is given, the body off it, and the object not behind the head.
+
+    angle: at the nose between the object and the body, in degrees; unknown angles make an unknown contact.
+    """
+    return (d <= near if inside is None else inside) & (body > body_least) & (F.round(angle, 9) >= least_deg)
+
+
+def proximity_ahead(d: Column, angle: Column, near: float, far: float, least_deg: float = 90.0) -> Column:
+    return proximity(d, near, far) & (F.round(angle, 9) >= least_deg)
+
+
+def latency(flag: Column, fps: float) -> Column:
+    """An aggregate: seconds to the first frame of the flag, null if there is none."""
+    return F.min(F.when(flag, F.col("frame"))) / F.lit(float(fps))
+
+
 def flag_time(flag: Column, session_s: float) -> Column:
     """An aggregate: the share of true rows (null flags left out) of the session, in s."""
     return F.avg(flag.cast("int")) * session_s

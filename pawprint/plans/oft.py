@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pawprint.functions.geometry import grid_cell, in_zones, line_distance, wrapped
+from pawprint.functions.stats import slopes
 from pawprint.functions.windows import entered, entropy_bits, track
 from pawprint.operators.bouts import bout_summary
 from pawprint.operators.movement import movement
+from pawprint.operators.reshape import pivoted
 from pawprint.operators.zones import open_field_zones, zone_state
 from pawprint.schema import OftConfig
 from pawprint.sources.adapters import ARENA
@@ -198,3 +200,29 @@ def centre_score(s: DataFrame, by: list[str]) -> DataFrame:
     known = sum((F.when(p.isNotNull(), 1).otherwise(0) for p in parts), F.lit(0))
     score = F.try_divide(sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0)), known)
     return s.select(*columns, score.alias("center_score"))
+
+
+def enhanced_row(t: DataFrame, cfg: OftConfig, slope_metrics: tuple[str, ...] = ("distance_cm", "center_time_s", "mean_speed_cm_s")) -> DataFrame:
+    """One row per track: slopes over bins, epoch changes, wall thresholds and velocity states in columns, path geometry and occupancy.
+
+    A track without rows for a part has nulls there; times, percents, frames and entries of states that don't occur are 0.
+    """
+    long = slopes(bin_table(t, cfg), "bin_start_s", list(slope_metrics), ["file"])
+    out = occupancy(t, cfg).join(path_geometry(t, cfg), "file", "left")
+    out = out.join(pivoted(long, ["file"], "metric", {m: m for m in slope_metrics}, ["slope_per_min", "intercept", "r_squared"]), "file", "left")
+    deltas = ["center_percent", "center_entries", "distance_cm", "mean_speed_cm_s", "mean_wall_distance_cm", "immobile_time_s"]
+    out = out.join(epoch_deltas(epochs(t, cfg), deltas), "file", "left")
+    walls = wall_thresholds(t, cfg)
+    out = out.join(pivoted(walls, ["file"], "threshold_cm", {float(w): f"{w:g}cm" for w in cfg.wall_cm}, ["near_wall_time_s", "near_wall_percent", "near_wall_entries"], empty=0), "file", "left")
+    states = {s: s for s in ("low_speed_or_rest", "moderate_speed", "high_speed")}
+    found = velocity_states(t, cfg)
+    return out.join(pivoted(found, ["file"], "velocity_state", states, ["time_s", "percent"], empty=0).join(pivoted(found, ["file"], "velocity_state", states, ["mean_speed_cm_s"]), "file"), "file", "left")
+
+
+def scored(enhanced: DataFrame, scores: DataFrame, keys: list[str], min_valid: float) -> DataFrame:
+    """enhanced with the scores of its keys, if any, and enhanced_qc_flag: flagged, too few valid frames, or no occupancy.
+
+    scores has the keys, qc_flag and further columns of other names than enhanced's. Unknown flags and fractions count as bad.
+    """
+    bad = F.coalesce("qc_flag", F.lit(True)) | F.coalesce(F.col("valid_fraction") < min_valid, F.lit(True)) | F.col("entropy_norm").isNull()
+    return enhanced.join(scores, keys, "left").withColumn("enhanced_qc_flag", bad)

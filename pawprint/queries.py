@@ -385,7 +385,7 @@ def bin_analysis(spark, sf_dir):
 
 EPOCH_SQL = M_SQL + """, e0 as (select *, max(time_s) over (partition by file) as mx from t), e1 as (select *, case when time_s < least(10, mx / 2) then 'first_epoch' when time_s >= mx - least(10, mx / 2) then 'last_epoch' end as epoch, coalesce(in_center, false) as c from e0),
 e2 as (select *, c and not coalesce(lag(c) over (partition by file, epoch order by frame), false) as en from e1 where epoch is not null),
-e as (select file, epoch, count(*) / 2.0::double as duration_s, 100 * count(*) filter (in_center) / count(*)::double as center_percent, count(*) filter (en) as center_entries, sum(speed_cm_s / 2) as distance_cm, avg(wall_distance_cm) as wall from e2 group by file, epoch)"""
+e as (select file, epoch, count(*) / 2.0::double as duration_s, 100 * count(*) filter (in_center) / count(*)::double as center_percent, count(*) filter (en) as center_entries, sum(speed_cm_s / 2) as distance_cm, avg(wall_distance_cm) as wall, avg(speed_cm_s) as mean_speed, count(*) filter (is_immobile) / 2.0::double as immobile from e2 group by file, epoch)"""
 
 
 @query("oft_epochs", f"with {EPOCH_SQL} select file, epoch, duration_s, {R('center_percent', 4)} as center_percent, center_entries, {R('distance_cm', 4)} as distance_cm, {R('wall', 9)} as mean_wall_distance_cm from e")
@@ -435,6 +435,30 @@ def oft_summary(spark, sf_dir):
     return rounded(s.select("file", "total_time_s", "distance_cm", "moving_time_s", "center_time_s", "center_time_percent", "center_entries", "center_latency_s", "periphery_time_s", "periphery_entries", "corner_time_s", "corner_entries", "mean_wall_distance_cm", "median_wall_distance_cm"), 4)
 
 
+SLOPE_METRICS = ("distance_cm", "center_time_s", "mean_speed_cm_s")
+STATES = ("low_speed_or_rest", "moderate_speed", "high_speed")
+ENHANCED_SQL = f"""with occ as ({ORACLES["occupancy_entropy"]}), pg as ({ORACLES["path_geometry"]}), wl as ({ORACLES["wall_thresholds"]}), vs as ({ORACLES["velocity_states"]}),
+  sl as (with {M_SQL}, b as (select file, floor(time_s / 10) * 10 as bs, sum(speed_cm_s / 2) as distance_cm, count(*) filter (in_center) / 2.0::double as center_time_s, avg(speed_cm_s) as mean_speed_cm_s from t group by 1, 2)
+    select file, {", ".join(f"{R(f'case when count({m}) >= 3 then {f} end', n)} as {name}_{m}" for m in SLOPE_METRICS for f, name, n in ((f"regr_slope({m}, bs) * 60", "slope_per_min", 3), (f"regr_intercept({m}, bs)", "intercept", 3), (f"regr_r2({m}, bs)", "r_squared", 3)))} from b group by file),
+  dl as (with {EPOCH_SQL} select a.file, {R("b.center_percent - a.center_percent", 4)} as center_percent_delta, b.center_entries - a.center_entries as center_entries_delta, {R("b.distance_cm - a.distance_cm", 3)} as distance_cm_delta,
+    {R("b.mean_speed - a.mean_speed", 4)} as mean_speed_cm_s_delta, {R("b.wall - a.wall", 9)} as mean_wall_distance_cm_delta, {R("b.immobile - a.immobile", 4)} as immobile_time_s_delta from e a join e b on a.file = b.file and a.epoch = 'first_epoch' and b.epoch = 'last_epoch'),
+  ww as (select file, {", ".join(f"coalesce(max({v}) filter (threshold_cm = {w}), 0) as {v}_{w}cm" for w in (5, 10) for v in ("near_wall_time_s", "near_wall_percent", "near_wall_entries"))} from wl group by file),
+  vv as (select file, {", ".join(f"coalesce(max({v}) filter (velocity_state = '{z}'), 0) as {v}_{z}" for z in STATES for v in ("time_s", "percent"))}, {", ".join(f"max(mean_speed_cm_s) filter (velocity_state = '{z}') as mean_speed_cm_s_{z}" for z in STATES)} from vs group by file)
+  select * from occ left join pg using (file) left join sl using (file) left join dl using (file) left join ww using (file) left join vv using (file)"""
+
+
+def _enhanced(spark, sf_dir):
+    digits = {"mean_wall_distance_cm_delta": 9, "tortuosity": 3, "distance_cm_delta": 3, "valid_fraction": 6, "coverage_percent": 6, "entropy_bits": 5, "entropy_norm": 5}
+    e = oft.enhanced_row(table(spark, sf_dir), CFG, SLOPE_METRICS)
+    of = lambda c: 3 if c.startswith(("slope_per_min", "intercept", "r_squared")) else digits.get(c, 4)
+    return e.select(*[r(F.col(c), of(c)).alias(c) if t == "double" else F.col(c) for c, t in e.dtypes])
+
+
+@query("enhanced_row", ENHANCED_SQL)
+def enhanced_row(spark, sf_dir):
+    return _enhanced(spark, sf_dir)
+
+
 @query("immobility_bouts", f"with {M_SQL}{BOUT_SQL.format(flag='is_immobile', src='t')}{SUMMARY_SQL.format(least=1)}")
 def immobility_bouts(spark, sf_dir):
     return rounded(bt.bout_summary(table(spark, sf_dir), F.col("is_immobile"), FPS, 1.0))
@@ -487,6 +511,21 @@ def qc_sensitivity(spark, sf_dir):
     return rounded(qc.sensitivity(z, ["duration_s", "missing_fraction"]), 5)
 
 
+@query("enhanced_scored", f"select file, valid_fraction, entropy_norm, batch, center_score, qc_flag, coalesce(qc_flag, true) or coalesce(valid_fraction < 0.8, true) or entropy_norm is null as enhanced_qc_flag from ({ORACLES['occupancy_entropy']}) left join ({ORACLES['center_score']}) using (file) left join (with {QC_SQL} select file, mf > 0.2 or lf > 0.2 or jn > 2 as qc_flag from z) using (file)")
+def enhanced_scored(spark, sf_dir):
+    z = qc.tracking_qc(frames(spark, sf_dir), FPS, 0.9, 40.0)
+    flags = z.select("file", ((F.col("missing_fraction") > 0.2) | (F.col("low_likelihood_fraction") > 0.2) | (F.col("impossible_jump_n") > 2)).alias("qc_flag"))
+    scores = center_score(spark, sf_dir).join(flags, "file", "left")
+    return oft.scored(_enhanced(spark, sf_dir).select("file", "valid_fraction", "entropy_norm"), scores, ["file"], 0.8)
+
+
+@query("summary_chain", f"select s.*, e.epoch, e.duration_s, e.center_percent, e.center_entries as center_entries_enh, e.distance_cm as distance_cm_enh, e.mean_wall_distance_cm as mean_wall_distance_cm_enh, l.center_time_s_per_m, l.moving_time_s_per_m from ({ORACLES['oft_summary']}) s left join (select * from ({ORACLES['oft_epochs']}) where epoch = 'first_epoch') e on s.file = e.file left join ({ORACLES['loc_normalized']}) l on s.file = l.file")
+def summary_chain(spark, sf_dir):
+    first = oft_epochs(spark, sf_dir).filter("epoch = 'first_epoch'")
+    both = rs.suffixed_join(oft_summary(spark, sf_dir), first, ["file"], "_enh")
+    return rs.suffixed_join(both, loc_normalized(spark, sf_dir), ["file"], "_adv")
+
+
 @query("habituation_slopes", f"""with {M_SQL}, b as (select file, floor(time_s / 5) * 5 as bs, sum(speed_cm_s / 2) as d from t group by file, 2), q as (select file, regr_slope(d, bs) * 60 as s, regr_intercept(d, bs) as i, regr_r2(d, bs) as r2, count(*) filter (d is not null) as n from b group by file)
   select file, {R('case when n >= 3 then s end', 3)} as slope_per_min, {R('case when n >= 3 then i end', 3)} as intercept, {R('case when n >= 3 then r2 end', 4)} as r_squared from q""")
 def habituation_slopes(spark, sf_dir):
@@ -647,6 +686,31 @@ def nor_contact(spark, sf_dir):
     return n.groupBy("file").agg(r(assays.flag_time(F.col("l"), 300.0), 4).alias("contact_left_s"), r(assays.flag_time(F.col("r"), 300.0), 4).alias("proximity_right_s"), (F.min(F.when(F.col("l"), F.col("frame"))) / F.lit(FPS)).alias("latency_left_s"))
 
 
+NOR_SQL = f"""with {P_SQL}, n as (select file, frame, case user_id % 2 when 0 then 'R' else 'L' end as loc, sqrt(power(nose_x-10, 2)+power(nose_y-10, 2)) as dl, sqrt(power(nose_x-5, 2)+power(nose_y-40, 2)) as dr, sqrt(power(body_x-10, 2)+power(body_y-10, 2)) as bl, sqrt(power(body_x-5, 2)+power(body_y-40, 2)) as br,
+    abs(nose_x-10) <= 9 + 1e-10 and abs(nose_y-10) <= 7 + 1e-10 as il, abs(nose_x-5) <= 9 + 1e-10 and abs(nose_y-40) <= 7 + 1e-10 as ir,
+    round({angle_sql("10-nose_x", "10-nose_y", "body_x-nose_x", "body_y-nose_y")}, 9) as al, round({angle_sql("5-nose_x", "40-nose_y", "body_x-nose_x", "body_y-nose_y")}, 9) as ar from p),
+  c as (select *, case loc when 'R' then il else dl <= 8 end and bl > 1 and al >= 70 as l, case loc when 'R' then dr <= 8 else ir end and br > 1 and ar >= 70 as q, dl > 8 and dl <= 16 and al >= 90 as pl, dr > 8 and dr <= 16 and ar >= 90 as pr from n)
+  select file, loc, {R("avg(l::int) * 300", 4)} as contact_left_s, {R("avg(q::int) * 300", 4)} as contact_right_s, {R("avg(pl::int) * 300", 4)} as ahead_left_s, {R("avg(pr::int) * 300", 4)} as ahead_right_s, least(min(frame) filter (l), min(frame) filter (q)) / 2.0::double as latency_s from c group by file, loc"""
+
+
+@query("nor_object_contact", NOR_SQL)
+def nor_object_contact(spark, sf_dir):
+    p = points_from_events(spark, sf_dir).withColumn("loc", F.when(F.col("user_id") % 2 == 0, "R").otherwise("L"))
+    at = lambda q: (F.col(f"{q}_x"), F.col(f"{q}_y"))
+    (nx, ny), (bx, by) = at("nose"), at("body")
+    contact, ahead = {}, {}
+    for side, (x, y), novel in (("left", (10.0, 10.0), F.col("loc") == "R"), ("right", (5.0, 40.0), F.col("loc") == "L")):
+        d, body = (g.distance(*at(q), F.lit(x), F.lit(y)) for q in ("nose", "body"))
+        angle = g.angle_deg(F.lit(x) - nx, F.lit(y) - ny, bx - nx, by - ny)
+        outline = g.inside_or_border(nx, ny, [(x - 9, y - 7), (x + 9, y - 7), (x + 9, y + 7), (x - 9, y + 7)])
+        contact[side] = F.when(novel, assays.object_contact(d, body, angle, 8.0, outline)).otherwise(assays.object_contact(d, body, angle, 8.0))
+        ahead[side] = assays.proximity_ahead(d, angle, 8.0, 16.0)
+    n = p.withColumns({f"contact_{k}": v for k, v in contact.items()} | {f"ahead_{k}": v for k, v in ahead.items()})
+    times = [r(assays.flag_time(F.col(f"{c}_{k}"), 300.0), 4).alias(f"{c}_{k}_s") for c in ("contact", "ahead") for k in ("left", "right")]
+    first = F.least(*[assays.latency(F.col(f"contact_{k}"), FPS) for k in ("left", "right")])
+    return n.groupBy("file", "loc").agg(*times, first.alias("latency_s"))
+
+
 @query("socp_novel", f"with {P_SQL}, n as (select file, user_id, sqrt(power(body_x-10, 2)+power(body_y-10, 2)) <= 15 as l, sqrt(power(body_x-5, 2)+power(body_y-40, 2)) <= 15 as q from p), m as (select file, case user_id % 3 when 0 then 'R' when 1 then 'L' end as loc, avg(l::int) * 600 as l, avg(q::int) * 600 as q from n group by 1, 2) select file, loc, {R('case loc when ' + chr(39) + 'R' + chr(39) + ' then l when ' + chr(39) + 'L' + chr(39) + ' then q end', 4)} as novel_s, {R('case loc when ' + chr(39) + 'R' + chr(39) + ' then q when ' + chr(39) + 'L' + chr(39) + ' then l end', 4)} as familiar_s from m")
 def socp_novel(spark, sf_dir):
     p = points_from_events(spark, sf_dir)
