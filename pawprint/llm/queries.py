@@ -126,3 +126,10 @@ def op6_line_dedup(spark, sf_dir):
     from .line_dedup import dedup_lines
 
     return dedup_lines(documents(spark, sf_dir), short_partners=True).select("doc_id", "n_lines", "n_equal", "n_near", F.sha2("text", 256).alias("text_sha256"))
+
+
+@_query("op11_runs")
+def op11_runs(spark, sf_dir):
+    from .runs import digests, periodic_runs, planted
+
+    return digests(periodic_runs(planted(documents(spark, sf_dir))))
