@@ -133,3 +133,46 @@ def op11_runs(spark, sf_dir):
     from .runs import digests, periodic_runs, planted
 
     return digests(periodic_runs(planted(documents(spark, sf_dir))))
+
+
+#: crc32 of a column's ASCII characters, bit by bit
+CRC32_SQL = "xor(list_reduce(flatten([[(ascii(ch) >> bit) & 1 for bit in range(8)] for ch in string_split({}, '')]), lambda c, b: xor(c >> 1, case when xor(c & 1, b) = 1 then 3988292384 else 0 end), 4294967295::bigint), 4294967295)"
+REPAIR_SQL = rf"""
+    with recursive named as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as name from conversations),
+    how as (select *, {CRC32_SQL.format("name")} % 20 as how from named),
+    damaged as (select conv_id, turn, case when how = 4 then 'user' else role end as role, case how when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+      from how, (values (1), (2)) copies(c) where how <> 0 and (c = 1 or how = 3)),
+    placed as (select *, row_number() over w as i, row_number() over (partition by conv_id, role, text order by turn nulls first) as again, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) as last
+      from damaged window w as (partition by conv_id order by turn nulls first, role, text)),
+    faulty as (select *, last = '' as blank, last <> '' and again > 1 as duplicate, last <> '' and again = 1 and last not in ('.', '!', '?') as truncated, left(role, 1) as letter,
+      lag(left(role, 1)) over (partition by conv_id order by i) || left(role, 1) as pair from placed),
+    counted as (select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank, count(*) filter (duplicate) as duplicate,
+      count(*) filter (truncated) as truncated, count(*) filter (pair not in ('su', 'ua', 'au')) as illegal from faulty group by conv_id),
+    ways(a, b, price, edit, what) as (values ('-', 's', 0, 'K', 's'), ('-', 'u', 0, 'K', 'u'), ('s', 'u', 0, 'K', 'u'), ('u', 'a', 0, 'K', 'a'), ('a', 'u', 0, 'K', 'u'),
+      ('-', 'u', 3, 'R', ''), ('s', 'u', 3, 'R', ''), ('u', 'a', 3, 'R', ''), ('a', 'u', 3, 'R', ''), ('-', '-', 4, 'D', ''), ('s', 's', 4, 'D', ''), ('u', 'u', 4, 'D', ''), ('a', 'a', 4, 'D', '')),
+    inserts(a, b, n) as (values ('-', '-', 0), ('-', 'u', 1), ('-', 'a', 2), ('s', 's', 0), ('s', 'u', 1), ('s', 'a', 2), ('u', 'u', 0), ('u', 'a', 1), ('a', 'a', 0), ('a', 'u', 1)),
+    moves as (select x.a, y.b, x.n * 3 + w.price + y.n * 3 as price, repeat('I', x.n) || w.edit || repeat('I', y.n) as edits, w.edit, w.what from inserts x join ways w on x.b = w.a join inserts y on w.b = y.a),
+    steps as (select conv_id, i, m.a, m.b, min({{'cost': m.price + case when truncated and m.edit <> 'D' then 3 else 0 end, 'edits': m.edits}}) as way from faulty join moves m on (m.edit = 'D' or not blank and not duplicate) and (m.edit <> 'K' or m.what = letter) group by all),
+    best(conv_id, i, b, way) as (
+      select conv_id, 0::bigint, '-', {{'cost': 0::bigint, 'audit': ''}} from (select distinct conv_id from conversations)
+      union all
+      select s.conv_id, any_value(s.i), s.b, min({{'cost': (best.way.cost + s.way.cost)::bigint, 'audit': best.way.audit || s.way.edits}})
+      from best join steps s on s.conv_id is not distinct from best.conv_id and s.i = best.i + 1 and s.a = best.b group by s.conv_id, s.b),
+    solved as (select best.conv_id, min(way) as way from best left join counted c on c.conv_id is not distinct from best.conv_id where best.i = coalesce(c.n, 0) and b in ('-', 'a') group by best.conv_id),
+    edits as (select conv_id, pos, substring(way.audit, pos, 1) as edit from (select *, unnest(range(1, length(way.audit) + 1)) as pos from solved)),
+    dealt as (select *, count(*) filter (edit <> 'I') over (partition by conv_id order by pos) as i from edits),
+    stays as (select d.conv_id, d.pos, d.edit, case when d.edit <> 'I' then f.text else '' end as text, case when d.edit = 'K' then f.role end as role,
+      row_number() over (partition by d.conv_id order by d.pos) as k from dealt d left join faulty f on f.conv_id is not distinct from d.conv_id and f.i = d.i where d.edit <> 'D'),
+    led as (select *, first_value(coalesce(left(role, 1), 'u')) over (partition by conv_id order by pos) = 's' as led from stays),
+    lines as (select conv_id, string_agg(coalesce(role, case when (k % 2 = 1) <> led then 'user' else 'assistant' end) || ':' || text, chr(10) order by pos) as lines from led group by conv_id)
+    select s.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+      s.way.cost as cost, s.way.audit as audit, sha256(coalesce(l.lines, '')) as repaired_sha256
+    from solved s left join counted c on c.conv_id is not distinct from s.conv_id left join lines l on l.conv_id is not distinct from s.conv_id
+    """
+
+
+@_query("op13_conversations", REPAIR_SQL)
+def op13_conversations(spark, sf_dir):
+    from .conversations import damaged, digests, repair
+
+    return digests(repair(damaged(documents(spark, sf_dir, "conversations"))))
