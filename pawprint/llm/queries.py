@@ -128,22 +128,39 @@ def op6_line_dedup(spark, sf_dir):
     return dedup_lines(documents(spark, sf_dir), short_partners=True).select("doc_id", "n_lines", "n_equal", "n_near", F.sha2("text", 256).alias("text_sha256"))
 
 
-@_query("op11_runs")
+#: crc32 of a column's ASCII characters, bit by bit
+CRC32_SQL = "xor(list_reduce(flatten([[(ascii(ch) >> bit) & 1 for bit in range(8)] for ch in string_split({}, '')]), lambda c, b: xor(c >> 1, case when xor(c & 1, b) = 1 then 3988292384 else 0 end), 4294967295::bigint), 4294967295)"
+RUNS_SQL = rf"""
+    with cut as (select row_number() over () as row, doc_id, {CRC32_SQL.format("cast(doc_id as varchar)")} as h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+    g as (select *, len(w) as n, (h // 10) % greatest(len(w), 1) as a, h // 10 as g from cut),
+    d as (select row, doc_id, n, case when h % 10 = 0 and n > 0 then [w[1 + case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + g % 8)) end] for i in range(n)] else w end as w from g),
+    t as (select row, n, unnest(range(len(w) - 2)) as i, unnest([hash(w[k], w[k + 1], w[k + 2]) for k in range(1, len(w) - 1)]) as t from d where n >= 6),
+    pairs as (select x.row, x.n, x.i, y.i - x.i as p from t x join t y on x.row = y.row and x.t = y.t and y.i > x.i and (y.i - x.i) * 4 <= x.n),
+    islands as (select *, i - row_number() over (partition by row, p order by i) as island from pairs),
+    stretches as (select row, p, min(i) as start, count(*) + 2 + p as length from islands group by row, p, island having count(*) + 2 + p >= greatest(6, 4 * p)),
+    runs as (select row, start, length, min(p) as period from stretches group by row, start, length),
+    listed as (select row, count(*) as n_runs, min({{'l': -length, 's': start, 'p': period}}) as best, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines from runs group by row),
+    gone as (select row, list(distinct i) as gone from (select row, unnest(range(start + period, start + length)) as i from runs) group by row)
+    select d.doc_id, coalesce(n_runs, 0) as n_runs, best.s as start, -best.l as length, best.p as period, -1000 * best.l // best.p as exponent_milli, sha256(coalesce(lines, '')) as runs_sha256,
+      sha256(array_to_string(case when gone is null then w else list_filter(w, lambda x, k: not list_contains(gone, k - 1)) end, ' ')) as collapsed_sha256
+    from d left join listed using (row) left join gone using (row)
+    """
+
+
+@_query("op11_runs", RUNS_SQL)
 def op11_runs(spark, sf_dir):
     from .runs import digests, periodic_runs, planted
 
     return digests(periodic_runs(planted(documents(spark, sf_dir))))
 
 
-#: crc32 of a column's ASCII characters, bit by bit
-CRC32_SQL = "xor(list_reduce(flatten([[(ascii(ch) >> bit) & 1 for bit in range(8)] for ch in string_split({}, '')]), lambda c, b: xor(c >> 1, case when xor(c & 1, b) = 1 then 3988292384 else 0 end), 4294967295::bigint), 4294967295)"
 REPAIR_SQL = rf"""
     with recursive named as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as name from conversations),
     how as (select *, {CRC32_SQL.format("name")} % 20 as how from named),
     damaged as (select conv_id, turn, case when how = 4 then 'user' else role end as role, case how when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
       from how, (values (1), (2)) copies(c) where how <> 0 and (c = 1 or how = 3)),
-    placed as (select *, row_number() over w as i, row_number() over (partition by conv_id, role, text order by turn nulls first) as again, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) as last
-      from damaged window w as (partition by conv_id order by turn nulls first, role, text)),
+    placed as (select *, row_number() over (partition by conv_id, role, text order by i) as again, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) as last
+      from (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from damaged)),
     faulty as (select *, last = '' as blank, last <> '' and again > 1 as duplicate, last <> '' and again = 1 and last not in ('.', '!', '?') as truncated, left(role, 1) as letter,
       lag(left(role, 1)) over (partition by conv_id order by i) || left(role, 1) as pair from placed),
     counted as (select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank, count(*) filter (duplicate) as duplicate,
@@ -176,3 +193,34 @@ def op13_conversations(spark, sf_dir):
     from .conversations import damaged, digests, repair
 
     return digests(repair(damaged(documents(spark, sf_dir, "conversations"))))
+
+
+#: Action, host and path of each rule.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+URL_SQL = rf"""
+    with recursive rules(action, rule_host, rule_path) as (values {", ".join(map(str, URL_RULES))}),
+    p as (select row_number() over () as row, page_id, {_LOWER.format(r"coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")} as host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path, html from pages),
+    fits as (select row, arg_max({{'rule': rule_host || rule_path, 'action': action}}, length(rule_host || rule_path)) as best from p join rules on (host = rule_host or host like '%.' || rule_host) and starts_with(path, rule_path) group by row),
+    r as (select p.*, best.rule as rule, best.action as action from p left join fits using (row)),
+    raw as (select host, regexp_replace(regexp_replace(unnest(regexp_extract_all(html, '(?is)<a[\x09-\x0D\x20][^<>]*?href[\x09-\x0D\x20]*=[\x09-\x0D\x20]*("[^"]*"|''[^'']*''|[^\x09-\x0D\x20<>"'']+)', 1)), '^["'']|["'']$', '', 'g'), '^[\x09-\x0D\x20]+', '') as link from p where host <> ''),
+    led as (select host as src, case when starts_with(link, '//') or regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') then nullif({_LOWER.format("regexp_extract(link, '(?s)^.*?//([^/?#]*)', 1)")}, '')
+      when starts_with(link, '#') or regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') then null else host end as dst from raw),
+    links as (select src, dst, count(*) as n from led where dst is not null group by src, dst),
+    shares as (select host, count(*) filter (action = 'allow') / count(*)::double as trust, count(*) filter (action = 'block') / count(*)::double as distrust from r where host <> '' group by host),
+    -- a giver '' of mass 1 that keeps its mass stands for what each step adds to the seeds
+    edges as materialized (select 'trust' as kind, src as giver, dst as host, n / sum(n) over (partition by src)::double * 0.85 as share from links union all select 'distrust', dst, src, n / sum(n) over (partition by dst)::double * 0.85 from links
+      union all select 'trust', '', host, trust * 0.15 from shares union all select 'distrust', '', host, distrust * 0.15 from shares union all select k, '', '', 1.0 from (values ('trust'), ('distrust')) v(k)),
+    masses(step, kind, host, mass) as (
+      select 0, k, '', 1.0::double from (values ('trust'), ('distrust')) v(k) union all select 0, 'trust', host, trust from shares union all select 0, 'distrust', host, distrust from shares
+      union all select any_value(m.step) + 1, m.kind, e.host, sum(m.mass * e.share)::double from masses m join edges e on m.kind = e.kind and m.host = e.giver where m.step < 50 group by m.kind, e.host),
+    hosts as (select host, sum(mass) filter (kind = 'trust') as t, sum(mass) filter (kind = 'distrust') as d from masses where step = 50 group by host)
+    select page_id, r.host, path, rule, coalesce(action, case when round(d / nullif(t + d, 0), 6) > 0.5 then 'block' else 'allow' end) as verdict from r left join hosts on hosts.host = r.host and r.host <> ''
+    """
+
+
+@_query("op12_url_filter", URL_SQL)
+def op12_url_filter(spark, sf_dir):
+    from .url_filter import judged, rule_table
+
+    return judged(documents(spark, sf_dir, "pages"), rule_table(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from pawprint.llm.queries import QUERIES
+from pawprint.llm.queries import ORACLES, QUERIES
 from pawprint.llm.runs import find_runs, periodic_runs
 
 
@@ -91,6 +91,18 @@ def test_query_equals_brute_force(spark, small, tmp_path):
     assert QUERIES["op11_runs"](spark, f"{tmp_path}/none").count() == 0
 
 
+def test_query_equals_sql(spark, tmp_path):
+    import duckdb
+
+    r = random.Random(4)
+    rows = [(i, " ".join(random_words(r, r.randint(0, 120), ["x", "yy", "\u00e9"]))) for i in range(300)] + [(None, "b b b b b b"), (7, None), (7, "")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = QUERIES["op11_runs"](spark, str(tmp_path))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, con.execute(ORACLES["op11_runs"]).fetchall()))
+
+
 def test_long_document(spark):
     """A planted run in a text of 400,000 words, and a text of one word 300,000 times."""
     r = random.Random(2)
