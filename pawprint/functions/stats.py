@@ -60,7 +60,8 @@ def slopes(df: DataFrame, x: str, metrics: list[str], keys: list[str]) -> DataFr
     )
     r2 = F.col("r_squared")
     t = F.sqrt(F.try_divide(r2 * (F.col("n") - 2), 1 - r2))
-    return fit.select(*keys, "metric", (F.col("slope") * 60).alias("slope_per_min"), "intercept", "r_squared", t_p_value(t, (F.col("n") - 2).cast("double")).alias("p_value"))
+    p = F.when((r2 >= 1) & (F.col("slope") != 0), 0.0).otherwise(t_p_value(t, (F.col("n") - 2).cast("double")))  # a perfect fit
+    return fit.select(*keys, "metric", (F.col("slope") * 60).alias("slope_per_min"), "intercept", "r_squared", p.alias("p_value"))
 
 
 def one_way(df: DataFrame, group: str, metric: str) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pawprint.functions.geometry import angle_clockwise, distance
-from pawprint.functions.windows import centred_mean, changed, majority, track, visited
+from pawprint.functions.windows import centred_mean, majority, track, visited
+from pawprint.operators.movement import transitions
 
 
 def contact(d: Column, body: Column, near: float, body_least: float = 1.0) -> Column:
@@ -29,9 +30,9 @@ def proximity_ahead(d: Column, angle: Column, near: float, far: float, least_deg
     return proximity(d, near, far) & (F.round(angle, 9) >= least_deg)
 
 
-def latency(flag: Column, fps: float) -> Column:
-    """An aggregate: seconds to the first frame of the flag, null if there is none."""
-    return F.min(F.when(flag, F.col("frame"))) / F.lit(float(fps))
+def latency(flag: Column, fps: float, first: int = 0) -> Column:
+    """An aggregate: seconds to the first frame of the flag, null if there is none. first: the number of a track's first frame."""
+    return (F.min(F.when(flag, F.col("frame"))) + first) / F.lit(float(fps))
 
 
 def flag_time(flag: Column, session_s: float) -> Column:
@@ -57,10 +58,9 @@ def rearings(df: DataFrame, a: Column, b: Column, near: float = 1.0, keys: tuple
 
 
 def nosedips(df: DataFrame, head_in: Column, body_in: Column, neck_closed: Column, k: int, keys: tuple[str, ...] = ("file",)) -> DataFrame:
-    """Head outside, body inside the arena, neck not in a closed arm, smoothed; half of the changes."""
-    w = track(*keys)
-    out = df.withColumn("__s", majority(~head_in & body_in & ~neck_closed, k, w)).withColumn("__c", changed(F.col("__s"), w))
-    return out.groupBy(*keys).agg((F.count_if("__c") / F.lit(2)).alias("nosedips"))
+    """Head outside, body inside the arena, neck not in a closed arm, smoothed; half of the transitions, which smooth once more."""
+    dips = df.withColumn("__d", majority(~head_in & body_in & ~neck_closed, k, track(*keys)))
+    return transitions(dips, F.col("__d"), k, list(keys)).select(*keys, (F.col("transitions") / F.lit(2)).alias("nosedips"))
 
 
 def floating(df: DataFrame, accelerations: list[Column], cutoff: float, k: int, fps: float, speed: Column, keys: tuple[str, ...] = ("file",)) -> DataFrame:

@@ -101,16 +101,30 @@ def velocity_states(t: DataFrame, cfg: OftConfig) -> DataFrame:
 
 
 def path_geometry(t: DataFrame, cfg: OftConfig) -> DataFrame:
-    """file, path_length_cm, net_displacement_cm, tortuosity, mean_turn_deg, median_turn_deg, sharp_turn_fraction. Valid frames only."""
+    """file, path_length_cm, net_displacement_cm, turn angles and speeds, sharp_turn_fraction, tortuosity.
+
+    Steps and turns are between neighbouring frames: next to a missing frame there are none. The net displacement is between the first and the last valid frame, null if there are not two.
+    """
     w = track("file")
-    v = t.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    v = v.withColumn("dx", F.col("x") - F.lag("x").over(w)).withColumn("dy", F.col("y") - F.lag("y").over(w))
+    ok = F.col("x").isNotNull() & F.col("y").isNotNull()
+    v = t.select("file", "frame", "x", "y", (F.col("x") - F.lag("x").over(w)).alias("dx"), (F.col("y") - F.lag("y").over(w)).alias("dy"))
     v = v.withColumn("heading", F.atan2("dy", "dx"))
     v = v.withColumn("turn", F.abs(wrapped(F.col("heading") - F.lag("heading").over(w))) * (180 / math.pi))
-    v = v.withColumn("step", F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2))
-    first, last = (lambda c: F.min_by(c, "frame")), (lambda c: F.max_by(c, "frame"))
-    net = F.sqrt((last("x") - first("x")) ** 2 + (last("y") - first("y")) ** 2)
-    return v.groupBy("file").agg(F.sum("step").alias("path_length_cm"), net.alias("net_displacement_cm"), F.avg("turn").alias("mean_turn_deg"), F.median("turn").alias("median_turn_deg"), F.avg((F.col("turn") >= 90).cast("int")).alias("sharp_turn_fraction")).withColumn("tortuosity", F.try_divide("path_length_cm", "net_displacement_cm"))
+    v = v.withColumn("step", F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2)).withColumn("at", F.when(ok, F.col("frame")))
+    first, last = (lambda c: F.min_by(c, "at")), (lambda c: F.max_by(c, "at"))  # null places are left out
+    net = F.when(F.count("at") >= 2, F.sqrt((last("x") - first("x")) ** 2 + (last("y") - first("y")) ** 2))
+    return (
+        v.groupBy("file")
+        .agg(
+            F.coalesce(F.sum("step"), F.lit(0.0)).alias("path_length_cm"),
+            net.alias("net_displacement_cm"),
+            F.avg("turn").alias("mean_turn_deg"),
+            F.median("turn").alias("median_turn_deg"),
+            (F.avg("turn") * cfg.fps).alias("mean_angular_velocity_deg_s"),
+            F.avg((F.col("turn") >= 90).cast("int")).alias("sharp_turn_fraction"),
+        )
+        .withColumn("tortuosity", F.try_divide("path_length_cm", "net_displacement_cm"))
+    )
 
 
 def occupancy(t: DataFrame, cfg: OftConfig) -> DataFrame:

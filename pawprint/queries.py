@@ -410,10 +410,10 @@ def velocity_states(spark, sf_dir):
     return rounded(oft.velocity_states(table(spark, sf_dir), CFG), 4)
 
 
-@query("path_geometry", f"""with {F_SQL}, v as (select * from f where x is not null and y is not null), d as (select *, x - lag(x) over w as dx, y - lag(y) over w as dy from v window w as (partition by file order by frame)),
+@query("path_geometry", f"""with {F_SQL}, d as (select *, x - lag(x) over w as dx, y - lag(y) over w as dy, x is not null and y is not null as ok from f window w as (partition by file order by frame)),
   h as (select *, atan2(dy, dx) as hd, sqrt(dx*dx+dy*dy) as st from d), u as (select *, hd - lag(hd) over (partition by file order by frame) as df from h), tt as (select *, degrees(abs(atan2(sin(df), cos(df)))) as turn from u),
-  z as (select file, sum(st) as pl, sqrt(power(arg_max(x, frame) - arg_min(x, frame), 2) + power(arg_max(y, frame) - arg_min(y, frame), 2)) as nd, avg(turn) as mt, median(turn) as md, avg(case when turn >= 90 then 1 when turn < 90 then 0 end) as sh from tt group by file)
-  select file, {R('pl', 4)} as path_length_cm, {R('nd', 4)} as net_displacement_cm, {R('pl / nullif(nd, 0)', 3)} as tortuosity, {R('mt', 4)} as mean_turn_deg, {R('md', 4)} as median_turn_deg, {R('sh', 4)} as sharp_turn_fraction from z""")
+  z as (select file, coalesce(sum(st), 0) as pl, case when count(*) filter (ok) >= 2 then sqrt(power(arg_max(x, frame) filter (ok) - arg_min(x, frame) filter (ok), 2) + power(arg_max(y, frame) filter (ok) - arg_min(y, frame) filter (ok), 2)) end as nd, avg(turn) as mt, median(turn) as md, avg(case when turn >= 90 then 1 when turn < 90 then 0 end) as sh from tt group by file)
+  select file, {R('pl', 4)} as path_length_cm, {R('nd', 4)} as net_displacement_cm, {R('pl / nullif(nd, 0)', 3)} as tortuosity, {R('mt', 4)} as mean_turn_deg, {R('md', 4)} as median_turn_deg, {R('mt * 2', 4)} as mean_angular_velocity_deg_s, {R('sh', 4)} as sharp_turn_fraction from z""")
 def path_geometry(spark, sf_dir):
     p = oft.path_geometry(frames(spark, sf_dir), CFG)
     return p.select("file", *[r(F.col(c), 3 if c == "tortuosity" else 4).alias(c) for c in p.columns if c != "file"])
@@ -676,21 +676,22 @@ def overlap(spark, sf_dir):
     return rounded(social.overlap(_dyads(spark, sf_dir), "close_proximity", "approach_event"))
 
 
-@query("nor_contact", f"with {P_SQL}, n as (select file, frame, sqrt(power(nose_x-10, 2)+power(nose_y-10, 2)) as dl, sqrt(power(nose_x-5, 2)+power(nose_y-40, 2)) as dr, sqrt(power(body_x-10, 2)+power(body_y-10, 2)) as bl from p) select file, {R('avg(case when dl <= 10 and bl > 1 then 1 when not (dl <= 10 and bl > 1) then 0 end) * 300', 4)} as contact_left_s, {R('avg(case when dr > 10 and dr <= 20 then 1 when not (dr > 10 and dr <= 20) then 0 end) * 300', 4)} as proximity_right_s, min(frame) filter (dl <= 10 and bl > 1) / 2.0::double as latency_left_s from n group by file")
+@query("nor_contact", f"with {P_SQL}, n as (select file, frame, sqrt(power(nose_x-10, 2)+power(nose_y-10, 2)) as dl, sqrt(power(nose_x-5, 2)+power(nose_y-40, 2)) as dr, sqrt(power(body_x-10, 2)+power(body_y-10, 2)) as bl from p) select file, {R('avg(case when dl <= 10 and bl > 1 then 1 when not (dl <= 10 and bl > 1) then 0 end) * 300', 4)} as contact_left_s, {R('avg(case when dr > 10 and dr <= 20 then 1 when not (dr > 10 and dr <= 20) then 0 end) * 300', 4)} as proximity_right_s, (min(frame) filter (dl <= 10 and bl > 1) + 1) / 2.0::double as latency_left_s from n group by file")
 def nor_contact(spark, sf_dir):
     p = points_from_events(spark, sf_dir)
     to = lambda pt, x, y: g.distance(F.col(f"{pt}_x"), F.col(f"{pt}_y"), F.lit(x), F.lit(y))
     left = assays.contact(to("nose", 10.0, 10.0), to("body", 10.0, 10.0), 10.0)
     right = assays.proximity(to("nose", 5.0, 40.0), 10.0, 20.0)
     n = p.withColumn("l", left).withColumn("r", right)
-    return n.groupBy("file").agg(r(assays.flag_time(F.col("l"), 300.0), 4).alias("contact_left_s"), r(assays.flag_time(F.col("r"), 300.0), 4).alias("proximity_right_s"), (F.min(F.when(F.col("l"), F.col("frame"))) / F.lit(FPS)).alias("latency_left_s"))
+    return n.groupBy("file").agg(r(assays.flag_time(F.col("l"), 300.0), 4).alias("contact_left_s"), r(assays.flag_time(F.col("r"), 300.0), 4).alias("proximity_right_s"), assays.latency(F.col("l"), FPS, first=1).alias("latency_left_s"))
 
 
 NOR_SQL = f"""with {P_SQL}, n as (select file, frame, case user_id % 2 when 0 then 'R' else 'L' end as loc, sqrt(power(nose_x-10, 2)+power(nose_y-10, 2)) as dl, sqrt(power(nose_x-5, 2)+power(nose_y-40, 2)) as dr, sqrt(power(body_x-10, 2)+power(body_y-10, 2)) as bl, sqrt(power(body_x-5, 2)+power(body_y-40, 2)) as br,
     abs(nose_x-10) <= 9 + 1e-10 and abs(nose_y-10) <= 7 + 1e-10 as il, abs(nose_x-5) <= 9 + 1e-10 and abs(nose_y-40) <= 7 + 1e-10 as ir,
     round({angle_sql("10-nose_x", "10-nose_y", "body_x-nose_x", "body_y-nose_y")}, 9) as al, round({angle_sql("5-nose_x", "40-nose_y", "body_x-nose_x", "body_y-nose_y")}, 9) as ar from p),
-  c as (select *, case loc when 'R' then il else dl <= 8 end and bl > 1 and al >= 70 as l, case loc when 'R' then dr <= 8 else ir end and br > 1 and ar >= 70 as q, dl > 8 and dl <= 16 and al >= 90 as pl, dr > 8 and dr <= 16 and ar >= 90 as pr from n)
-  select file, loc, {R("avg(l::int) * 300", 4)} as contact_left_s, {R("avg(q::int) * 300", 4)} as contact_right_s, {R("avg(pl::int) * 300", 4)} as ahead_left_s, {R("avg(pr::int) * 300", 4)} as ahead_right_s, least(min(frame) filter (l), min(frame) filter (q)) / 2.0::double as latency_s from c group by file, loc"""
+  c as (select *, case loc when 'R' then il else dl <= 8 end and bl > 1 and al >= 70 as l, case loc when 'R' then dr <= 8 else ir end and br > 1 and ar >= 70 as q, dl > 8 and dl <= 16 and al >= 90 as pl, dr > 8 and dr <= 16 and ar >= 90 as pr,
+    case loc when 'R' then il and bl > 1 and al >= 90 else dl <= 8 and bl > 1 and al >= 70 end as fl, case loc when 'R' then dr <= 8 and br > 1 and ar >= 70 else ir and br > 1 and ar >= 90 end as fr from n)
+  select file, loc, {R("avg(l::int) * 300", 4)} as contact_left_s, {R("avg(q::int) * 300", 4)} as contact_right_s, {R("avg(pl::int) * 300", 4)} as ahead_left_s, {R("avg(pr::int) * 300", 4)} as ahead_right_s, (least(min(frame) filter (fl), min(frame) filter (fr)) + 1) / 2.0::double as latency_s from c group by file, loc"""
 
 
 @query("nor_object_contact", NOR_SQL)
@@ -698,16 +699,18 @@ def nor_object_contact(spark, sf_dir):
     p = points_from_events(spark, sf_dir).withColumn("loc", F.when(F.col("user_id") % 2 == 0, "R").otherwise("L"))
     at = lambda q: (F.col(f"{q}_x"), F.col(f"{q}_y"))
     (nx, ny), (bx, by) = at("nose"), at("body")
-    contact, ahead = {}, {}
+    contact, ahead, met = {}, {}, {}
     for side, (x, y), novel in (("left", (10.0, 10.0), F.col("loc") == "R"), ("right", (5.0, 40.0), F.col("loc") == "L")):
         d, body = (g.distance(*at(q), F.lit(x), F.lit(y)) for q in ("nose", "body"))
         angle = g.angle_deg(F.lit(x) - nx, F.lit(y) - ny, bx - nx, by - ny)
         outline = g.inside_or_border(nx, ny, [(x - 9, y - 7), (x + 9, y - 7), (x + 9, y + 7), (x - 9, y + 7)])
-        contact[side] = F.when(novel, assays.object_contact(d, body, angle, 8.0, outline)).otherwise(assays.object_contact(d, body, angle, 8.0))
+        near = assays.object_contact(d, body, angle, 8.0)
+        contact[side] = F.when(novel, assays.object_contact(d, body, angle, 8.0, outline)).otherwise(near)
+        met[side] = F.when(novel, assays.object_contact(d, body, angle, 8.0, outline, least_deg=90.0)).otherwise(near)  # the latency asks for more at an outline
         ahead[side] = assays.proximity_ahead(d, angle, 8.0, 16.0)
-    n = p.withColumns({f"contact_{k}": v for k, v in contact.items()} | {f"ahead_{k}": v for k, v in ahead.items()})
+    n = p.withColumns({f"contact_{k}": v for k, v in contact.items()} | {f"ahead_{k}": v for k, v in ahead.items()} | {f"met_{k}": v for k, v in met.items()})
     times = [r(assays.flag_time(F.col(f"{c}_{k}"), 300.0), 4).alias(f"{c}_{k}_s") for c in ("contact", "ahead") for k in ("left", "right")]
-    first = F.least(*[assays.latency(F.col(f"contact_{k}"), FPS) for k in ("left", "right")])
+    first = F.least(*[assays.latency(F.col(f"met_{k}"), FPS, first=1) for k in ("left", "right")])
     return n.groupBy("file", "loc").agg(*times, first.alias("latency_s"))
 
 
@@ -728,7 +731,7 @@ def rearing(spark, sf_dir):
     return assays.rearings(p, F.col("nose_x") - 2, (F.col("nose_y") - 20) + 1, 1.0)
 
 
-@query("nosedips", f"with {P_SQL}, n as (select file, frame, not (nose_x > 0) and body_x > 0 and not (tail_y > 40) as d from p), s as (select file, frame, avg(case when d then 1 when not d then 0 end) over (partition by file order by frame rows between 1 preceding and 1 following) > 0.5 as s from n), c as (select file, s <> lag(s) over (partition by file order by frame) as ch from s) select file, count(*) filter (ch) / 2.0::double as nosedips from c group by file")
+@query("nosedips", f"with {P_SQL}, n as (select file, frame, not (nose_x > 0) and body_x > 0 and not (tail_y > 40) as d from p), m as (select file, frame, avg(case when d then 1 when not d then 0 end) over (partition by file order by frame rows between 1 preceding and 1 following) > 0.5 as m from n), s as (select file, frame, avg(case when m then 1 when not m then 0 end) over (partition by file order by frame rows between 1 preceding and 1 following) > 0.5 as s from m), c as (select file, s <> lag(s) over (partition by file order by frame) as ch from s) select file, count(*) filter (ch) / 2.0::double as nosedips from c group by file")
 def nosedips(spark, sf_dir):
     return assays.nosedips(points_from_events(spark, sf_dir), F.col("nose_x") > 0, F.col("body_x") > 0, F.col("tail_y") > 40, 1)
 
