@@ -12,27 +12,22 @@ from pyspark.sql.types import DoubleType
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
-    """The regularised incomplete beta function, by its continued fraction."""
+    """The regularised incomplete beta function: the power series of the side whose terms, all positive, fall sooner."""
     if not 0 < x < 1:
         return 0.0 if x <= 0 else 1.0
-    if x > (a + 1) / (a + b + 2):
-        return 1.0 - incomplete_beta(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    tiny, f, c, d = 1e-300, 1.0, 1.0, 0.0
-    for i in range(400):
-        m = i // 2
-        if i == 0:
-            term = 1.0
-        elif i % 2 == 0:
-            term = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        else:
-            term = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1.0 / (1.0 + term * d or tiny)
-        c = 1.0 + term / c or tiny
-        f *= c * d
-        if abs(1.0 - c * d) < 1e-14:
-            break
-    return front * (f - 1.0)
+    if x * (a + b) > a:
+        return 1.0 - incomplete_beta(b, a, 1 - x) if (1 - x) * (a + b) <= b else _beta_series(a, b, x)
+    return _beta_series(a, b, x)
+
+
+def _beta_series(a: float, b: float, x: float) -> float:
+    term = total = math.exp(math.lgamma(a + b) - math.lgamma(a + 1) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    k = 0
+    while term > total * 1e-17:
+        term *= x * (a + b + k) / (a + 1 + k)
+        total += term
+        k += 1
+    return min(1.0, total)
 
 
 @F.pandas_udf(DoubleType())

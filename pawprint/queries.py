@@ -1000,3 +1000,6 @@ def stream_tumbling(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_type <> 'error'")
     t = tumbling(e.select(F.col("user_id").cast("string").alias("file"), "ts", F.col("value").alias("x"), F.col("value").alias("y")), 86400)
     return t.select("file", "frames", r(F.col("mean_x"), 5).alias("mean_x"))
+
+
+from pawprint import model_queries  # noqa: E402, F401  (registers its queries)
