@@ -9,6 +9,7 @@ from pawprint.functions.models import group_statistics
 from pawprint.operators import labels as lab
 from pawprint.operators import training as tr
 from pawprint.queries import F_SQL, R, frames, query, r
+from pawprint.sources.adapters import points_from_events
 
 #: Means of each track, with its group and covariates.
 TRACKS_SQL = F_SQL + ", s as (select file, 'g' || batch as grp, grp as sex, count(*)::double as frames, avg(x) as mx, stddev_samp(y) as sy from f group by file, batch, grp)"
@@ -83,3 +84,43 @@ def classify_behaviors(spark, sf_dir):
 def label_kmeans(spark, sf_dir):
     """20 clusters of the windows of all tracks, by 5 left singular vectors."""
     return tr.label_clusters(_windows(spark, sf_dir).fillna(0.0, ["x", "y"]), ["x", "y", "likelihood", "e"], 2, 20, dimensions=5)
+
+
+def _taps_sql(col: str, derivative: int) -> str:
+    from pawprint.functions.filters import weights
+
+    return " + ".join(f"{w!r}::double * lag({col}, {12 - k}) over w" if k <= 12 else f"{w!r}::double * lead({col}, {k - 12}) over w" for k, w in enumerate(map(float, weights(25, 3, derivative)[12])))
+
+
+@query("smoothed_velocity", f"""with {F_SQL}, v as (select file, frame, event_id % 13 + frame / 10.0::double as a, event_id % 7 as b, count(*) over (partition by file) as n from f),
+  d as (select file, frame, n, {_taps_sql('a', 0)} as a, {_taps_sql('a', 1)} as da, {_taps_sql('b', 1)} as db from v window w as (partition by file order by frame))
+  select file, cast(frame as int) as frame, {R('a', 5)} as smooth, {R('sqrt(da * da + db * db) * 2', 5)} as speed from d where frame >= 12 and frame < n - 12""")
+def smoothed_velocity(spark, sf_dir):
+    """The frames inside the tracks, as SQL has them; the tests have those at the ends."""
+    from pyspark.sql import Window
+
+    from pawprint.functions.filters import joint_speeds, savitzky_golay
+
+    f = frames(spark, sf_dir).select("file", "frame", ((F.col("event_id") % 13) + F.col("frame") / 10).cast("double").alias("a_x"), (F.col("event_id") % 7).cast("double").alias("a_y"))
+    out = joint_speeds(savitzky_golay(f, "a_x", "smooth"), ["a"], 2.0)
+    out = out.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("file"))).filter("frame >= 12 and frame < n - 12")
+    return out.select("file", "frame", r(F.col("smooth"), 5).alias("smooth"), r(F.col("a_speed"), 5).alias("speed"))
+
+
+@query("velocity_ethogram")
+def velocity_ethogram(spark, sf_dir):
+    """Ten states of all frames by the speeds of three joints."""
+    from pawprint.plans.ethogram import velocity_ethogram
+
+    return velocity_ethogram(points_from_events(spark, sf_dir), ["body", "nose", "tail"])
+
+
+@query("autoencoder_pca_motifs")
+def autoencoder_pca_motifs(spark, sf_dir):
+    """Windows by the motif of either model, counted: components' clusters against the network's."""
+    from pawprint.plans import motifs
+    from pawprint.queries import FEATURES, _windows
+    from pawprint.schema import MotifConfig
+
+    z, cols = motifs.scaled(_windows(spark, sf_dir).select("file", "window_id", *FEATURES), FEATURES)
+    return lab.cross_tab(motifs.two_motifs(z, cols, MotifConfig()), "autoencoder_motif", "pca_motif")

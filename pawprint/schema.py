@@ -73,6 +73,8 @@ class MotifConfig:
     variance: float = 0.85
     components: tuple[int, int] = (2, 10)
     clusters: tuple[int, int] = (2, 8)
+    starts: int = 100
+    kmeans_steps: int = 100
     seed: int = 123
     high: float = 0.67
     low: float = 0.33
