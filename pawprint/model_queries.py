@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pawprint.functions.models import group_statistics
 from pawprint.operators import labels as lab
 from pawprint.operators import training as tr
-from pawprint.queries import F_SQL, R, frames, query, r
+from pawprint.queries import F_SQL, ORACLES, P_SQL, R, frames, query, r
 from pawprint.sources.adapters import points_from_events
 
 #: Means of each track, with its group and covariates.
@@ -124,3 +124,92 @@ def autoencoder_pca_motifs(spark, sf_dir):
 
     z, cols = motifs.scaled(_windows(spark, sf_dir).select("file", "window_id", *FEATURES), FEATURES)
     return lab.cross_tab(motifs.two_motifs(z, cols, MotifConfig()), "autoencoder_motif", "pca_motif")
+
+
+#: Medians of three points of each track.
+POINTS_SQL = P_SQL + """, md as (select file, median(body_x) as bx, median(body_y) as by_, median(nose_x) as nx, median(nose_y) as ny, median(tail_x) as tx, median(tail_y) as ty from p group by file),
+  turn as (select file, (bx + nx + tx) / 3 as cx, (by_ + ny + ty) / 3 as cy, -acos(least(1.0::double, abs(nx - bx) / nullif(sqrt((nx - bx) * (nx - bx) + (ny - by_) * (ny - by_)), 0))) as th from md),
+  area as (select file, sqrt(25.0::double / nullif(abs(bx * ny - nx * by_ + nx * ty - tx * ny + tx * by_ - bx * ty) / 2, 0)) as k from md),
+  arena(pos, ax, ay) as (values (0, 0.0::double, 0.0::double), (1, 49.0::double, 0.0::double), (2, 49.0::double, 49.0::double), (3, 0.0::double, 49.0::double))"""
+
+
+def _medians(spark, sf_dir) -> DataFrame:
+    from pawprint.operators.reshape import points_long
+    from pawprint.operators.zones import point_medians
+
+    return point_medians(points_long(points_from_events(spark, sf_dir), ["body", "nose", "tail"]))
+
+
+def _zones(df: DataFrame) -> DataFrame:
+    from pawprint.sources.adapters import ARENA
+
+    return df.select("file").distinct().withColumn("poly", F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ARENA]))
+
+
+@query("straightened_frames", f"with {POINTS_SQL} select p.file, cast(frame as int) as frame, {R('cx + (body_x - cx) * cos(th) - (body_y - cy) * sin(th)', 5)} as body_x, {R('cy + (body_x - cx) * sin(th) + (body_y - cy) * cos(th)', 5)} as body_y, {R('cx + (nose_x - cx) * cos(th) - (nose_y - cy) * sin(th)', 5)} as nose_x, {R('cy + (nose_x - cx) * sin(th) + (nose_y - cy) * cos(th)', 5)} as nose_y from p join turn using (file)")
+def straightened_frames(spark, sf_dir):
+    from pawprint.operators.calibrate import applied, rotation
+
+    turn = rotation(_medians(spark, sf_dir), ["body", "nose", "tail"], straight=("body", "nose"))
+    p = applied(points_from_events(spark, sf_dir), turn, ["body", "nose"])
+    return p.select("file", "frame", *[r(F.col(f"{q}_{c}"), 5).alias(f"{q}_{c}") for q in ("body", "nose") for c in "xy"])
+
+
+@query("calibrated_geometry", f"""with {POINTS_SQL}, places as (select file, 'zone' as kind, cast(pos as varchar) as name, ax as x, ay as y from md, arena union all select file, 'median', 'body', bx, by_ from md union all select file, 'median', 'nose', nx, ny from md union all select file, 'median', 'tail', tx, ty from md)
+  select file, kind, name, {R('(cx + (x - cx) * cos(th) - (y - cy) * sin(th)) * coalesce(k, 1)', 4)} as x, {R('(cy + (x - cx) * sin(th) + (y - cy) * cos(th)) * coalesce(k, 1)', 4)} as y from places left join turn using (file) left join area using (file)""")
+def calibrated_geometry(spark, sf_dir):
+    """Medians and zones, straightened and then scaled by a known area, as frames would be."""
+    from pawprint.operators.calibrate import applied, calibration_factor, rotation, scaling, then
+
+    medians = _medians(spark, sf_dir)
+    both = then(rotation(medians, ["body", "nose", "tail"], straight=("body", "nose")), scaling(calibration_factor(medians, "area", 25.0, ["body", "nose", "tail"])))
+    zones = applied(_zones(medians), both, poly="poly").select("file", F.lit("zone").alias("kind"), F.posexplode_outer("poly").alias("name", "p")).select("file", "kind", F.col("name").cast("string").alias("name"), "p.x", "p.y")
+    moved = applied(medians, both).select("file", F.lit("median").alias("kind"), F.col("point").alias("name"), "x", "y")
+    return zones.unionByName(moved).select("file", "kind", "name", r(F.col("x"), 4).alias("x"), r(F.col("y"), 4).alias("y"))
+
+
+@query("calibrated_frames", f"with {F_SQL}, q as (select file, median(x) + 1 as w, median(y) + 1 as h from f group by file) select f.file, cast(frame as int) as frame, {R('(x - w / 2) * 40 / w', 5)} as x, {R('(y - h / 2) * 30 / h', 5)} as y from f join q using (file)")
+def calibrated_frames(spark, sf_dir):
+    """Each direction by its own factor, about the middle of the corners."""
+    from pawprint.operators.calibrate import applied, arena_scaling
+    from pawprint.operators.zones import point_medians
+
+    f = frames(spark, sf_dir)
+    m = point_medians(f.withColumn("point", F.lit("b"))).select("file", (F.col("x") + 1).alias("w"), (F.col("y") + 1).alias("h"))
+    corners = m.select("file", *[c.alias(n) for n, c in (("tl_x", F.lit(0.0)), ("tl_y", F.lit(0.0)), ("tr_x", F.col("w")), ("tr_y", F.lit(0.0)), ("br_x", F.col("w")), ("br_y", F.col("h")), ("bl_x", F.lit(0.0)), ("bl_y", F.col("h")))])
+    return applied(f, arena_scaling(corners, 40, 30)).select("file", "frame", r(F.col("x"), 5).alias("x"), r(F.col("y"), 5).alias("y"))
+
+
+@query("kernel_density", f"""with {F_SQL}, k as (select file, floor(x / 0.1::double) * 0.1::double as ex, floor(y / 0.1::double) * 0.1::double as ey, x, y from f where x is not null and y is not null),
+  o as (select file, count(*) as n, least(stddev_samp(ex), (quantile_cont(ex, 0.75) - quantile_cont(ex, 0.25)) / 1.34::double) * 1.06::double * power(count(*), -0.2::double) as wx, least(stddev_samp(ey), (quantile_cont(ey, 0.75) - quantile_cont(ey, 0.25)) / 1.34::double) * 1.06::double * power(count(*), -0.2::double) as wy,
+    min(ex) as lx, max(x) as hx, min(ey) as ly, max(y) as hy from k group by file),
+  g as (select file, gx, gy, lx + (hx - lx) * gx / 19 as px, ly + (hy - ly) * gy / 19 as py, n, wx, wy from o, range(20) a(gx), range(20) b(gy) where wx > 0 and wy > 0)
+  select file, gx::int as gx, gy::int as gy, {R('sum(exp(-power((px - ex) / wx, 2) / 2 - power((py - ey) / wy, 2) / 2)) / (2 * pi() * wx * wy * any_value(n))', 5)} as density from g join k using (file) group by file, gx, gy, wx, wy""")
+def kernel_density(spark, sf_dir):
+    from pawprint.plans.plotdata import kernel_density
+
+    return kernel_density(frames(spark, sf_dir), 0.1, 20).select("file", "gx", "gy", r(F.col("density"), 5).alias("density"))
+
+
+def _chain_sql() -> str:
+    from pawprint.queries import EVENT_RUNS_SQL, _all_events_sql
+
+    bins = ["0_5", "5_10", "10_20", "20_40", "40_inf"]
+    wide = ", ".join(f"max({v}) filter (bin = '{b}') as \"proximity_{b}_cm_{v}\"" for v in ("time_s", "percent") for b in bins)
+    runs = f"{_all_events_sql()} {EVENT_RUNS_SQL}"
+    return f"""select s.*, {', '.join(f'"proximity_{b}_cm_{v}"' for v in ('time_s', 'percent') for b in bins)}, n_both, a_given_b, b_given_a, any_social_contact_mean_interbout_s, any_social_contact_median_interbout_s
+      from ({ORACLES["dyad_file_summary"]}) s left join (select file, {wide} from ({ORACLES["proximity_bins"]}) group by file) using (file)
+      left join (with {runs} select file, count(*) filter (a and b) as n_both, {R("count(*) filter (a and b) / nullif(count(*) filter (b), 0)::double", 5)} as a_given_b, {R("count(*) filter (a and b) / nullif(count(*) filter (a), 0)::double", 5)} as b_given_a
+        from (select file, frame, bool_or(b) filter (event_type = 'close_proximity') as a, bool_or(b) filter (event_type = 'approach_event') as b from ev group by file, frame) group by file) using (file)
+      left join (with {runs}, c as (select file, s, s + n - 1 as e from ey where event_type = 'any_social_contact' and b and n >= 2), q as (select file, (s - lag(e) over (partition by file order by s) - 1) / 2.0::double as gap from c)
+        select file, {R("avg(gap)", 5)} as any_social_contact_mean_interbout_s, {R("median(gap)", 5)} as any_social_contact_median_interbout_s from q group by file) using (file)"""
+
+
+@query("dyad_file_chain", _chain_sql())
+def dyad_file_chain(spark, sf_dir):
+    """A file's summary with proximity bins, overlap and gaps."""
+    from pawprint.plans import social
+    from pawprint.queries import SOC, _dyads
+
+    c = social.file_chain(_dyads(spark, sf_dir), SOC)
+    return c.select(*[r(F.col(f"`{n}`"), 4 if n.startswith("proximity") else 5).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in c.dtypes])

@@ -192,3 +192,21 @@ def file_summary(measures: DataFrame, summary: DataFrame, cfg: SocIntConfig, qc:
         return out
     worst = qc.groupBy("file").agg(F.max("frac_missing_original").alias("qc_max_missing_fraction"), F.bool_or("flag_high_missing").alias("qc_any_high_missing"), F.sum("impossible_jump_n").alias("qc_total_impossible_jumps"), F.bool_or("qc_fail").alias("qc_fail"))
     return out.join(worst, "file", "left")
+
+
+def file_chain(e: DataFrame, cfg: SocIntConfig, qc: DataFrame | None = None, others: tuple[str, str] = ("close_proximity", "approach_event")) -> DataFrame:
+    """The file's summary with proximity bins, overlaps and gaps between bouts of contact beside it: one row for each file.
+
+    e has the measures and base events of each frame; short runs go, and combined events come of what stays.
+    """
+    from pawprint.operators.bouts import intervals_between
+    from pawprint.operators.reshape import pivoted
+
+    more = combined_events()
+    kept = suppressed(e, BASE_EVENTS, cfg.min_event_frames).withColumns(more)
+    out = file_summary(e, event_summary(kept, [*BASE_EVENTS, *more], cfg), cfg, qc)
+    edges = [f"{a:g}_{b:g}" for a, b in zip(cfg.proximity, [*cfg.proximity[1:], float("inf")], strict=True)]
+    bins = pivoted(proximity_bins(e, cfg), ["file"], "bin", {b: b for b in edges}, ["time_s", "percent"])
+    bins = bins.withColumnsRenamed({f"{v}_{b}": f"proximity_{b}_cm_{v}" for v in ("time_s", "percent") for b in edges})
+    gaps = intervals_between(kept, F.col("any_social_contact"), cfg.fps, cfg.min_event_frames / cfg.fps).select("file", *[F.col(c).alias(f"any_social_contact_{c.replace('_s', '_interbout_s')}") for c in ("mean_s", "median_s")])
+    return out.join(bins, "file", "left").join(overlap(kept, *others), "file", "left").join(gaps, "file", "left")

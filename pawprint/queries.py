@@ -748,14 +748,14 @@ def head_angle(spark, sf_dir):
 
 
 LABELS = ["click", "error", "purchase", "signup", "view"]
-INTERVAL_SQL = F_SQL + """, iv as (select cast(o_custkey % 150 as varchar) as file, o_orderkey as ord, (o_orderkey % 20) / 1.0::double as a, (o_orderkey % 20) / 1.0::double + o_custkey % 4 as z, o_orderpriority as type from orders where o_orderkey % 7 = 0),
-fr as (select f.file, f.frame, iv.type, row_number() over (partition by f.file, f.frame order by iv.ord desc) as rn from f left join iv on iv.file = f.file and f.frame / 2.0::double between iv.a and iv.z)"""
+#: the frames that each interval covers
+INTERVAL_SQL = F_SQL + """, iv as (select cast(o_custkey % 150 as varchar) as file, o_orderkey as ord, unnest(range(2 * (o_orderkey % 20), 2 * (o_orderkey % 20 + o_custkey % 4) + 1)) as frame, o_orderpriority as type from orders),
+top as (select file, frame, arg_max(type, ord) as type from iv group by file, frame)"""
 
 
-@query("interval_labels", f"with {INTERVAL_SQL} select file, cast(frame as int) as frame, coalesce(type, 'None') as label from fr where rn = 1")
+@query("interval_labels", f"with {INTERVAL_SQL} select f.file, cast(f.frame as int) as frame, coalesce(type, 'None') as label from f left join top on top.file = f.file and top.frame = f.frame")
 def interval_labels(spark, sf_dir):
-    """On every seventh order, as its SQL is; interval_labels_all has the whole table."""
-    return lab.interval_labels(frames(spark, sf_dir).select("file", "frame"), _intervals(spark, sf_dir).filter(F.col("ord") % 7 == 0), FPS)
+    return lab.interval_labels(frames(spark, sf_dir).select("file", "frame"), _intervals(spark, sf_dir), FPS)
 
 
 def _intervals(spark, sf_dir):
@@ -764,7 +764,7 @@ def _intervals(spark, sf_dir):
     return o.select((F.col("o_custkey") % 150).cast("string").alias("file"), F.col("o_orderkey").alias("ord"), start.alias("from"), (start + F.col("o_custkey") % 4).alias("to"), F.col("o_orderpriority").alias("type"))
 
 
-@query("interval_labels_all")
+@query("interval_labels_all", ORACLES["interval_labels"])
 def interval_labels_all(spark, sf_dir):
     return lab.interval_labels(frames(spark, sf_dir).select("file", "frame"), _intervals(spark, sf_dir), FPS)
 
@@ -851,10 +851,9 @@ def setops_frames(spark, sf_dir):
     return k.groupBy("file").agg(F.count_if(F.col("k") == "both").alias("both"), F.count_if(F.col("k") == "only").alias("only"))
 
 
-@query("explicit_bins", f"with {F_SQL}, b as (select cast(c_custkey % 150 as varchar) as file, c_mktsegment as bin, c_custkey % 30 as lo, c_custkey % 30 + 9 as hi from customer where c_custkey < 150) select f.file, bin, count(*) as n, count(x) as valid from f join b on f.file = b.file and frame between lo and hi group by f.file, bin")
+@query("explicit_bins", f"with {F_SQL}, b as (select cast(c_custkey % 150 as varchar) as file, c_mktsegment as bin, unnest(range(c_custkey % 30, c_custkey % 30 + 10)) as frame from customer) select f.file, bin, count(*) as n, count(x) as valid from f join b on f.file = b.file and f.frame = b.frame group by f.file, bin")
 def explicit_bins(spark, sf_dir):
-    """On the first 149 customers, as its SQL is; explicit_bins_all has the whole table."""
-    return _binned(spark, sf_dir, spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey < 150"))
+    return _binned(spark, sf_dir, spark.read.parquet(f"{sf_dir}/customer.parquet"))
 
 
 def _binned(spark, sf_dir, c):
@@ -863,7 +862,7 @@ def _binned(spark, sf_dir, c):
     return rs.explicit_bins(frames(spark, sf_dir), bins).groupBy("file", "bin").agg(F.count(F.lit(1)).alias("n"), F.count("x").alias("valid"))
 
 
-@query("explicit_bins_all")
+@query("explicit_bins_all", ORACLES["explicit_bins"])
 def explicit_bins_all(spark, sf_dir):
     return _binned(spark, sf_dir, spark.read.parquet(f"{sf_dir}/customer.parquet"))
 
