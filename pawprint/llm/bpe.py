@@ -38,6 +38,8 @@ HEAD_CHARS = 64
 BATCH_ROWS = 1000
 #: Rare words of more bytes are merged with a heap in a worker: a fold takes the square of their bytes.
 LONG_BYTES = 1024
+#: Characters of a plan's text that the driver keeps.
+PLAN_CHARS = 10_000
 _HEADS: dict[str, dict[str, int]] = {}
 
 
@@ -168,17 +170,22 @@ class ByteBpe:
 
     def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """doc_id, ids (array<int>) for each row of docs, as a written table."""
-        spark, batch = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-        before = spark.conf.get(batch)
-        spark.conf.set(batch, str(BATCH_ROWS))
+        spark = docs.sparkSession
+        # the rank table would stand in the plan's text, which the driver keeps for each finished query
+        wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.maxPlanStringLength": str(PLAN_CHARS)}
+        before = {k: spark.conf.get(k) for k in wanted}
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         shared = []
         try:
             with temporary(spark):
                 return written(self._encoded(docs, id_col, text_col, shared), "bpe-ids", keep=True)
         finally:
-            spark.conf.set(batch, before)
+            for k, v in before.items():
+                spark.conf.set(k, v)
             for x in shared:
                 x.destroy()
+            pa.default_memory_pool().release_unused()
 
     def _encoded(self, docs: DataFrame, id_col: str, text_col: str, shared: list) -> DataFrame:
         """The rows of encode(), not yet computed; appends the broadcasts that they need to shared."""
