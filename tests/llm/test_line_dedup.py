@@ -105,3 +105,10 @@ def test_earlier_lines_of_one_word_less(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert sorted((r.doc_id, r.n_equal, r.n_near) for r in dedup_lines(docs, short_partners=True).collect()) == want
     assert sum(r.n_near for r in dedup_lines(docs).collect()) < sum(w[2] for w in want)
+
+
+def test_many_lines_that_go(spark):
+    """A document of 100,000 equal short lines, in time that follows them."""
+    docs = spark.createDataFrame([(1, "a b\n" * 100_000 + "c"), (2, "x\ny\nx")], "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_lines, r.n_equal, r.text) for r in dedup_lines(docs).collect()}
+    assert got == {1: (100_001, 99_999, "a b\nc"), 2: (3, 1, "x\ny")}
