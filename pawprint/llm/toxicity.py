@@ -1,8 +1,8 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features of a whole text are the hashed distinct words, word stems (first letters), word pairs, and pairs with one
-and two words between. The model is fitted by FTRL-proximal with per-coordinate learning rates and L1 sparsity on at
-most sample_rows labelled documents of the training folds (those of smallest hash, a documented bound); its non-zero
+and two words between. The model is fitted by FTRL-proximal with per-coordinate learning rates and L1 sparsity on the
+labelled documents of the training folds that come first by a hash, a bounded sample (see train()); its non-zero
 weights - fewer than 2 ** BITS - are broadcast, and every document is scored in one pass.
 
 Defined cases: null text counts as empty; an empty text gets the score of the bias alone; labels other than 0 and 1
@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import temporary, written
 from .quality import fold
 
 BITS = 20
@@ -91,25 +92,17 @@ def fit_ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 5, alpha:
     return some.astype(np.int32), weights(some).astype(np.float32), float(bias)
 
 
-def least_hashed(features: np.ndarray, most: int) -> np.ndarray:
-    """At most that many of the features, those of smallest mixed hash: a fit on a bounded sample has bounded memory. Scores use all features."""
-    if len(features) <= most:
-        return features
-    order = (features.astype(np.uint64) * MIX[0]) >> np.uint64(20)
-    return np.sort(features[np.argsort(order, kind="stable")[:most]])
-
-
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, most_features: int = 20_000, folds: int = 3, held: int = 1, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
-    """Fits on at most sample_rows labelled rows outside the held-out fold, of each at most most_features features. The sample's features, not the texts, go to the one task that fits."""
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, sample_features: int = 48_000_000, folds: int = 3, held: int = 1, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
+    """Fits on the labelled rows outside the held-out fold that come first by a hash of their identifier: at most sample_rows of them, and no more than have sample_features features together (one row at least). Each row has all its features. These, not the texts, go to the one task that fits."""
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).filter((fold(F.col("doc_id"), folds) != held) & F.col("label").isin(0, 1))
-    chosen = known.orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id", "label").limit(sample_rows)
+    chosen = known.withColumn("place", F.xxhash64("doc_id", F.lit("sample"))).orderBy("place", "doc_id", "label").limit(sample_rows)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id")  # at most sample_rows of 20 bytes
+    rows = texts.join(F.broadcast(chosen), "doc_id")  # at most sample_rows of 28 bytes
 
     def extract(batches):
         for b in batches:
-            found = [least_hashed(np.unique(_HASHER.features(t)), most_features).astype(np.int32) for t in b.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label").cast(pa.int32()), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "label", "features"])
+            found = [np.unique(_HASHER.features(t)).astype(np.int32) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label").cast(pa.int32()), b.column("place"), pa.array(map(len, found), pa.int64()), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "label", "place", "n", "features"])
 
     def fit(batches):
         x, y, order = [], [], []
@@ -119,13 +112,22 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, most_fe
             x += [values[i:j] for i, j in zip(ends, ends[1:], strict=False)]
             y += b.column("label").to_pylist()
             order += b.column("doc_id").to_pylist()
-        rank = sorted(range(len(x)), key=lambda i: (str(order[i]), len(x[i]), y[i]))[:sample_rows]
+        rank = sorted(range(len(x)), key=lambda i: (str(order[i]), len(x[i]), y[i]))
         at, w, bias = fit_ftrl([x[i] for i in rank], np.array([y[i] for i in rank], float))
         yield pa.RecordBatch.from_arrays([pa.array([at.tobytes()]), pa.array([w.tobytes()]), pa.array([bias])], ["at", "w", "bias"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    features = rows.select("doc_id", "label", "text").mapInArrow(extract, f"doc_id {kind}, label int, features array<int>")
-    found = features.repartition(1).mapInArrow(fit, "at binary, w binary, bias double").first()
+    with temporary(docs.sparkSession):
+        features = written(rows.select("doc_id", "label", "place", "text").mapInArrow(extract, f"doc_id {kind}, label int, place bigint, n bigint, features array<int>"), "features")
+        # of rows with one place (repeated identifiers) all go in, or none; repeated rows of documents count each
+        sizes = features.groupBy("place").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).orderBy("place").limit(sample_rows).collect()
+        last, n_rows, total = None, 0, 0
+        for r in sizes:
+            n_rows, total = n_rows + r["rows"], total + r["n"]
+            if last is not None and (n_rows > sample_rows or total > sample_features):
+                break
+            last = r["place"]
+        found = None if last is None else features.filter(F.col("place") <= last).select("doc_id", "label", "features").repartition(1).mapInArrow(fit, "at binary, w binary, bias double").first()
     if found is None:
         return np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0
     return np.frombuffer(found["at"], np.int32), np.frombuffer(found["w"], np.float32), found["bias"]
