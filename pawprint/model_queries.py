@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pawprint.functions.models import group_statistics
 from pawprint.operators import labels as lab
 from pawprint.operators import training as tr
-from pawprint.queries import F_SQL, ORACLES, P_SQL, R, frames, query, r
+from pawprint.queries import F_SQL, M_SQL, ORACLES, P_SQL, R, frames, query, r
 from pawprint.sources.adapters import points_from_events
 
 #: Means of each track, with its group and covariates.
@@ -213,3 +213,95 @@ def dyad_file_chain(spark, sf_dir):
 
     c = social.file_chain(_dyads(spark, sf_dir), SOC)
     return c.select(*[r(F.col(f"`{n}`"), 4 if n.startswith("proximity") else 5).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in c.dtypes])
+
+
+#: Zones of the summary, and their flags.
+_ZONES = {"center": "in_center", "periphery": "in_periphery", "corner": "in_corners"}
+
+
+def _summary_row_sql() -> str:
+    flags = {**_ZONES, "immobility": "is_immobile"}
+    on = ", ".join(f"coalesce({c}, false) as on_{n}" for n, c in flags.items())
+    starts = ", ".join(f"on_{n} and not coalesce(lag(on_{n}) over w, false) as start_{n}" for n in flags)
+    runs = ", ".join(f"sum(start_{n}::int) over (partition by file order by frame) as run_{n}" for n in flags)
+    bouts = " union all ".join(f"select file, '{n}' as flag, run_{n} as run, count(*) / 2.0::double as s from r where on_{n} group by file, run_{n}" for n in flags)
+    cols = []
+    for n, c in _ZONES.items():
+        cols += [f"count(*) filter ({c}) / 2.0::double as {n}_time_s", f"{R(f'100 * count(*) filter ({c}) / count(*)::double', 4)} as {n}_time_percent", f"count(*) filter (start_{n}) as {n}_entries"]
+        if n != "corner":
+            cols.append(f"{R(f'coalesce(sum(speed) filter ({c}), 0)', 4)} as {n}_distance_cm")
+    wide = ", ".join([*[f"{R(f'{f}(s) filter (flag = {chr(39)}{n}{chr(39)})', 4)} as {n}_{k}_bout_s" for n in _ZONES for k, f in (("mean", "avg"), ("max", "max"))], "count(*) filter (flag = 'immobility' and s >= 1) as immobility_bouts", f"{R('coalesce(sum(s) filter (flag = ' + chr(39) + 'immobility' + chr(39) + ' and s >= 1), 0)', 4)} as immobility_time_s", *[f"{R(f'{f}(s) filter (flag = {chr(39)}immobility{chr(39)} and s >= 1)', 4)} as immobility_{k}_bout_s" for k, f in (("mean", "avg"), ("max", "max"))]])
+    return f"""with {M_SQL}, o as (select *, {on}, sqrt(power(x - lag(x) over w, 2) + power(y - lag(y) over w, 2)) as step, avg(case when in_center then 1 when not in_center then 0 end) over (partition by file order by frame rows between 2 preceding and 2 following) > 0.5 as sm from t window w as (partition by file order by frame)),
+      s as (select *, {starts}, coalesce(sm <> lag(sm) over w, false) as ch from o window w as (partition by file order by frame)), r as (select *, {runs} from s), b as ({bouts}), bw as (select file, {wide} from b group by file),
+      a as (select file, 2.0::double as fps, count(*) / 2.0::double as total_time_s, {R('coalesce(sum(speed), 0)', 4)} as distance_cm, {R('avg(speed_cm_s)', 4)} as mean_speed_cm_s, {R('avg(speed_cm_s) filter (is_moving)', 4)} as moving_speed_cm_s, count(*) filter (is_moving) / 2.0::double as moving_time_s,
+        (count(*) - count(*) filter (is_moving)) / 2.0::double as stationary_time_s, {R('100 * count(*) filter (is_moving) / count(*)::double', 4)} as percent_moving, {', '.join(cols)}, {R('100 * coalesce(sum(speed) filter (in_center), 0) / nullif(sum(speed), 0)', 3)} as center_distance_percent,
+        count(*) filter (ch) as center_transitions, min(frame) filter (in_center) / 2.0::double as center_latency_s, {', '.join(f"{R(f'{f}(wall_distance_cm)', 4)} as {k}_wall_distance_cm" for k, f in (('mean', 'avg'), ('median', 'median'), ('min', 'min'), ('max', 'max')))},
+        {R('count(*) filter (x is null or y is null) / count(*)::double', 4)} as bodycentre_missing_fraction, {R('count(*) filter (coalesce(likelihood < 0.9, true)) / count(*)::double', 4)} as bodycentre_low_likelihood_fraction, count(*) filter (step > 40) as bodycentre_impossible_jump_n,
+        count(*) filter (x is null or y is null) / count(*)::double > 0.2 or count(*) filter (coalesce(likelihood < 0.9, true)) / count(*)::double > 0.2 or count(*) filter (step > 40) > 0 as qc_flag from r group by file)
+      select a.*, coalesce(immobility_bouts, 0) as immobility_bouts, coalesce(immobility_time_s, 0) as immobility_time_s, {', '.join(f'{n}_{k}_bout_s' for n in (*_ZONES, 'immobility') for k in ('mean', 'max'))} from a left join bw using (file)"""
+
+
+@query("oft_summary_row", _summary_row_sql())
+def oft_summary_row(spark, sf_dir):
+    """All columns of a track's summary."""
+    from dataclasses import replace
+
+    from pawprint.plans.oft_rows import summary_row
+    from pawprint.queries import CFG, table
+
+    s = summary_row(table(spark, sf_dir), replace(CFG, jump_cm=40.0))
+    return s.select(*[r(F.col(c), 3 if c == "center_distance_percent" else 4).alias(c) if t == "double" else F.col(c) for c, t in s.dtypes])
+
+
+EPOCH_METRICS_SQL = f"""with {M_SQL}, e0 as (select *, max(time_s) over (partition by file) as mx from t), e1 as (select *, case when time_s < least(10, mx / 2) then 'first_epoch' when time_s >= mx - least(10, mx / 2) then 'last_epoch' end as epoch from e0)
+  select file, epoch, count(*) / 2.0::double as epoch_time_s, {R('coalesce(sum(speed_cm_s / 2), 0)', 4)} as distance_cm, {R('avg(speed_cm_s)', 4)} as mean_speed_cm_s, {', '.join(f'count(*) filter ({c}) / 2.0::double as {k}_time_s' for k, c in (*_ZONES.items(), ('moving', 'is_moving'), ('immobile', 'is_immobile')))},
+    {R('100 * count(*) filter (in_center) / count(*)::double', 4)} as center_time_percent, {R('avg(wall_distance_cm)', 9)} as mean_wall_distance_cm, {', '.join(f'count(*) filter (wall_distance_cm <= {cm}) / 2.0::double as wall_{cm}cm_time_s, {R(f"100 * count(*) filter (wall_distance_cm <= {cm}) / count(*)::double", 4)} as wall_{cm}cm_percent' for cm in (5, 10))} from e1 where epoch is not null group by file, epoch"""
+
+
+@query("oft_epoch_metrics", EPOCH_METRICS_SQL)
+def oft_epoch_metrics(spark, sf_dir):
+    from pawprint.plans.oft_rows import epoch_metrics
+    from pawprint.queries import CFG, table
+
+    e = epoch_metrics(table(spark, sf_dir), CFG)
+    return e.select(*[r(F.col(c), 9 if c == "mean_wall_distance_cm" else 4).alias(c) if t == "double" else F.col(c) for c, t in e.dtypes])
+
+
+def _enhanced_sql() -> str:
+    from pawprint.plans.oft_rows import DELTA_METRICS, SLOPE_METRICS, STATES
+
+    bins = f"""select file, floor(time_s / 10) * 10 as bs, count(*) filter (in_center) / 2.0::double as center_time_s, count(*) filter (in_periphery) / 2.0::double as periphery_time_s, count(*) filter (in_corners) / 2.0::double as corner_time_s, count(*) filter (is_moving) / 2.0::double as moving_time_s,
+      count(*) filter (is_immobile) / 2.0::double as immobile_time_s, sum(speed_cm_s / 2) as distance_cm, avg(speed_cm_s) as mean_speed_cm_s, avg(wall_distance_cm) as mean_wall_distance_cm, count(*) filter (en)::double as center_entries from
+      (select *, coalesce(in_center, false) and not coalesce(lag(coalesce(in_center, false)) over (partition by file, floor(time_s / 10) order by frame), false) as en from t) group by file, bs"""
+    fits = ", ".join(f"{R(f'case when count({m}) >= 3 then {f} end', n)} as {k}_{m}" for m in SLOPE_METRICS for k, f, n in (("slope_per_min", f"regr_slope({m}, bs) * 60", 3), ("intercept", f"regr_intercept({m}, bs)", 3), ("r_squared", f"regr_r2({m}, bs)", 5)))
+    ep = EPOCH_METRICS_SQL[EPOCH_METRICS_SQL.index("select file, epoch, count"):].replace("round(", "(").replace(", 4) + 0.0::double", ")").replace(", 9) + 0.0::double", ")")
+    wide = ", ".join(f"max({m}) filter (epoch = '{e}') as {m}_{e}" for m in DELTA_METRICS for e in ("first_epoch", "last_epoch"))
+    n = lambda m: 9 if "wall_distance" in m else 3
+    told = ", ".join(f"{R(f'{m}_{e}', n(m))} as {m}_{e}" for m in DELTA_METRICS for e in ("first_epoch", "last_epoch")) + ", " + ", ".join(f"{R(f'{m}_last_epoch - {m}_first_epoch', n(m))} as delta_{m}" for m in DELTA_METRICS)
+    cases = {"low_speed_or_rest": "speed_cm_s < 10", "moderate_speed": "speed_cm_s >= 10 and speed_cm_s < 40", "high_speed": "speed_cm_s >= 40"}
+    states = ", ".join(f"count(*) filter ({c}) / 2.0::double as state_time_s_{s}, {R(f'100 * count(*) filter ({c}) / nullif(count(speed_cm_s), 0)::double', 4)} as state_time_percent_{s}, {R(f'avg(speed_cm_s) filter ({c})', 4)} as state_mean_speed_cm_s_{s}" for s, c in ((s, cases[s]) for s in STATES))
+    walls = ", ".join(f"count(*) filter (n{cm}) / 2.0::double as wall_time_s_{cm}cm, {R(f'100 * count(*) filter (n{cm}) / count(*)::double', 4)} as wall_time_percent_{cm}cm, count(*) filter (e{cm}) as wall_entries_{cm}cm" for cm in (5, 10))
+    return f"""with {M_SQL}, e0 as (select *, max(time_s) over (partition by file) as mx from t), e1 as (select *, case when time_s < least(10, mx / 2) then 'first_epoch' when time_s >= mx - least(10, mx / 2) then 'last_epoch' end as epoch from e0),
+      ep as ({ep}), ew as (select file, {wide} from ep group by file), et as (select file, {told} from ew), sl as (select file, {fits} from ({bins}) group by file),
+      n as (select file, frame, speed_cm_s, x, y, coalesce(wall_distance_cm <= 5, false) as n5, coalesce(wall_distance_cm <= 10, false) as n10 from t), i as (select *, n5 and not coalesce(lag(n5) over w, false) as e5, n10 and not coalesce(lag(n10) over w, false) as e10 from n window w as (partition by file order by frame)),
+      fm as (select file, {R("count(*) filter (x is not null and y is not null) / count(*)::double", 4)} as valid_frame_fraction, {walls}, {states} from i group by file)
+      select fm.*, path_length_cm as total_distance_from_frames_cm, net_displacement_cm, tortuosity as tortuosity_distance_over_displacement, mean_turn_deg as mean_turn_angle_deg, median_turn_deg as median_turn_angle_deg, mean_angular_velocity_deg_s, sharp_turn_fraction as high_turn_fraction_90deg,
+        et.* exclude (file), sl.* exclude (file), 10::int as occupancy_grid_n, nullif(cells, 0) as occupied_bins_n, 100::int as total_bins_n, case when cells > 0 then coverage_percent end as arena_coverage_percent, case when cells > 0 then entropy_bits end as occupancy_entropy, case when cells > 0 then entropy_norm end as occupancy_entropy_normalized
+      from fm left join ({ORACLES["path_geometry"]}) using (file) left join et using (file) left join sl using (file) left join ({ORACLES["occupancy_entropy"]}) using (file)"""
+
+
+@query("enhanced_full", _enhanced_sql())
+def enhanced_full(spark, sf_dir):
+    """All columns of the enhanced row but p, which SQL has no function for."""
+    from pawprint.plans.oft_rows import enhanced_full
+    from pawprint.queries import CFG, table
+
+    e = enhanced_full(table(spark, sf_dir), CFG)
+    digits = {"arena_coverage_percent": 6, "occupancy_entropy": 5, "occupancy_entropy_normalized": 5, "tortuosity_distance_over_displacement": 3}
+
+    def of(c):
+        if "wall_distance" in c and c.endswith(("_epoch", "distance_cm")) and not c.startswith(("slope", "intercept", "r_squared")):
+            return 9
+        return 5 if c.startswith("r_squared") else 3 if c.startswith(("slope", "intercept", "delta_")) or c.endswith("_epoch") else digits.get(c, 4)
+
+    return e.select(*[r(F.col(c), of(c)).alias(c) if t == "double" else F.col(c) for c, t in e.dtypes if not c.startswith("p_value")])
