@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pawprint.functions.models import group_statistics
 from pawprint.operators import labels as lab
 from pawprint.operators import training as tr
-from pawprint.queries import F_SQL, M_SQL, ORACLES, P_SQL, R, frames, query, r
+from pawprint.queries import F_SQL, M_SQL, ORACLES, P_SQL, R, WIN_SQL, frames, query, r
 from pawprint.sources.adapters import points_from_events
 
 #: Means of each track, with its group and covariates.
@@ -305,3 +305,52 @@ def enhanced_full(spark, sf_dir):
         return 5 if c.startswith("r_squared") else 3 if c.startswith(("slope", "intercept", "delta_")) or c.endswith("_epoch") else digits.get(c, 4)
 
     return e.select(*[r(F.col(c), of(c)).alias(c) if t == "double" else F.col(c) for c, t in e.dtypes if not c.startswith("p_value")])
+
+
+@query("motif_shares_wide", f"""with {WIN_SQL}, mo as (select file, case when ms < 20 then 'slow' when ms < 30 then 'mid' else 'fast' end as motif from wf), n as (select file, motif, count(*) as n from mo group by file, motif)
+  select file, sum(n)::bigint as windows, {', '.join(f"{R(f'coalesce(sum(n) filter (motif = {chr(39)}{m}{chr(39)}), 0) / sum(n)::double')} as motif_fraction_{m}" for m in ('slow', 'mid', 'fast'))}, {R('log2(sum(n)) - sum(n * log2(n)) / sum(n)', 5)} as motif_entropy, arg_min(motif, {{'n': -n, 'm': motif}}) as dominant_motif from n group by file""")
+def motif_shares_wide(spark, sf_dir):
+    from pawprint.plans.motifs import motif_shares
+    from pawprint.queries import _windows as windows
+
+    m = windows(spark, sf_dir).withColumn("motif", F.when(F.col("mean_speed") < 20, "slow").when(F.col("mean_speed") < 30, "mid").otherwise("fast"))
+    s = motif_shares(m, ["slow", "mid", "fast"])
+    return s.select(*[r(F.col(c), 5 if c == "motif_entropy" else 6).alias(c) if t == "double" else F.col(c) for c, t in s.dtypes])
+
+
+_LABELS = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("label_correlations", f"with {F_SQL}, s as (select file, {', '.join(f"count(*) filter (label = '{x}')::double as {x}" for x in _LABELS)} from f group by file) " + " union all ".join(f"select '{a}' as a, '{b}' as b, {R(f'corr({a}, {b})', 5)} as r from s" for i, a in enumerate(_LABELS) for b in _LABELS[i:]))
+def label_correlations(spark, sf_dir):
+    """All pairs of labels, by the frames that tracks have of them."""
+    from pawprint.plans.plotdata import correlations
+
+    n = frames(spark, sf_dir).groupBy("file", "label").agg(F.count(F.lit(1)).alias("n"))
+    return correlations(n, "label", "n", _LABELS).select("a", "b", r(F.col("r"), 5).alias("r"))
+
+
+@query("point_data", f"with {P_SQL} select file, point, cast(frame as int) as frame, {R('x')} as x, {R('y')} as y, 1.0::double as likelihood from (select file, 'nose' as point, frame, nose_x as x, nose_y as y from p union all select file, 'tail', frame, tail_x, tail_y from p) where frame between 5 and 20")
+def point_data(spark, sf_dir):
+    """Two points from 2.3 s (the frame at 2.5 s) to 10 s."""
+    from pawprint.operators.reshape import points_long
+    from pawprint.plans.plotdata import points_in_range
+
+    out = points_in_range(points_long(points_from_events(spark, sf_dir), ["body", "nose", "tail"]), 2.3, 10.0, 2.0, ["nose", "tail"])
+    return out.select("file", "point", "frame", r(F.col("x")).alias("x"), r(F.col("y")).alias("y"), "likelihood")
+
+
+@query("polygon_of_each_track", f"""with {F_SQL}, m as (select file, median(x) as mx, median(y) as my from f group by file), c as (select f.file, f.frame, f.x, f.y, mx - 2 as x0, mx + 2 as x1, my - 15 as y0, my + 15 as y1 from f join m using (file))
+  select file, count(*) filter (x > x0 + 1e-9 and x < x1 - 1e-9 and y > y0 + 1e-9 and y < y1 - 1e-9) as inside, count(*) filter (x is not null and y is not null) as known from c group by file""")
+def polygon_of_each_track(spark, sf_dir):
+    """Frames strictly within a rectangle about each track's own medians, a polygon column."""
+    from pawprint.functions import geometry as g
+    from pawprint.operators.zones import point_medians
+
+    f = frames(spark, sf_dir)
+    m = point_medians(f.withColumn("point", F.lit("b"))).select("file", F.col("x").alias("mx"), F.col("y").alias("my"))
+    at = lambda dx, dy: F.struct((F.col("mx") + dx).alias("x"), (F.col("my") + dy).alias("y"))
+    zones = m.select("file", "mx", "my", F.array(at(-2, -15), at(2, -15), at(2, 15), at(-2, 15)).alias("poly"))
+    x, y = F.col("x"), F.col("y")
+    j = f.join(zones, "file")
+    return j.groupBy("file").agg(F.count_if(g.in_zones(x, y, [F.col("poly")])).alias("inside"), F.count_if(x.isNotNull() & y.isNotNull()).alias("known"))

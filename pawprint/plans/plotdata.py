@@ -60,3 +60,29 @@ def flags_long(t: DataFrame, flags: dict[str, Column], fps: float) -> DataFrame:
 def mean_trajectory(bins: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
     """Mean and standard error of metrics by group and bin."""
     return bins.groupBy(*by, "bin_start_s").agg(*[F.avg(m).alias(f"{m}_mean") for m in metrics], *[(F.stddev_samp(m) / F.sqrt(F.count(m))).alias(f"{m}_se") for m in metrics])
+
+
+def points_in_range(frames: DataFrame, first: float | None = None, last: float | None = None, fps: float | None = None, points: list[str] | None = None, kind: str | None = None, info: DataFrame | None = None) -> DataFrame:
+    """file, point, frame, x, y, likelihood between two frames, both included; with fps, between the frames at or after two times in s.
+
+    points, or kind with a table of points (point, type), choose the points; else all are taken.
+    """
+    frame = F.col("frame")
+    out = frames
+    for bound, low in ((first, True), (last, False)):
+        if bound is not None:
+            at = F.lit(float(bound)) if fps is None else F.ceil(F.lit(bound * fps - 1e-9))  # the first frame at this time or later
+            out = out.filter(frame >= at if low else frame <= at)
+    if kind is not None:
+        out = out.join(info.filter(F.col("type") == kind).select("point").distinct(), "point", "left_semi")
+    elif points is not None:
+        out = out.filter(F.col("point").isin(points))
+    return out.select("file", "point", "frame", "x", "y", "likelihood")
+
+
+def correlations(long: DataFrame, name: str, value: str, names: list[str], keys: tuple[str, ...] = ("file",)) -> DataFrame:
+    """a, b, r for each pair of names (a before b, and each with itself): Pearson's correlation of their values over keys; what a key lacks is 0. One aggregate for each key, then one for all pairs."""
+    wide = long.groupBy(*keys).agg(*[F.coalesce(F.sum(F.when(F.col(name) == n, F.col(value))), F.lit(0)).cast("double").alias(f"__v{i}") for i, n in enumerate(names)])
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    one = wide.agg(*[F.corr(f"__v{i}", f"__v{j}").alias(f"__r{i}_{j}") for i, j in pairs])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"), F.col(f"__r{i}_{j}").alias("r")) for i, j in pairs])))
