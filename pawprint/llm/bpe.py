@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, temporary, written
+from .common import release, temporary, worker_cache, written
 
 BUCKETS = 1 << 16
 #: The longest word, in characters, that may be among the broadcast ones.
@@ -40,7 +40,6 @@ BATCH_ROWS = 1000
 LONG_BYTES = 1024
 #: Characters of a plan's text that the driver keeps.
 PLAN_CHARS = 10_000
-_HEADS: dict[str, dict[str, int]] = {}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -207,10 +206,11 @@ class ByteBpe:
         shared += [words, values, ranks]
 
         def places() -> dict[str, int]:
-            if name not in _HEADS:
-                _HEADS.clear()
-                _HEADS[name] = {w: i for i, w in enumerate(pa.ipc.open_stream(words.value).read_all().column("word").to_pylist())}
-            return _HEADS[name]
+            heads = worker_cache("bpe")
+            if name not in heads:
+                heads.clear()
+                heads[name] = {w: i for i, w in enumerate(pa.ipc.open_stream(words.value).read_all().column("word").to_pylist())}
+            return heads[name]
 
         def coded(batches):
             """doc_id, codes (of each word: the place of a known one, or -1 - the place among new and long), new (distinct words to fold), long (ids of long ones)."""

@@ -62,6 +62,29 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+_WORKER: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What a Python worker keeps between tasks for one operator. Workers are used again for others: what those kept goes first."""
+    if owner not in _WORKER:
+        _WORKER.clear()
+        _WORKER[owner] = {}
+    return _WORKER[owner]
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int = 1000):
+    """Arrow batches of at most so many rows: documents are long, and Spark's own bound is for short rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def without(docs: DataFrame, gone: DataFrame, keys: list[Column], row_bytes: int) -> DataFrame:
     """docs without the rows whose keys (expressions over docs) equal a row of gone, a written table. Extra columns of docs may have any name."""
     taken, names = {c.lower() for c in docs.columns}, []

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, release, temporary, without, written
+from .common import arrow_batches, bounded_broadcast, release, temporary, without, worker_cache, written
 
 BANDS, ROWS = 32, 5
 PERMUTATIONS = BANDS * ROWS
@@ -94,6 +94,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, n_shingles, fp (16 bytes of the set's hash), sig, bands, text_hash; fp, sig and bands null for texts without words."""
 
     def run(batches):
+        worker_cache("near")
         for b in batches:
             texts, lo = b.column(1).cast(pa.binary()).to_pylist(), 0
             while lo < len(texts):
@@ -156,7 +157,8 @@ class NearDuplicates:
     def __init__(self, docs: DataFrame, percent: int = 85, n: int = 5, id_col: str = "doc_id", text_col: str = "text"):
         self.docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         self.percent, self.n = percent, n
-        self.rows = written(signatures(self.docs, "doc_id", "text", n), "signatures")
+        with arrow_batches(docs.sparkSession):
+            self.rows = written(signatures(self.docs, "doc_id", "text", n), "signatures")
         nodes = self.rows.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("min_id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
         self.nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
         self.enough = F.lit(percent / 100 - MARGIN)
@@ -180,6 +182,7 @@ class NearDuplicates:
         found = self.docs.join(bounded_broadcast(wanted, wanted.count(), 64), self.docs["doc_id"].eqNullSafe(F.col("min_id")))
 
         def run(batches):
+            worker_cache("near")
             for b in batches:
                 sets = [shingles(t, n) for t in b.column(1).cast(pa.binary()).to_pylist()]
                 same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == fp for s, fp in zip(sets, b.column(2).to_pylist(), strict=True)]
@@ -314,7 +317,8 @@ class NearDuplicates:
         nodes = ends(near).unionByName(ends(beside))
         if centred is not None:
             nodes = nodes.unionByName(centred.select("node"))
-        sets = written(self.sets(nodes), "sets")
+        with arrow_batches(self.docs.sparkSession):
+            sets = written(self.sets(nodes), "sets")
         release(self.docs.sparkSession)
         links = written(self.confirmed(near, sets), "links")
         roots = written(components(links), "roots")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import without, written
+from .common import arrow_batches, without, worker_cache, written
 
 STATISTICS = ["words", "word_length", "upper", "exclaims", "symbols", "bars", "digits", "stops", "lines", "repeats", "distinct", "same_lines", "brackets"]
 # Byte classes of the statistics.
@@ -65,6 +65,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """doc_id and STATISTICS of whole texts."""
 
     def run(batches):
+        worker_cache("quality")
         for b in batches:
             texts, lo = b.column(1).cast(pa.binary()).to_pylist(), 0
             while lo < len(texts):
@@ -138,7 +139,8 @@ def fold(id_col: Column, folds: int) -> Column:
 
 def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.3, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """doc_id, held_out, score, predicted (score >= cut). Learns from labelled rows outside the held-out fold."""
-    table = written(document_statistics(docs, id_col, text_col), "statistics")
+    with arrow_batches(docs.sparkSession):
+        table = written(document_statistics(docs, id_col, text_col), "statistics")
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).filter((fold(F.col("doc_id"), folds) != held) & F.col("label").isNotNull())
     model = Discriminant.fit(table.join(known, "doc_id"))
     held_out = F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False))
