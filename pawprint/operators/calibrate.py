@@ -9,7 +9,10 @@ from pawprint.functions.geometry import distance, polygon_area, rotated
 
 
 def calibration_factor(medians: DataFrame, method: str, known: float, points: list[str] | None = None) -> DataFrame:
-    """file, px_to_cm. method: distance (between two points), area (of a polygon of points) or ratio (given)."""
+    """file, px_to_cm. method: distance (between two points), area (of a polygon of points) or ratio (given).
+
+    Null for points on one place, and for a polygon whose area is 0 to nine digits: what is left then is rounding.
+    """
     if method == "ratio":
         return medians.select("file").distinct().withColumn("px_to_cm", F.lit(float(known)))
     wide = medians.filter(F.col("point").isin(points)).groupBy("file").pivot("point", points).agg(F.first("x").alias("x"), F.first("y").alias("y"))
@@ -18,7 +21,7 @@ def calibration_factor(medians: DataFrame, method: str, known: float, points: li
         return wide.select("file", F.try_divide(F.lit(float(known)), distance(*at(points[0]), *at(points[1]))).alias("px_to_cm"))
     if method == "area":
         poly = F.array(*[F.struct(at(p)[0].alias("x"), at(p)[1].alias("y")) for p in points])
-        return wide.select("file", F.sqrt(F.try_divide(F.lit(float(known)), polygon_area(poly))).alias("px_to_cm"))
+        return wide.select("file", polygon_area(poly).alias("__a")).select("file", F.when(F.round("__a", 9) > 0, F.sqrt(F.lit(float(known)) / F.col("__a"))).alias("px_to_cm"))
     raise ValueError(f"method is distance, area or ratio, not {method}")
 
 

@@ -53,3 +53,15 @@ def test_directed_contact_counts_right_angles(spark, monkeypatch):
     monkeypatch.setattr(queries, "dyads_from_events", lambda *_: d)
     assert tuple(QUERIES["directed_contact_all"](spark, "").first()) == ("f", 200, 200, 200, 200, 0)
     assert tuple(QUERIES["directed_contact"](spark, "").first()) == ("f", 200, 200, 200, 200, 0)
+
+
+def test_flat_polygons_give_no_factor(spark):
+    """Points on one line, whose area comes out at 1e-15 or so, leave a track as it is."""
+    from pawprint.operators.calibrate import calibration_factor, scaling
+
+    rows = [(f"t{i}", p, 0.1 * i + 0.3 * k, 0.7 * i + 0.1 * k) for i in range(30) for k, p in enumerate(("a", "b", "c"))]
+    rows += [("whole", "a", 0.0, 0.0), ("whole", "b", 2.0, 0.0), ("whole", "c", 0.0, 1.0)]
+    factors = calibration_factor(spark.createDataFrame(rows, "file string, point string, x double, y double"), "area", 25.0, ["a", "b", "c"])
+    got = {r.file: r.px_to_cm for r in factors.collect()}
+    assert got.pop("whole") == 5.0 and len(got) == 30 and set(got.values()) == {None}
+    assert all(r.m00 == (5.0 if r.file == "whole" else 1.0) for r in scaling(factors).collect())
