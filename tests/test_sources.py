@@ -39,3 +39,13 @@ def test_streams(spark, tmp_path):
     assert sorted(r.frames for r in spark.table("tumbling").collect()) == [10, 10]
     assert spark.table("steps").first().distance == 19
     assert spark.table("bouts").agg(F.sum("frames")).first()[0] == 16
+
+
+def test_tracks_are_dealt_by_the_size_of_the_table(spark, monkeypatch):
+    """A task's rows are bounded by the number of partitions, which adaptive execution doesn't merge again."""
+    from pawprint.sources import adapters
+
+    monkeypatch.setattr(adapters, "PART_ROWS", 50)
+    for make in (adapters.pose_from_events, adapters.points_from_events, adapters.dyads_from_events):
+        rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+        assert make(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == -(-rows // 50) > 4
