@@ -1,19 +1,17 @@
 """Byte-level BPE encoding and decoding.
 
-The ranked merges are folds of Spark higher-order functions: a word starts as the array of its bytes' ids, and an
-aggregate() over its length merges the neighbouring pair of lowest rank, the leftmost first, until no pair has a
-rank. Ranks come from a literal table: for each pair of ids whose joined bytes are in the vocabulary, the id of the
-joined piece, dealt to buckets by a hash so that a lookup looks at a few entries. Decoding joins the binary pieces
-of the ids, from a literal array.
+Spark cuts texts into words, counts the distinct ones over all documents, and brings the frequent ones, at most
+head_words, with their ids to all tasks (their number and length are bounded). The other words - rare ones - are
+merged in the tasks of their documents, once for a distinct word of a batch. No document is shuffled.
 
-Words are folded once where that pays: distinct words are counted over all documents, and the frequent ones, at most
-head_words, are folded, collected and broadcast (their number and length are bounded). The other words - rare ones -
-are folded in the row of each document, once for a distinct word. No document is shuffled.
+A word starts as its bytes' ids, and the neighbouring pair of lowest rank, the leftmost first, is merged until no pair
+has a rank. Merges does a step of all words of a batch side by side, in numpy: its table has, for each pair of ids whose joined
+bytes are in the vocabulary, the id of the joined piece. Decoding joins the binary pieces of the ids, from a literal array.
 
 Defined cases: null text counts as empty; an empty text has no ids; identifiers are passed through, null and
 repeated ones too; an empty table gives an empty result. Words are found by Java's regular expressions with Unicode
-classes. A fold takes time in the square of a word's bytes, so words of more than LONG_BYTES are merged in the worker
-that looks words up, with a heap of pairs.
+classes. A byte without a rank is an error, if a text has it. Steps side by side take time in the square of a word's bytes, so words of more than
+LONG_BYTES are merged one by one, with a heap of pairs.
 """
 
 from __future__ import annotations
@@ -21,7 +19,6 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +26,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, temporary, worker_cache, written
+from .common import arrow_batches, release, temporary, written
 
-BUCKETS = 1 << 16
 #: The longest word, in characters, that may be among the broadcast ones.
 HEAD_CHARS = 64
 #: Documents in an Arrow batch: texts are long, and Spark's own bound is for short rows.
 BATCH_ROWS = 1000
-#: Rare words of more bytes are merged with a heap in a worker: a fold takes the square of their bytes.
-LONG_BYTES = 1024
-#: Characters of a plan's text that the driver keeps.
-PLAN_CHARS = 10_000
+#: Words of more bytes are merged with a heap: steps side by side take the square of their bytes.
+LONG_BYTES = 64
+#: Widths of the matrices that take the other words, and the cells of one.
+WIDTHS = (4, 8, 16, 32, LONG_BYTES)
+CELLS = 1 << 20
+#: The rank of a pair that has none.
+NONE = np.iinfo(np.int32).max
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -79,28 +78,98 @@ def merged_ids(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : ends[i]]] for i in range(n) if alive[i]]
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with value evaluated once: a lambda's body has no common subexpressions."""
-    return F.transform(F.array(value), body)[0]
+def _lists(ids: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids, pa.int32()))
 
 
-class ByteBpe:
-    """Encodes and decodes by the ranks of a vocabulary; pattern splits texts into words."""
+class Merges:
+    """The merges of a vocabulary as arrays."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, head_words: int = 1 << 19):
-        self.ranks, self.pattern, self.head_words = ranks, f"(?U){pattern}", head_words
-        keys, ids = [[] for _ in range(BUCKETS)], [[] for _ in range(BUCKETS)]
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.size = ranks, max(ranks.values(), default=-1) + 1
+        found = {}
         for piece, rank in ranks.items():
             for i in range(1, len(piece)):
                 a, b = ranks.get(piece[:i]), ranks.get(piece[i:])
                 if a is not None and b is not None:
-                    at = (a * 31 + b) % BUCKETS  # with the bucket, a tells b
-                    keys[at].append(a)
-                    ids[at].append(rank)
+                    found[a * self.size + b] = rank
+        keys = np.fromiter(found, np.int64, len(found))
+        order = np.argsort(keys)
+        self.keys = np.append(keys[order], np.iinfo(np.int64).max)
+        self.joined = np.append(np.fromiter(found.values(), np.int32, len(found))[order], NONE).astype(np.int32)
         one = [bytes([b]) for b in range(256)]
-        table = {"keys": keys, "ids": ids, "bytes": [ranks.get(b) for b in one], "pairs": [ranks.get(a + b) for a in one for b in one]}
-        self.table = _literal(table, "keys array<array<int>>, ids array<array<int>>, bytes array<int>, pairs array<int>")
-        pieces: list = [None] * (max(ranks.values(), default=-1) + 1)
+        self.bytes = np.array([ranks.get(b, -1) for b in one], np.int32)
+        self.pairs = np.array([ranks.get(a + b, NONE) if a in ranks and b in ranks else NONE for a in one for b in one], np.int32)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The ids of the joined pieces, NONE where there is none."""
+        key = a.astype(np.int64) * self.size + b
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.joined[at], NONE)
+
+    def fold(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words (without the whole-word shortcut), one after the other, and their number for each word."""
+        n = len(words)
+        sizes, found = np.zeros(n, np.int64), []
+        if not n or words.buffers()[2] is None:
+            return np.zeros(0, np.int32), sizes
+        offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + n + 1].astype(np.int64)
+        data, lengths = np.frombuffer(words.buffers()[2], np.uint8), np.diff(offsets)
+        for low, width in zip((0, *WIDTHS), WIDTHS, strict=False):
+            own = np.flatnonzero((lengths > low) & (lengths <= width))
+            for i in range(0, len(own), CELLS // width):
+                part = own[i : i + CELLS // width]
+                ids, alive = self._steps(data, offsets[part], lengths[part], width)
+                sizes[part] = alive.sum(axis=1)
+                found.append((part, ids[alive]))
+        for i in np.flatnonzero(lengths > LONG_BYTES):
+            ids = merged_ids(data[offsets[i] : offsets[i + 1]].tobytes(), self.ranks)
+            sizes[i] = len(ids)
+            found.append((np.array([i]), np.array(ids, np.int32)))
+        starts = np.cumsum(sizes) - sizes
+        out = np.empty(int(sizes.sum()), np.int32)
+        for part, ids in found:
+            own = sizes[part]
+            out[np.repeat(starts[part] - (np.cumsum(own) - own), own) + np.arange(len(ids))] = ids
+        if len(out) and out.min() < 0:
+            raise ValueError("a text has a byte that the vocabulary lacks")
+        return out, sizes
+
+    def _steps(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """ids and whether they are there, a row for each word: a merged pair stays at its first byte's place."""
+        at = np.arange(width)
+        alive = at < lengths[:, None]
+        codes = np.where(alive, data[np.minimum(starts[:, None] + at, len(data) - 1)], 0).astype(np.int32)
+        ids, ranks = self.bytes[codes], np.full(alive.shape, NONE, np.int32)  # ranks: of the pair that begins at a place
+        ranks[:, :-1] = np.where(alive[:, 1:], self.pairs[codes[:, :-1] * 256 + codes[:, 1:]], NONE)
+        before, after = (np.tile((at + d).astype(np.int16), (len(starts), 1)) for d in (-1, 1))
+        rows = np.arange(len(starts))
+        while len(rows):
+            place = ranks[rows].argmin(axis=1)  # the leftmost of equal ones
+            low = ranks[rows, place]
+            some = low != NONE
+            rows, place, low = rows[some], place[some], low[some]
+            gone = after[rows, place]
+            then = after[rows, gone]
+            ids[rows, place], alive[rows, gone], after[rows, place] = low, False, then
+            ranks[rows, place] = ranks[rows, gone] = NONE
+            has = then < lengths[rows]
+            r, p, q = rows[has], place[has], then[has]
+            before[r, q] = p
+            ranks[r, p] = self.rank(low[has], ids[r, q])
+            prior = before[rows, place]
+            has = prior >= 0
+            r, q = rows[has], prior[has]
+            ranks[r, q] = self.rank(ids[r, q], low[has])
+        return ids, alive
+
+
+class ByteBpe:
+    """Encodes and decodes by the ranks of a vocabulary; pattern splits texts into words."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, head_words: int = 1 << 19):
+        self.merges, self.pattern, self.head_words = Merges(ranks), f"(?U){pattern}", head_words
+        pieces: list = [None] * self.merges.size
         for piece, rank in ranks.items():
             pieces[rank] = piece.decode("latin-1")  # a character for each byte
         self.pieces = _literal(pieces, "array<string>")
@@ -114,42 +183,8 @@ class ByteBpe:
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
-    def fold(self, word: Column) -> Column:
-        """The ids of one word (not the whole-word shortcut) as array<int>."""
-
-        def rank(table: Column, a: Column, b: Column) -> Column:
-            """The id of the joined piece, null if there is none."""
-            at = (a * 31 + b).bitwiseAND(F.lit(BUCKETS - 1))
-            return F.get(F.get(table["ids"], at), F.array_position(F.get(table["keys"], at), a).cast("int") - 1)
-
-        def merged(table: Column, acc: Column, at: Column) -> Column:
-            ids, ranks, low, p, n = acc["ids"], acc["ranks"], at["low"], at["p"], at["n"]  # the pair of places p and p + 1
-            none = F.slice(ranks, 1, 0)
-            left = F.when(p > 1, F.array(rank(table, F.get(ids, p - 2), low))).otherwise(none)
-            right = F.when(p + 2 <= n, F.array(rank(table, low, F.get(ids, p + 1)))).otherwise(none)
-            return F.struct(
-                F.concat(F.slice(ids, 1, p - 1), F.array(low), F.slice(ids, p + 2, n)).alias("ids"),
-                F.concat(F.slice(ranks, 1, F.greatest(p - 2, F.lit(0))), left, right, F.slice(ranks, p + 2, n)).alias("ranks"),
-            )
-
-        def step(table: Column, acc: Column) -> Column:
-            def at(low: Column) -> Column:
-                place = F.struct(low.alias("low"), F.array_position(acc["ranks"], low).cast("int").alias("p"), F.size(acc["ids"]).alias("n"))
-                return F.when(low.isNull(), acc).otherwise(_let(place, lambda place: merged(table, acc, place)))
-
-            return _let(F.array_min(acc["ranks"]), at)
-
-        def whole(table: Column) -> Column:
-            latin = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-            bytes_of = F.transform(F.regexp_extract_all(latin, F.lit("(?s)."), F.lit(0)), F.ascii)
-            paired = lambda codes: F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes)), lambda a, b: F.get(table["pairs"], a * 256 + b))
-            zero = _let(bytes_of, lambda codes: F.struct(F.transform(codes, lambda c: F.get(table["bytes"], c)).alias("ids"), paired(codes).alias("ranks")))
-            return F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), zero, lambda acc, _: step(table, acc), lambda acc: acc["ids"])
-
-        return F.when(F.octet_length(word) > 0, _let(self.table, whole))
-
-    def head(self, docs: DataFrame, text_col: str) -> pa.Table:
-        """The frequent words, and their ids: at most head_words rows."""
+    def head(self, docs: DataFrame, text_col: str, merges) -> pa.Table:
+        """The frequent words, and their ids: at most head_words rows. merges is a broadcast of self.merges."""
         counts = (
             docs.select(F.explode(self.words(F.col(text_col))).alias("word"))
             .groupBy("word")
@@ -164,24 +199,22 @@ class ByteBpe:
             if room < 0:
                 break
             least = r["step"]
-        known = counts.filter(F.floor(F.log2("n") * 4) >= F.lit(least)).select("word", self.fold(F.col("word")).alias("ids"))
-        return known.toArrow()  # bounded: head_words words of HEAD_CHARS
+
+        def folded(batches):
+            for b in batches:
+                ids, sizes = merges.value.fold(b.column(0))
+                yield pa.RecordBatch.from_arrays([b.column(0), _lists(ids, sizes)], ["word", "ids"])
+
+        known = counts.filter(F.floor(F.log2("n") * 4) >= F.lit(least)).select("word")
+        return known.mapInArrow(folded, "word string, ids array<int>").toArrow()  # bounded: head_words words of HEAD_CHARS
 
     def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """doc_id, ids (array<int>) for each row of docs, as a written table."""
-        spark = docs.sparkSession
-        # the rank table would stand in the plan's text, which the driver keeps for each finished query
-        wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.maxPlanStringLength": str(PLAN_CHARS)}
-        before = {k: spark.conf.get(k) for k in wanted}
-        for k, v in wanted.items():
-            spark.conf.set(k, v)
-        shared = []
+        spark, shared = docs.sparkSession, []
         try:
-            with temporary(spark):
+            with arrow_batches(spark, BATCH_ROWS), temporary(spark):
                 return written(self._encoded(docs, id_col, text_col, shared), "bpe-ids", keep=True)
         finally:
-            for k, v in before.items():
-                spark.conf.set(k, v)
             for x in shared:
                 x.destroy()
             pa.default_memory_pool().release_unused()
@@ -189,73 +222,43 @@ class ByteBpe:
     def _encoded(self, docs: DataFrame, id_col: str, text_col: str, shared: list) -> DataFrame:
         """The rows of encode(), not yet computed; appends the broadcasts that they need to shared."""
         sc = docs.sparkSession.sparkContext
-        table = self.head(docs, text_col)
+        merges = sc.broadcast(self.merges)
+        shared.append(merges)
+        table = self.head(docs, text_col, merges)
         release(docs.sparkSession)
+        whole = pa.array(list(self.by_text), pa.string())  # a word of the vocabulary is its own piece
+        table = table.filter(pc.invert(pc.is_in(table.column("word"), value_set=whole))).combine_chunks()
         lists = table.column("ids").combine_chunks()
-        by_text = self.by_text
-        ids = np.concatenate([np.asarray(lists.flatten(), np.int32), np.fromiter(by_text.values(), np.int32, len(by_text))])
-        sizes = np.concatenate([np.asarray(lists.value_lengths(), np.int64), np.ones(len(by_text), np.int64)])
-        # the words go to the workers that look them up, the ids to those that put documents together
-        known = pa.concat_arrays([table.column("word").combine_chunks().cast(pa.string()), pa.array(list(by_text), pa.string())])
+        ids = np.concatenate([np.fromiter(self.by_text.values(), np.int32, len(whole)), np.asarray(lists.flatten(), np.int32)])
+        sizes = np.concatenate([np.ones(len(whole), np.int64), np.asarray(lists.value_lengths(), np.int64)])
+        names = pa.concat_arrays([whole, table.column("word").combine_chunks().cast(pa.string())])
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, pa.schema([("word", pa.string())])) as w:
-            w.write_table(pa.table({"word": known}))
-        del table, lists, known
-        words, values, name = sc.broadcast(sink.getvalue().to_pybytes()), sc.broadcast((ids, sizes)), uuid.uuid4().hex
-        ranks = sc.broadcast(self.ranks)
-        shared += [words, values, ranks]
-
-        def places() -> dict[str, int]:
-            heads = worker_cache("bpe")
-            if name not in heads:
-                heads.clear()
-                heads[name] = {w: i for i, w in enumerate(pa.ipc.open_stream(words.value).read_all().column("word").to_pylist())}
-            return heads[name]
+            w.write_table(pa.table({"word": names}))
+        head = sc.broadcast((sink.getvalue().to_pybytes(), ids, sizes))
+        shared.append(head)
+        del table, lists, names
 
         def coded(batches):
-            """doc_id, codes (of each word: the place of a known one, or -1 - the place among new and long), new (distinct words to fold), long (ids of long ones)."""
-            at = places()
+            words, ids, sizes = head.value
+            known = pa.ipc.open_stream(words).read_all().column("word").combine_chunks()
             for b in batches:
                 lists = b.column(1)
                 units = lists.flatten().dictionary_encode()
-                names, codes = units.dictionary, np.asarray(units.indices, np.int64)
-                found = np.fromiter((at.get(w, -1) for w in names.to_pylist()), np.int64, len(names))
-                out = found[codes] if len(codes) else codes
-                unknown = np.flatnonzero(out < 0)
-                n, most = np.asarray(lists.value_lengths(), np.int64), max(1, len(names))
-                is_long = np.asarray(pc.binary_length(names), np.int64) > LONG_BYTES
-                # of each document, its short words and then its long ones
-                pairs, where = np.unique((np.repeat(np.arange(len(n)), n)[unknown] * 2 + is_long[codes[unknown]]) * most + codes[unknown], return_inverse=True)
-                doc, word = pairs // (2 * most), pairs % most
-                out[unknown] = -1 - (where - np.searchsorted(doc, np.arange(len(n) + 1))[doc[where]])
-                later = is_long[word]
-                upto = lambda these: pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[these], minlength=len(n)))]), pa.int32())
-                new = pa.ListArray.from_arrays(upto(~later), names.take(pa.array(word[~later])))
-                long = pa.ListArray.from_arrays(upto(later), pa.array([merged_ids(w.encode(), ranks.value) for w in names.take(pa.array(word[later])).to_pylist()], pa.list_(pa.int32())))
-                bounds = np.concatenate([[0], np.cumsum(n)])
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(out, pa.int32())), new, long], ["doc_id", "codes", "new", "long"])
-
-        def joined(batches):
-            ids, sizes = values.value
-            for b in batches:
-                folded, lists = b.column(2), b.column(1)
-                own = folded.flatten()
-                all_ids = np.concatenate([ids, np.asarray(own.flatten(), np.int32)])
-                all_sizes = np.concatenate([sizes, np.asarray(own.value_lengths(), np.int64)])
-                n, new = np.asarray(lists.value_lengths(), np.int64), np.asarray(folded.value_lengths(), np.int64)
-                code = np.asarray(lists.flatten(), np.int64)
-                word = np.where(code >= 0, code, len(sizes) + np.repeat(np.cumsum(new) - new, n) - 1 - code)
+                place = np.asarray(pc.fill_null(pc.index_in(units.dictionary, value_set=known), -1), np.int64).copy()
+                new = np.flatnonzero(place < 0)
+                own, own_sizes = merges.value.fold(units.dictionary.take(pa.array(new)))
+                place[new] = len(sizes) + np.arange(len(new))
+                all_ids, all_sizes = np.concatenate([ids, own]), np.concatenate([sizes, own_sizes])
+                word = place[np.asarray(units.indices, np.int64)]
                 size = all_sizes[word]
                 ends = np.concatenate([[0], np.cumsum(size)])
                 where = np.repeat((np.cumsum(all_sizes) - all_sizes)[word] - ends[:-1], size) + np.arange(ends[-1])
-                bounds = np.concatenate([[0], np.cumsum(n)])
+                bounds = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths(), np.int64))])
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), pa.array(all_ids[where], pa.int32()))], ["doc_id", "ids"])
 
         rows = docs.select(F.col(id_col).alias("doc_id"), self.words(F.col(text_col)).alias("words"))
-        kind = rows.schema["doc_id"].dataType.simpleString()
-        rows = rows.mapInArrow(coded, f"doc_id {kind}, codes array<int>, new array<string>, long array<array<int>>")
-        rows = rows.select("doc_id", "codes", F.concat(F.transform("new", self.fold), "long").alias("folded"))
-        return rows.mapInArrow(joined, f"doc_id {kind}, ids array<int>")
+        return rows.mapInArrow(coded, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
     def decode(self, ids: Column) -> Column:
         """The bytes of array<int> ids, binary: the binary pieces, a character for each byte, side by side."""

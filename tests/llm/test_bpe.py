@@ -6,7 +6,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 
-from pawprint.llm.bpe import digests, encode_documents, read_ranks
+from pawprint.llm.bpe import ByteBpe, digests, encode_documents, read_ranks
 from pawprint.llm.queries import QUERIES
 
 PATH = P.path("byte_bpe_50k.tiktoken")
@@ -50,3 +50,32 @@ def test_session_is_left_as_it_was(spark):
     before = spark.conf.get(name)
     docs = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
     assert encode_documents(docs, PATH, P.PATTERN).count() == 1 and spark.conf.get(name) == before
+
+
+def test_steps_side_by_side():
+    """Words of all widths, both sides of LONG_BYTES, one by one and side by side; a byte without a rank."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from pawprint.llm.bpe import LONG_BYTES, Merges, merged_ids
+
+    ranks, r = read_ranks(PATH), random.Random(5)
+    words = ["".join(r.choice("aaetnhé日 ") for _ in range(n)) for n in (*range(1, LONG_BYTES + 9), 300) for _ in range(6)] + ["", "a" * LONG_BYTES]
+    ids, sizes = Merges(ranks).fold(pa.array(["x", *words])[1:])
+    assert [list(x) for x in np.split(ids, np.cumsum(sizes)[:-1])] == [merged_ids(w.encode(), ranks) for w in words]
+    few = Merges({b"a": 0, b"b": 1, b"ab": 2})
+    assert few.fold(pa.array(["abab", "b"]))[0].tolist() == [2, 2, 1]
+    with pytest.raises(ValueError, match="lacks"):
+        few.fold(pa.array(["abc"]))
+
+
+def test_one_worker_for_a_task(spark):
+    """Words go to Python once, and the plan holds no rank table."""
+    docs = spark.createDataFrame([(1, "qwrtz qwrtz yxcv")], "doc_id bigint, text string")
+    shared = []
+    plan = ByteBpe(read_ranks(PATH), P.PATTERN)._encoded(docs, "doc_id", "text", shared)._jdf.queryExecution().executedPlan().toString()
+    for x in shared:
+        x.destroy()
+    assert plan.count("MapInArrow") == 1 and len(plan) < 5000
